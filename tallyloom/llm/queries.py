@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import lookalike, mixture, splits, tokenize
+from tallyloom.llm import lookalike, mixture, spans, splits, tokenize
 from tallyloom.tables import table
 
 
@@ -56,5 +56,18 @@ def p6_shares(spark, d):
     return mixture.shares(p6_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_forms, p5_ids, p5_sizes, p6_mix, p6_shares)}
+def p7_found(spark, d):
+    """Runs of characters that stand verbatim in another document."""
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p7_fractions(spark, d):
+    """How much of each document stands elsewhere."""
+    return spans.shared_fractions(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p1_report, p2_found, p2_forms, p5_ids, p5_sizes, p6_mix, p6_shares, p7_found, p7_fractions)
+}
 ORACLE_SQL: dict[str, str] = {}
