@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import lookalike, mixture, spans, splits, tokenize
+from tallyloom.llm import lookalike, mixture, overlap, spans, splits, tokenize
 from tallyloom.tables import table
 
 
@@ -33,6 +33,16 @@ def p2_forms(spark, d):
     return lookalike.with_form(texts, "text").select("rec_key", "qname", "opt_pos", "form")
 
 
+def p4_found(spark, d):
+    """Train and evaluation records that share an image or a text."""
+    return overlap.found(table(spark, d, "records"))
+
+
+def p4_report(spark, d):
+    """Overlaps by split, source and kind."""
+    return overlap.report(table(spark, d, "records"))
+
+
 def p5_ids(spark, d):
     """Token ids of every document."""
     return tokenize.encode(table(spark, d, "documents"))
@@ -68,6 +78,6 @@ def p7_fractions(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_report, p2_found, p2_forms, p5_ids, p5_sizes, p6_mix, p6_shares, p7_found, p7_fractions)
+    for f in (p1_found, p1_splits, p1_report, p2_found, p2_forms, p4_found, p4_report, p5_ids, p5_sizes, p6_mix, p6_shares, p7_found, p7_fractions)
 }
 ORACLE_SQL: dict[str, str] = {}
