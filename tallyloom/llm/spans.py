@@ -184,16 +184,26 @@ def in_two(rows: DataFrame) -> DataFrame:
     return ends.where("lo <> hi").select("digest")
 
 
+def _places(digest: np.ndarray, k: int) -> list[np.ndarray]:
+    """Three bits for a digest in an array of 2^k bits."""
+    return [(digest * m) >> np.uint64(64 - k) for m in (np.uint64(1), _POWER, np.uint64(0x94D049BB133111EB))]
+
+
 def _filter(shared: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bit for each digest's upper bits; its size is bounded by FILTER_BITS."""
-    k = min(FILTER_BITS, max(16, (64 * n).bit_length()))
-    place = F.shiftrightunsigned("digest", 64 - k)
-    words = shared.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(digest, {64 - k}) & 63 as int))")).alias("bits")
-    )
-    got = words.toPandas()
-    out = np.zeros(1 << (k - 6), dtype=np.int64)
-    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    """A Bloom filter of the digests, about 32 bits each and at most 2^FILTER_BITS bits."""
+    k = min(FILTER_BITS, max(16, (32 * n).bit_length()))
+
+    def words(batches):
+        for b in batches:
+            digest = b.column(0).to_numpy().view(np.uint64)
+            place = np.unique(np.concatenate(_places(digest, k)))
+            word, at = np.unique(place >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), at) if len(at) else word
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    got = shared.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (k - 6), dtype=np.uint64)
+    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return out, k
 
 
@@ -213,7 +223,7 @@ def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
     shared = ws.put(in_two(src.mapInArrow(emit(False), "doc_id long, digest long")), "shared")
     n = shared.count()
     schema = "doc_id long, digest long, pos int"
-    if 64 * n <= 1 << FILTER_BITS:
+    if 16 * n <= 1 << FILTER_BITS:
         bits, k = _filter(shared, n)
         kept = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -222,8 +232,9 @@ def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
             for b in batches:
                 for ids, text, _, _ in _texts(b):
                     at, digest, doc = _seeds(text)
-                    place = digest >> np.uint64(64 - k)
-                    hit = (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1
+                    hit = np.ones(len(digest), dtype=bool)
+                    for place in _places(digest, k):
+                        hit &= (words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
                     d, pos, w = _windows(text, at[hit], doc[hit])
                     yield _frame(ids[d], w, pos)
 
@@ -245,8 +256,10 @@ def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
 def shared_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``start_pos``, ``span_chars``: longest runs of characters that stand verbatim in another document."""
     ws = Workspace(docs.sparkSession)
-    windows = windows_near_repeats(docs, ws)
-    shared = windows.join(in_two(windows), "digest", "left_semi").select("doc_id", "pos")
+    # one exchange by digest: its rows are few a document, stay sorted, and spill rather than gather in memory
+    same = Window.partitionBy("digest")
+    both = windows_near_repeats(docs, ws).select("doc_id", "pos", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"))
+    shared = both.where("lo <> hi").select("doc_id", "pos")
     order = Window.partitionBy("doc_id").orderBy("pos")
     new = F.when(F.col("pos") > F.lag("pos").over(order) + SPAN, 1).otherwise(0)
     runs = shared.withColumn("new", new).withColumn("run", F.sum("new").over(order))
