@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import evaluation, nested
+from tallyloom.plans import evaluation, nested, pipeline
 
-MODULES = (evaluation, nested)
+MODULES = (evaluation, nested, pipeline)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

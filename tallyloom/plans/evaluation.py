@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.functions.rng import poisson_sql, unit_sql
+from pyspark.sql import functions as F
+
+from tallyloom.functions.rng import poisson_sql, unit, unit_sql
 from tallyloom.operators import evaluation as E
 from tallyloom.tables import table
 
@@ -99,7 +101,12 @@ def eval_ece_interval(spark, d):
 
 
 def flip_probe(spark, d):
-    return E.flip_probe(rows(spark, d), table(spark, d, "records"))
+    """Flip pairs are mostly train records without answers, so a hash stands in for the model."""
+    records = table(spark, d, "records")
+    u = unit(7, F.col("rec_key"), F.col("q.name"))
+    asked = records.where("flip_group is not null").select("rec_key", F.explode("questions").alias("q")).distinct()
+    fake = asked.select("rec_key", F.col("q.name").alias("qname"), F.lit("hash").alias("model"), F.array(u, 1 - u).alias("pred"), F.col("q.target").alias("target"))
+    return E.flip_probe(fake, records)
 
 
 def _summary(keys: str) -> str:
@@ -172,9 +179,11 @@ ORACLE_SQL = {
   c AS (SELECT model, rep, {BIN.format('conf')} AS bin, sum(w) AS n, sum(w * correct) AS k, sum(w * conf) AS c FROM w GROUP BY ALL),
   p AS (SELECT model, rep, sum(abs(k - c)) / nullif(sum(n), 0) AS e FROM c GROUP BY 1, 2)
   SELECT model, round(quantile_cont(e, 0.025::DOUBLE), 6) AS lo, round(quantile_cont(e, 0.975::DOUBLE), 6) AS hi FROM p GROUP BY model""",
-    "flip_probe": f"""WITH {SCORED}, k AS (SELECT rec_key, min(flip_group) AS g, min(flip_kind) AS kind FROM records WHERE flip_group IS NOT NULL GROUP BY 1),
-  p AS (SELECT g, kind, qname, model, arg_max(pred[1], (target[1], rec_key)) AS hi, arg_min(pred[1], (target[1], rec_key)) AS lo
-    FROM scored JOIN k USING (rec_key) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2)
+    "flip_probe": f"""WITH k AS (SELECT rec_key, min(flip_group) AS g, min(flip_kind) AS kind FROM records WHERE flip_group IS NOT NULL GROUP BY 1),
+  q AS (SELECT DISTINCT rec_key, unnest(questions) AS q FROM records WHERE flip_group IS NOT NULL),
+  s AS (SELECT rec_key, q.name AS qname, {unit_sql(7, 'rec_key', 'q.name')} AS u, q.target[1] AS t FROM q),
+  p AS (SELECT g, kind, qname, arg_max(u, (t, rec_key)) AS hi, arg_min(u, (t, rec_key)) AS lo
+    FROM s JOIN k USING (rec_key) GROUP BY 1, 2, 3 HAVING count(*) >= 2)
   SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(hi - lo), 6) AS margin, round(avg(CAST(hi > lo AS INT)), 6) AS ordered,
   round(avg(CAST(hi >= 0.5 AND lo >= 0.5 AS INT)), 6) AS both_hi, round(avg(CAST(hi < 0.5 AND lo < 0.5 AS INT)), 6) AS both_lo FROM p GROUP BY ROLLUP (kind)""",
 }

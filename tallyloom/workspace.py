@@ -41,7 +41,7 @@ class Workspace:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table once and return the frame that reads it."""
         at = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
