@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import evaluation, nested, pipeline, relational
+from tallyloom.plans import evaluation, nested, pipeline, relational, requests, texts
 
-MODULES = (evaluation, nested, pipeline, relational)
+MODULES = (evaluation, nested, pipeline, relational, requests, texts)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}
