@@ -193,7 +193,7 @@ def gate_samples(rows: DataFrame, clusters: DataFrame, reps: int = 100, seed: in
 def gate(pairs: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
     """Difference of two models on shared questions with order-statistic bounds, and the verdict."""
     c = pairs.select(F.col("rec_key").cast("string").alias("cluster"), (F.col("a_correct") - F.col("b_correct")).alias("d_acc"), (F.col("a_brier") - F.col("b_brier")).alias("d_brier"))
-    at = lambda col, i: F.element_at(F.array_sort(F.collect_list(col)), i + 1)
+    at = lambda col, i: F.get(F.array_sort(F.collect_list(col)), F.lit(i))
     lo, hi = int(0.025 * reps), int(0.975 * reps) - 1
     bounds = gate_samples(None, c, reps, seed).agg(at("d_acc", lo).alias("acc_lo"), at("d_acc", hi).alias("acc_hi"), at("d_brier", lo).alias("brier_lo"))
     point = c.agg(F.count("*").alias("n"), F.avg("d_acc").alias("d"), F.avg("d_brier").alias("e"))
