@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,12 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def put_counted(self, df: DataFrame, name: str, condition: str = "true") -> tuple[DataFrame, int]:
+        """Write a table and count the rows that meet a condition in the same pass."""
+        seen = Observation(name)
+        out = self.put(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
+        return out, int(seen.get["n"])
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
