@@ -51,8 +51,8 @@ def _flatten(ws: Workspace, hooks: DataFrame, tag: str) -> DataFrame:
         jumped = hooks.join(up, "parent", "left").select(
             "node", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")
         )
-        nxt = ws.put(jumped, f"{tag}-jump{step}")
-        if nxt.where("moved").isEmpty():
+        nxt, moved = ws.put_counted(jumped, f"{tag}-jump{step}", "moved")
+        if not moved:
             return nxt.select("node", "parent")
         hooks, step = nxt.select("node", "parent"), step + 1
 
@@ -60,11 +60,11 @@ def _flatten(ws: Workspace, hooks: DataFrame, tag: str) -> DataFrame:
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of the edges (``a``, ``b``); the root is the component's smallest node."""
     turn = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = ws.put(turn(edges), "edges0")
+    edges, n = ws.put_counted(turn(edges), "edges0")
     parents, k = None, 0
-    while not edges.isEmpty():
+    while n:
         hooks = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
-        flat = _flatten(ws, ws.put(hooks, f"hook{k}"), f"hook{k}")
+        flat = _flatten(ws, hooks, f"hook{k}")
         to = lambda col: flat.select(F.col("node").alias(col), F.col("parent").alias(f"{col}_root"))
         if parents is None:
             parents = flat.select("node", F.col("parent").alias("root"))
@@ -74,7 +74,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             parents = moved.unionByName(fresh)
         parents = ws.put(parents, f"parents{k}")
         left = edges.join(to("a"), "a", "left").join(to("b"), "b", "left")
-        edges = ws.put(
+        edges, n = ws.put_counted(
             turn(left.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), f"edges{k + 1}"
         )
         k += 1
