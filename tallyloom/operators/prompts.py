@@ -106,9 +106,9 @@ def layout(has_image: Column, n_tokens: Column, limit: int = 3000) -> Column:
 def shaped(rows: DataFrame) -> DataFrame:
     """Answers in their public form: the value, its confidence and the probabilities as JSON in option order."""
     best = V.argmax(F.col("pred"))
-    pairs = F.transform(F.arrays_zip("labels", "pred"), lambda z: F.concat(F.lit('"'), z["labels"], F.lit('":'), F.format_string("%.4f", z["pred"])))
-    value = F.when(F.col("qtype") == "noul", F.format_string("%.4f", F.element_at("pred", 1))).when(F.col("qtype") == "choice", F.element_at("labels", best + 1)).otherwise(F.format_string("%.4f", V.expectation(F.col("pred"))))
-    return rows.select("answer_id", "qtype", value.alias("value"), F.round(V.confidence(F.col("pred"), F.col("qtype")), 6).alias("confidence"), F.when(F.col("qtype") != "noul", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).alias("probabilities"))
+    pairs = F.transform(F.arrays_zip("labels", "pred"), lambda z: F.concat(F.lit('"'), z["labels"], F.lit('":'), F.format_string("%.6f", z["pred"])))
+    value = F.when(F.col("qtype") == "noul", F.format_string("%.6f", F.element_at("pred", 1))).when(F.col("qtype") == "choice", F.element_at("labels", best + 1)).otherwise(F.format_string("%.6f", V.expectation(F.col("pred"))))
+    return rows.select("answer_id", "qtype", value.alias("value"), F.round(V.confidence(F.col("pred"), F.col("qtype")), 9).alias("confidence"), F.when(F.col("qtype") != "noul", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).alias("probabilities"))
 
 
 def answer_faults(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.rng import unit_sql
 from tallyloom.sources import files
 from tallyloom.streaming import ingest
 from tallyloom.tables import table
@@ -78,6 +79,7 @@ def stream_lines(spark, d):
 
 
 ORACLE_SQL = {
+    "unit_sample": f"""SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (ORDER BY {unit_sql(0, "'orders.parquet'", 'o_orderkey')}, o_orderkey) AS n FROM orders) WHERE n <= 10""",
     "jsonl_scan": """WITH b AS (SELECT regexp_replace(body, '[\\r\\n]', ' ', 'g') AS b FROM raw_records WHERE body IS NOT NULL), l AS (SELECT b FROM b WHERE trim(b, ' ') <> '')
   SELECT coalesce(CASE WHEN json_valid(b) THEN b::JSON ->> 'source' END, 'unreadable') AS source, count(*) AS n FROM l GROUP BY 1""",
     "csv_round_trip": "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1",

@@ -8,6 +8,7 @@ from tallyloom.functions.rng import unit_sql
 from tallyloom.operators import augment as A
 from tallyloom.operators import packing as K
 from tallyloom.operators import prompts as Q
+from tallyloom.plans.evaluation import ARG, SCORED
 from tallyloom.plans.evaluation import ONCE as ANSWERS_ONCE
 from tallyloom.plans.evaluation import rows as scored_rows
 from tallyloom.plans.pipeline import ONCE, once
@@ -166,6 +167,9 @@ ORACLE_SQL = {
   ELSE concat_ws(chr(10), 'Answer Yes or No.', 'Yes means: ' || {_MEANING.format('true')}, 'No means: ' || {_MEANING.format('false')}) END AS prompt FROM q""",
     "sanitize": r"SELECT doc_id, regexp_replace('<|start|>' || substr(text, 1, 80) || '<|end|>', '<\|([^|<>]*)\|>', '<¦\1¦>', 'g') AS safe FROM documents WHERE text IS NOT NULL",
     "layout_choice": f"WITH {ONCE} SELECT CASE WHEN NOT len(images) > 0 AND length(state_json) <= 400 THEN 'state_twice' ELSE 'once' END AS layout, count(*) AS n FROM once GROUP BY 1",
+    "shape_answers": f"""WITH {SCORED} SELECT answer_id, qtype, CASE qtype WHEN 'noul' THEN printf('%.6f', pred[1]) WHEN 'choice' THEN labels[{ARG.format('pred')} + 1]
+  ELSE printf('%.6f', list_sum(list_transform(pred, lambda p, i: p * (i - 1)))) END AS value, round(conf, 9) AS confidence,
+  CASE WHEN qtype <> 'noul' THEN '{{' || array_to_string(list_transform(labels, lambda l, i: '"' || l || '":' || printf('%.6f', pred[i])), ',') || '}}' END AS probabilities FROM scored""",
     "answer_parse": f"""WITH {ANSWERS_ONCE} SELECT model, qtype, CASE WHEN pred IS NULL THEN 'missing' WHEN len(pred) <> len(labels) THEN 'length'
   WHEN len(list_filter(pred, lambda p: p IS NULL OR p < 0 OR p > 1)) > 0 THEN 'range' WHEN qtype = 'noul' AND labels <> ['true', 'false'] THEN 'options'
   WHEN qtype = 'score' AND labels <> list_transform(range(len(labels)), lambda i: CAST(i AS VARCHAR)) THEN 'options' ELSE 'none' END AS fault, count(*) AS n FROM once GROUP BY 1, 2, 3""",

@@ -177,6 +177,8 @@ ORACLE_SQL = {
     "to_choice": f"""WITH {_Q}, o AS (SELECT rec_key, q.name AS name, list_transform(q.criteria, lambda c: coalesce(c.desc, '')) AS o FROM a WHERE q.type = 'choice' AND len(q.criteria) >= 3),
   p AS (SELECT *, CAST(floor({unit_sql('place', 'rec_key', 'name')} * len(o)) AS INT) AS place, o[2:] AS rest FROM o)
   SELECT rec_key, name, place, array_to_string(list_concat(list_concat(rest[1:place], [o[1]]), rest[place + 1:]), '|') AS options FROM p""",
+    "lettered_parse": rf"""WITH {_Q}, l AS (SELECT rec_key, q.name AS name, CAST(len(q.criteria) AS INT) AS lines, list_transform(q.criteria, lambda c: trim(coalesce(c.desc, ''), ' ')) AS o FROM a WHERE q.type = 'choice')
+  SELECT rec_key, name, lines, CASE WHEN len(o) >= 2 AND NOT list_contains(o, '') AND len(list_distinct(o)) = len(o) THEN array_to_string(o, '|') END AS options FROM l""",
     "yes_no_answers": f"""WITH {_Q}, c AS (SELECT unnest(q.criteria).label AS l FROM a), y AS (SELECT lower(CASE WHEN l = 'true' THEN 'yes' WHEN l = 'false' THEN 'no' ELSE trim(regexp_replace(trim(l, ' '), '\\.$', ''), ' ') END) AS l FROM c)
   SELECT CASE WHEN l = 'yes' THEN 1.0::DOUBLE WHEN l = 'no' THEN 0.0::DOUBLE END AS value, count(*) AS n FROM y GROUP BY 1""",
     "shingle_counts": "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substring(t, i, 3)))) AS INT) AS pieces FROM d",
