@@ -185,7 +185,7 @@ ORACLE_SQL = {
   p AS (SELECT g, kind, qname, arg_max(u, (t, rec_key)) AS hi, arg_min(u, (t, rec_key)) AS lo
     FROM s JOIN k USING (rec_key) GROUP BY 1, 2, 3 HAVING count(*) >= 2)
   SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(hi - lo), 6) AS margin, round(avg(CAST(hi > lo AS INT)), 6) AS ordered,
-  round(avg(CAST(hi >= 0.5 AND lo >= 0.5 AS INT)), 6) AS both_hi, round(avg(CAST(hi < 0.5 AND lo < 0.5 AS INT)), 6) AS both_lo FROM p GROUP BY ROLLUP (kind)""",
+  round(avg(CAST(hi >= 0.5 AND lo >= 0.5 AS INT)), 6) AS both_hi, round(avg(CAST(hi < 0.5 AND lo < 0.5 AS INT)), 6) AS both_lo FROM p GROUP BY ROLLUP (kind) HAVING count(*) > 0""",
 }
 QUERIES = {
     f.__name__: f
