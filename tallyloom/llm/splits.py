@@ -54,6 +54,8 @@ def _flatten(ws: Workspace, hooks: DataFrame, tag: str) -> DataFrame:
         nxt, moved = ws.put_counted(jumped, f"{tag}-jump{step}", "moved")
         if not moved:
             return nxt.select("node", "parent")
+        if step:
+            ws.drop(f"{tag}-jump{step - 1}")
         hooks, step = nxt.select("node", "parent"), step + 1
 
 
@@ -77,6 +79,8 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         edges, n = ws.put_counted(
             turn(left.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), f"edges{k + 1}"
         )
+        for name in (f"edges{k}", f"parents{k - 1}"):  # nothing reads them any more
+            ws.drop(name)
         k += 1
     if parents is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
