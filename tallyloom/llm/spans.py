@@ -11,9 +11,10 @@ near their ends.
 2. Around revealed seeds all windows of 120 characters are named by digest, and a window that occurs in two documents
    is verified as shared; nothing else is. Runs of shared windows are the spans.
 
-What flows between the steps are digests with a document number; counts are pre-aggregated, so a passage that stands
-in a third of all documents is one row a task. Revealed seeds reach the second reading of the texts as a bit array of
-at most 32 MB while it stays sparse, and through a join beyond that.
+What flows between the steps are digests with a document number. Seeds are counted with pre-aggregation, so a passage
+that stands in a third of all documents is one row a task. Windows go once through an exchange by digest; the rows of
+one digest are few a document, stay sorted and spill. Revealed seeds reach the second reading of the texts as a Bloom
+filter of at most 32 MB while it stays sparse, and through a join beyond that.
 
 Cases: null and short texts have no spans; null ``doc_id`` rows are left out; repeated rows of one ``doc_id`` are the
 same document, so they share nothing with each other; texts may have any length.
