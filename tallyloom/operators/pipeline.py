@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions import rng
 from tallyloom.functions import vectors as V
+from tallyloom.operators.relational import near_hashes
 
 LICENSES = ("commercial-ok", "non-commercial", "unknown")
 FREE_IMAGES = (4, 5, 6, 7, 8)
@@ -76,27 +77,50 @@ def image_licensed(records: DataFrame, images: DataFrame) -> DataFrame:
     return records.withColumn("first_file", first).join(by_id, "coco_id", "left").join(by_name, "first_file", "left").withColumn("image_license", F.coalesce("by_id", "by_name")).drop("by_id", "by_name", "first_file")
 
 
-def drop_reasons(records: DataFrame, tiers: DataFrame, images: DataFrame, exclude: tuple[str, ...], need_image: tuple[str, ...], held: DataFrame) -> DataFrame:
+def held_out_hits(overlaps: DataFrame, hashes: DataFrame | None = None, held_hashes: DataFrame | None = None) -> DataFrame:
+    """``rec_key``, ``by_image``, ``by_text``, ``by_id``: train records that a pass against held-out data hits.
+
+    ``overlaps`` are the pairs of same image numbers and same or near texts; ``hashes`` (rec_key, h) and ``held_hashes``
+    (h) are 64-bit picture hashes, near within four bits.
+    """
+    hit = lambda *kinds: F.max(F.col("kind").isin(*kinds))
+    found = overlaps.groupBy(F.col("rec_train").alias("rec_key")).agg(hit("same text", "near text").alias("by_text"), hit("image").alias("by_id"))
+    if hashes is None:
+        return found.select("rec_key", F.lit(False).alias("by_image"), "by_text", "by_id")
+    left = hashes.select(F.col("rec_key").alias("id"), "h")
+    near = near_hashes(left, held_hashes.select(F.monotonically_increasing_id().alias("id"), "h")).select(F.col("l").alias("rec_key")).distinct()
+    full = found.join(near.withColumn("by_image", F.lit(True)), "rec_key", "full")
+    return full.select("rec_key", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("by_image", "by_text", "by_id")))
+
+
+def drop_reasons(records: DataFrame, tiers: DataFrame, images: DataFrame, exclude: tuple[str, ...], need_image: tuple[str, ...], held: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """``reason``: the first rule that drops a record, null if it stays.
 
-    Held-out records drop copies of their state; one aggregated key a state is joined, whatever the number of copies.
+    ``hits`` (see ``held_out_hits``) are the passes against held-out data, in the order image, text, image number. After
+    them held-out records drop copies of their state; one aggregated key a state is joined, whatever the number of copies.
     """
     full = image_licensed(tiered(records, tiers), images)
     keys = held.select(F.sha2("state_json", 256).alias("state_key")).where("state_key is not null").distinct().withColumn("is_held", F.lit(True))
     full = full.withColumn("state_key", F.sha2("state_json", 256)).join(keys, "state_key", "left")
+    passes = ("by_image", "by_text", "by_id")
+    full = full.withColumns({c: F.lit(False) for c in passes}) if hits is None else full.join(hits, "rec_key", "left")
+    train = F.col("split") == "train"
     reason = (
         F.when(F.col("source").isin(*exclude), "excluded source")
         .when(F.col("tier_license") != "commercial-ok", "license")
         .when(F.col("coco_id").isNotNull() & ~F.coalesce(F.col("image_license").isin(*FREE_IMAGES), F.lit(False)), "image license")
         .when(F.col("coco_id").isNull() & F.col("source").isin(*need_image), "image number")
-        .when(F.col("is_held") & (F.col("split") == "train"), "held out")
+        .when(F.col("by_image") & train, "held out image")
+        .when(F.col("by_text") & train, "held out text")
+        .when(F.col("by_id") & train, "held out id")
+        .when(F.col("is_held") & train, "held out")
     )
-    return full.withColumn("reason", reason)
+    return full.withColumn("reason", reason).drop(*passes)
 
 
 def manifest(records: DataFrame) -> DataFrame:
     """Records, kept, drops by reason and splits of each source; expects ``reason``."""
-    reasons = {"excluded source": "excluded", "license": "license_drops", "image license": "image_license_drops", "image number": "image_number_drops", "held out": "held_out_drops"}
+    reasons = {"excluded source": "excluded", "license": "license_drops", "image license": "image_license_drops", "image number": "image_number_drops", "held out image": "held_out_image_drops", "held out text": "held_out_text_drops", "held out id": "held_out_id_drops", "held out": "held_out_drops"}
     return records.groupBy("source").agg(
         F.count("*").alias("raw"), F.count_if(F.col("reason").isNull()).alias("kept"),
         *(F.count_if(F.col("reason") == r).alias(a) for r, a in reasons.items()),

@@ -32,9 +32,17 @@ def once(spark, d):
 
 def reasoned(spark, d):
     """Records with the reason that drops them."""
+    from tallyloom.llm.overlap import overlaps  # only this stage needs the folder
+
     r = once(spark, d)
     held = r.where(F.col("split").isin("calibration", "validation", "test"))
-    return P.drop_reasons(r, table(spark, d, "license_tiers"), table(spark, d, "coco_licenses"), EXCLUDE, NEED_IMAGE, held)
+    hits = P.held_out_hits(overlaps(r))
+    return P.drop_reasons(r, table(spark, d, "license_tiers"), table(spark, d, "coco_licenses"), EXCLUDE, NEED_IMAGE, held, hits)
+
+
+def kept(spark, d):
+    """Records that no rule drops."""
+    return reasoned(spark, d).where("reason is null")
 
 
 def record_validate(spark, d):
@@ -62,7 +70,7 @@ def manifest_sources(spark, d):
 
 
 def manifest_totals(spark, d):
-    return P.totals(once(spark, d))
+    return P.totals(kept(spark, d))
 
 
 def qa_source_stats(spark, d):
@@ -83,19 +91,19 @@ def split_hash(spark, d):
 
 
 def split_coverage(spark, d):
-    return P.covered_splits(once(spark, d))
+    return P.covered_splits(kept(spark, d))
 
 
 def grid_groups(spark, d):
-    return P.grid_groups(once(spark, d))
+    return P.grid_groups(kept(spark, d))
 
 
 def grid_chunks(spark, d):
-    return P.chunked(once(spark, d))
+    return P.chunked(kept(spark, d))
 
 
 def grid_record_ids(spark, d):
-    return P.grid_ids(once(spark, d))
+    return P.grid_ids(kept(spark, d))
 
 
 def derive_yes_no(spark, d):
@@ -103,7 +111,7 @@ def derive_yes_no(spark, d):
 
 
 def grid_shared_meta(spark, d):
-    return P.shared_meta(once(spark, d))
+    return P.shared_meta(kept(spark, d))
 
 
 def question_language(spark, d):
