@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions import rng
 from tallyloom.functions import vectors as V
+from tallyloom.operators.pipeline import blank
 
 BINS = 10
 
@@ -175,7 +176,7 @@ def divergence(rows: DataFrame, a: str, b: str) -> DataFrame:
     return paired(rows, a, b).groupBy(F.col("a_source").alias("source")).agg(F.count("*").alias("n"), F.round(F.avg(V.kl(F.col("a_pred"), F.col("b_pred"))), 6).alias("kl"))
 
 
-def gate_samples(rows: DataFrame, clusters: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
+def gate_samples(rows: DataFrame, clusters: DataFrame, reps: int = 4000, seed: int = 0) -> DataFrame:
     """Bootstrap replicates of the difference between two groups of rows in each cluster.
 
     Differences are first added up by cluster; each cluster enters a replicate with a Poisson(1) weight that is a hash
@@ -190,9 +191,25 @@ def gate_samples(rows: DataFrame, clusters: DataFrame, reps: int = 100, seed: in
     )
 
 
-def gate(pairs: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
-    """Difference of two models on shared questions with order-statistic bounds, and the verdict."""
-    c = pairs.select(F.col("rec_key").cast("string").alias("cluster"), (F.col("a_correct") - F.col("b_correct")).alias("d_acc"), (F.col("a_brier") - F.col("b_brier")).alias("d_brier"))
+def clustered(pairs: DataFrame, records: DataFrame, least: int = 20) -> DataFrame:
+    """``cluster``: the unit of resampling. A record without a cluster is its own; single questions if no record of the
+    pairs has one or there are fewer than ``least`` units."""
+    own = F.when(~blank(F.col("cluster")), F.trim("cluster"))
+    known = records.where("rec_key is not null").groupBy("rec_key").agg(F.min(own).alias("own"))
+    full = pairs.join(known, "rec_key", "left").withColumn("unit", F.coalesce(F.concat(F.lit("c/"), "own"), F.concat(F.lit("r/"), F.col("rec_key").cast("string"))))
+    n = full.agg(F.count("own").alias("named"), F.count_distinct("unit").alias("units"))
+    single = F.concat_ws("/", F.lit("q"), F.col("rec_key").cast("string"), F.col("qname"))
+    fall = F.when((F.col("named") == 0) | (F.col("units") < least), single).otherwise(F.col("unit"))
+    return full.crossJoin(F.broadcast(n)).withColumn("cluster", fall).drop("own", "unit", "named", "units")
+
+
+def gate(pairs: DataFrame, reps: int = 4000, seed: int = 0) -> DataFrame:
+    """Difference of two models on shared questions with order-statistic bounds, and the verdict.
+
+    Resampled are the values of ``cluster`` (see ``clustered``), or records if the pairs have no such column.
+    """
+    cluster = F.col("cluster" if "cluster" in pairs.columns else "rec_key").cast("string")
+    c = pairs.select(cluster.alias("cluster"), (F.col("a_correct") - F.col("b_correct")).alias("d_acc"), (F.col("a_brier") - F.col("b_brier")).alias("d_brier"))
     at = lambda col, i: F.get(F.array_sort(F.collect_list(col)), F.lit(i))
     lo, hi = int(0.025 * reps), int(0.975 * reps) - 1
     bounds = gate_samples(None, c, reps, seed).agg(at("d_acc", lo).alias("acc_lo"), at("d_acc", hi).alias("acc_hi"), at("d_brier", lo).alias("brier_lo"))
@@ -208,7 +225,7 @@ def gate(pairs: DataFrame, reps: int = 100, seed: int = 0) -> DataFrame:
     )
 
 
-def noise_floor(rows: DataFrame, reps: int = 10, seed: int = 0) -> DataFrame:
+def noise_floor(rows: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
     """Calibration error left by chance: labels drawn from the target distributions, the mean over draws."""
     each = rows.select("model", "answer_id", "target", "top", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), V.argmax(F.col("pred")).alias("best"))
     u = rng.unit(seed, F.col("rep"), F.col("answer_id"))
@@ -219,7 +236,7 @@ def noise_floor(rows: DataFrame, reps: int = 10, seed: int = 0) -> DataFrame:
     return per.groupBy("model").agg(F.round(F.avg("e"), 6).alias("noise_floor"))
 
 
-def ece_interval(rows: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
+def ece_interval(rows: DataFrame, reps: int = 1000, seed: int = 1) -> DataFrame:
     """2.5 % and 97.5 % points (linear) of the calibration error under resampling of rows."""
     each = rows.select("model", "answer_id", "correct", "conf", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     w = rng.poisson_weight(rng.unit(seed, F.col("rep"), F.col("answer_id")))

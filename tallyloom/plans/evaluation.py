@@ -89,7 +89,7 @@ def eval_divergence(spark, d):
 
 
 def gate_paired(spark, d):
-    return E.gate(E.paired(rows(spark, d), "nova-s", "nova-m"))
+    return E.gate(E.clustered(E.paired(rows(spark, d), "nova-s", "nova-m"), table(spark, d, "records")))
 
 
 def eval_noise_floor(spark, d):

@@ -1,9 +1,15 @@
 """Whole jobs: what earlier versions cut."""
 
+import inspect
 import json
+from pathlib import Path
+
+import pytest
 
 from tallyloom.llm import overlap as O
+from tallyloom.operators import evaluation as E
 from tallyloom.operators import pipeline as P
+from tallyloom.plans import evaluation as eval_plan
 from tallyloom.plans import pipeline as plan
 
 Q = "array<struct<name string, type string, instructions string, criteria array<struct<pos int, label string, desc string>>, target array<double>, negated string>>"
@@ -37,3 +43,31 @@ def test_held_out_passes_are_reasons(spark, monkeypatch):
     monkeypatch.setattr(plan, "table", lambda s, d, name: {"records": r, "license_tiers": tiers, "coco_licenses": images}[name])
     assert {x.reason: x.n for x in plan.drop_attribution(spark, "").collect()} == {"kept": 3, "held out text": 2, "held out id": 2}
     assert [x.records for x in plan.grid_groups(spark, "").collect()] == [1]  # only kept rows
+
+
+def test_replicates_are_whole():
+    assert [inspect.signature(f).parameters["reps"].default for f in (E.gate, E.ece_interval, E.noise_floor)] == [4000, 1000, 200]
+
+
+def test_gate_resamples_clusters(spark):
+    pairs = spark.createDataFrame([(k, f"q{j}") for k in range(100) for j in (1, 2)], "rec_key long, qname string")
+    units = lambda cluster: {x.cluster for x in E.clustered(pairs, spark.createDataFrame([(k, cluster(k)) for k in range(100)], "rec_key long, cluster string")).collect()}
+    assert units(lambda k: f"g{k % 25}" if k < 90 else " - ") == {f"c/g{k}" for k in range(25)} | {f"r/{k}" for k in range(90, 100)}
+    assert len(units(lambda k: f"g{k % 5}")) == 200 and len(units(lambda k: None)) == 200  # too few, none
+    # one large group of 60 records moves together: bounds by group are wider than by record
+    rows = [(k, "q", k % 2 if k >= 60 else 1, 0, 0.1, 0.1, "g" if k < 60 else None) for k in range(120)]
+    p = spark.createDataFrame(rows, "rec_key long, qname string, a_correct int, b_correct int, a_brier double, b_brier double, cluster string")
+    by_record, by_group = E.gate(p.drop("cluster"), 300).first(), E.gate(E.clustered(p.drop("cluster"), p.select("rec_key", "cluster")), 300).first()
+    assert by_group.acc_hi - by_group.acc_lo > 1.2 * (by_record.acc_hi - by_record.acc_lo)
+
+
+@pytest.mark.parametrize(("name", "run"), [("gate_paired", lambda r: E.gate(E.paired(r, "nova-s", "nova-m"), 100)), ("eval_ece_interval", lambda r: E.ece_interval(r, 100)), ("eval_noise_floor", lambda r: E.noise_floor(r, 10))])
+def test_few_replicates_equal_sql(spark, data, name, run):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in Path(data).glob("*.parquet"):
+        con.sql(f"create view {f.stem} as select * from read_parquet('{f}')")
+    df = run(eval_plan.rows(spark, data))
+    want = con.sql(f"select {', '.join(df.columns)} from ({eval_plan.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
