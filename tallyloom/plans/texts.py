@@ -12,6 +12,7 @@ from tallyloom.plans.pipeline import ONCE, once
 from tallyloom.tables import table
 
 WS = T.BLANKS + "+"
+TRIES = 16
 
 
 def _asked(spark, d):
@@ -79,18 +80,29 @@ def answer_pools(spark, d):
 
 
 def pool_draw(spark, d):
-    """Three distractors for each choice from the pool of its source, drawn by weight without replacement.
+    """Three distractors for each choice from the whole pool of its source, drawn by weight without replacement.
 
-    Weights are counts; a candidate's key is log(u) / weight, and the largest keys win. The pool of a source is cut to
-    its 40 most frequent answers, so a question meets a bounded list.
+    Weights are counts, so a draw is the answer of a hashed question of the source: an equality on its number, and no
+    question meets the pool. Draws that repeat or give the own answer are passed over. Questions that lack some after
+    TRIES draws (small pools, or one answer that outweighs all) take the rest from the list of the source's answers by
+    the largest log(u) / weight, which continues the same distribution.
     """
     q = _asked(spark, d).where("q.type = 'choice'").select("rec_key", "source", F.col("q.name").alias("name"), F.lower(F.element_at("q.criteria", 1)["desc"]).alias("answer")).where("answer is not null")
+    numbered = q.select("source", F.row_number().over(Window.partitionBy("source").orderBy("rec_key", "name", "answer")).alias("at"), F.col("answer").alias("other"))
+    total = q.groupBy("source").agg(F.count("*").alias("total"))
+    tries = q.join(F.broadcast(total), "source").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(TRIES))))
+    tries = tries.withColumn("at", (F.floor(rng.unit("draw", F.col("rec_key"), F.col("name"), F.col("k")) * F.col("total")) + 1).cast("int"))
+    hit = tries.join(numbered, ["source", "at"]).where(F.col("other") != F.col("answer"))
+    first = hit.groupBy("rec_key", "name", "other").agg(F.min("k").alias("k"))
+    drawn = first.withColumn("rank", F.row_number().over(Window.partitionBy("rec_key", "name").orderBy("k"))).where("rank <= 3").select("rec_key", "name", "rank", "other")
+    have = drawn.groupBy("rec_key", "name").agg(F.count("*").alias("have"), F.collect_list("other").alias("got"))
+    short = q.join(have, ["rec_key", "name"], "left").where(F.coalesce("have", F.lit(0)) < 3)
     pool = q.groupBy("source", F.col("answer").alias("other")).agg(F.count("*").alias("w"))
-    top = pool.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("w"), "other"))).where("r <= 40")
-    c = q.join(top, "source").where(F.col("other") != F.col("answer"))
-    key = F.round(F.ln(F.greatest(rng.unit("draw", F.col("rec_key"), F.col("name"), F.col("other")), F.lit(1e-12))) / F.col("w"), 9)
-    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("rec_key", "name").orderBy(F.desc(key), "other")))
-    return ranked.where("rank <= 3").select("rec_key", "name", "rank", "other")
+    left = short.join(pool, "source").where((F.col("other") != F.col("answer")) & ~F.coalesce(F.array_contains("got", F.col("other")), F.lit(False)))
+    key = F.ln(F.greatest(rng.unit("draw", F.col("rec_key"), F.col("name"), F.col("other")), F.lit(1e-300))) / F.col("w")
+    place = F.row_number().over(Window.partitionBy("rec_key", "name").orderBy(F.desc(key), "other")) + F.coalesce("have", F.lit(0)).cast("int")
+    rest = left.withColumn("rank", place).where("rank <= 3").select("rec_key", "name", "rank", "other")
+    return drawn.unionByName(rest)
 
 
 def to_choice(spark, d):

@@ -11,6 +11,7 @@ from tallyloom.operators import evaluation as E
 from tallyloom.operators import pipeline as P
 from tallyloom.plans import evaluation as eval_plan
 from tallyloom.plans import pipeline as plan
+from tallyloom.plans import texts as text_plan
 
 Q = "array<struct<name string, type string, instructions string, criteria array<struct<pos int, label string, desc string>>, target array<double>, negated string>>"
 RECORDS = f"rec_key long, id string, source string, split string, license string, lang string, grid_id string, cluster string, coco_id long, state_json string, images array<struct<path string, url string>>, questions {Q}, loaded_at timestamp"
@@ -71,3 +72,20 @@ def test_few_replicates_equal_sql(spark, data, name, run):
     df = run(eval_plan.rows(spark, data))
     want = con.sql(f"select {', '.join(df.columns)} from ({eval_plan.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_distractors_come_from_the_whole_pool(spark, monkeypatch):
+    answers = [f"a{i:03d}" for i in range(120)] * 4 + ["heavy"] * 120
+    rows = [{"rec_key": k, "state_json": '"x"', "questions": [("q", "choice", "?", [(0, "A", a), (1, "B", "b")], [1.0, 0.0], None)]} for k, a in enumerate(answers)]
+    rows += [{"rec_key": 1000 + k, "source": "tiny", "state_json": '"x"', "questions": [("q", "choice", "?", [(0, "A", a)], [1.0], None)]} for k, a in enumerate(["x"] * 60 + ["y", "z"])]
+    monkeypatch.setattr(text_plan, "once", lambda s, d: records(spark, rows))
+    got = text_plan.pool_draw(spark, "").collect()
+    own = dict(enumerate(answers))
+    by = {}
+    for x in got:
+        by.setdefault(x.rec_key, []).append(x)
+    assert all(sorted(x.rank for x in by[k]) == [1, 2, 3] and len({x.other for x in by[k]} - {own[k]}) == 3 for k in own)
+    assert {x.other for k in own for x in by[k]} == set(answers)
+    others = [k for k in own if own[k] != "heavy"]
+    assert 0.14 < sum(x.rank == 1 and x.other == "heavy" for k in others for x in by[k]) / len(others) < 0.26  # a fifth of the weight
+    assert all({x.other for x in by[1000 + k]} == {"x", "y", "z"} - {a} for k, a in enumerate(["x"] * 60 + ["y", "z"]))
