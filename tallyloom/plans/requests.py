@@ -98,10 +98,7 @@ def aug_injection(spark, d):
 
 
 def aug_long_state(spark, d):
-    """Pool texts are the smallest document of each of 64 slots, found by one aggregate."""
-    docs = table(spark, d, "documents").where("lang = 'en' and length(text) >= 200")
-    pool = docs.groupBy((F.col("doc_id") % 64).cast("int").alias("slot")).agg(F.min_by("text", "doc_id").alias("text"))
-    return A.lengthened(once(spark, d), pool.select("slot", F.split("text", " ").alias("words")))
+    return A.lengthened(once(spark, d), A.text_pool(table(spark, d, "documents").where("text is not null")))
 
 
 def aug_nonsense(spark, d):

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from tallyloom.llm import overlap as O
+from tallyloom.operators import augment as A
 from tallyloom.operators import evaluation as E
 from tallyloom.operators import pipeline as P
 from tallyloom.plans import evaluation as eval_plan
@@ -89,3 +90,20 @@ def test_distractors_come_from_the_whole_pool(spark, monkeypatch):
     others = [k for k in own if own[k] != "heavy"]
     assert 0.14 < sum(x.rank == 1 and x.other == "heavy" for k in others for x in by[k]) / len(others) < 0.26  # a fifth of the weight
     assert all({x.other for x in by[1000 + k]} == {"x", "y", "z"} - {a} for k, a in enumerate(["x"] * 60 + ["y", "z"]))
+
+
+def test_long_states_have_all_their_units(spark):
+    docs = [(k, f'"word{k}" ' * 5, "en") for k in range(300)] + [(1000 + k, chr(0x4E00 + k) * 30, "en") for k in range(50)] + [(2000, " ", "en")]
+    pool = A.text_pool(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    rows = [{"rec_key": k, "state_json": '"body"' if k % 2 else '"正文"', "lang": "fr" if k % 3 else "zh"} for k in range(60)]
+    got = A.lengthened(records(spark, rows), pool, p=1.1).collect()
+    assert len(got) == 60
+    seen = set()
+    for x in got:
+        state = json.loads(f'"{x.body}"')
+        extra, body = (state.split("\n\n")) if x.front else (state.split("\n\n"))[::-1]
+        found = extra.split(" ") if x.rec_key % 2 else list(extra)
+        assert body == ("body" if x.rec_key % 2 else "正文") and 200 <= x.want <= 800 and len(found) == x.want
+        assert all(w.startswith('"word') if x.rec_key % 2 else w >= "一" for w in found)
+        seen |= set(found)
+    assert sum(w.startswith('"word') for w in seen) > 250  # of 300, no slots
