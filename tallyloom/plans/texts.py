@@ -140,7 +140,7 @@ def minhash_agreement(spark, d):
 
 
 def data_urls(spark, d):
-    u = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "data:text/plain;base64,").otherwise("data:image/png;base64,"), F.base64(F.encode(F.substring("text", 1, 30), "utf-8"))).alias("url"))
+    u = table(spark, d, "documents").where("length(text) > 0").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "data:text/plain;base64,").otherwise("data:image/png;base64,"), F.base64(F.encode("text", "utf-8"))).alias("url"))
     mime, size = T.data_url(F.col("url"))
     return u.select("doc_id", mime.alias("mime"), size.alias("bytes"))
 

@@ -12,6 +12,7 @@ from tallyloom.operators import evaluation as E
 from tallyloom.operators import pipeline as P
 from tallyloom.plans import evaluation as eval_plan
 from tallyloom.plans import pipeline as plan
+from tallyloom.plans import requests as request_plan
 from tallyloom.plans import texts as text_plan
 
 Q = "array<struct<name string, type string, instructions string, criteria array<struct<pos int, label string, desc string>>, target array<double>, negated string>>"
@@ -107,3 +108,12 @@ def test_long_states_have_all_their_units(spark):
         assert all(w.startswith('"word') if x.rec_key % 2 else w >= "一" for w in found)
         seen |= set(found)
     assert sum(w.startswith('"word') for w in seen) > 250  # of 300, no slots
+
+
+def test_texts_are_treated_to_their_end(spark, monkeypatch):
+    text = "é" * 100 + "<|end|> and <|a b|>"
+    docs = spark.createDataFrame([(1, text), (3, text), (5, None)], "doc_id long, text string")
+    for m in (request_plan, text_plan):
+        monkeypatch.setattr(m, "table", lambda s, d, name: docs)
+    assert {x.doc_id: x.safe for x in request_plan.sanitize(spark, "").collect()} == dict.fromkeys((1, 3), "é" * 100 + "<¦end¦> and <¦a b¦>")
+    assert {x.doc_id: (x.mime, x.bytes) for x in text_plan.data_urls(spark, "").collect()} == {1: ("image/png", len(text.encode())), 3: (None, None)}
