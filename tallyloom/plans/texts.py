@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tallyloom.functions import rng
 from tallyloom.functions import text as T
 from tallyloom.functions.rng import unit_sql
+from tallyloom.operators.checks import leaf_text
 from tallyloom.plans.pipeline import ONCE, once
 from tallyloom.tables import table
 
@@ -20,11 +21,10 @@ def _asked(spark, d):
 
 
 def record_text(spark, d):
-    """Normalised text of records whose state is one string: the string, then the instructions."""
-    r = once(spark, d).where(F.startswith("state_json", F.lit('"')))
-    s = F.from_json(F.concat(F.lit('{"s":'), F.col("state_json"), F.lit("}")), "s string")["s"]
-    text = F.concat_ws(" ", s, F.array_join(F.transform("questions", lambda q: F.coalesce(q["instructions"], F.lit(""))), " "))
-    return r.select("rec_key", F.lower(T.collapse(text)).alias("text"))
+    """Normalised text of each record: the strings of its state in written order, then the instructions."""
+    instructions = F.array_join(F.transform("questions", lambda q: F.coalesce(q["instructions"], F.lit(""))), " ")
+    text = F.concat_ws(" ", leaf_text(False)(F.col("state_json")), instructions)
+    return once(spark, d).select("rec_key", F.lower(T.collapse(text)).alias("text"))
 
 
 def first_words(spark, d):

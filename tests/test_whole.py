@@ -117,3 +117,11 @@ def test_texts_are_treated_to_their_end(spark, monkeypatch):
         monkeypatch.setattr(m, "table", lambda s, d, name: docs)
     assert {x.doc_id: x.safe for x in request_plan.sanitize(spark, "").collect()} == dict.fromkeys((1, 3), "é" * 100 + "<¦end¦> and <¦a b¦>")
     assert {x.doc_id: (x.mime, x.bytes) for x in text_plan.data_urls(spark, "").collect()} == {1: ("image/png", len(text.encode())), 3: (None, None)}
+
+
+def test_record_text_has_every_record(spark, monkeypatch):
+    asked = [("q", "noul", "Is it  SO?", None, None, None), ("r", "noul", None, None, None, None)]
+    states = ['"A\\nb"', '{"b": ["X", 5, {"image": {"path": "p.png"}}], "a": "y"}', "[]", "{cut", None, "7"]
+    monkeypatch.setattr(text_plan, "once", lambda s, d: records(spark, [{"rec_key": k, "state_json": x, "questions": asked if k != 5 else None} for k, x in enumerate(states)]))
+    got = {x.rec_key: x.text for x in text_plan.record_text(spark, "").collect()}
+    assert got == {0: "a b is it so?", 1: "x y is it so?", 2: "is it so?", 3: "{cut is it so?", 4: "is it so?", 5: ""}
