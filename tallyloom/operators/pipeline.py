@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions import rng
 from tallyloom.functions import vectors as V
+from tallyloom.operators.checks import leaf_text
 from tallyloom.operators.relational import near_hashes
 
 LICENSES = ("commercial-ok", "non-commercial", "unknown")
@@ -157,9 +158,14 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
 
 
 def duplicate_questions(records: DataFrame) -> DataFrame:
-    """Questions asked again of the same state beginning, after the first, by source."""
-    asked = records.select("source", F.substring("state_json", 1, 200).alias("s"), F.explode("questions").alias("q"))
-    keys = asked.groupBy("source", "s", F.substring("q.instructions", 1, 200).alias("i")).agg(F.count("*").alias("n"))
+    """Questions asked again of the same state text beginning and the same images, after the first, by source.
+
+    The key has 200 characters of the extracted state text and of the instruction, as in the reference, and the path of
+    each image, else 64 characters of its URL.
+    """
+    shown = F.transform(F.coalesce("images", F.array()), lambda i: F.coalesce(i["path"], F.substring(i["url"], 1, 64), F.lit("")))
+    asked = records.select("source", F.substring(leaf_text(True)(F.col("state_json")), 1, 200).alias("s"), shown.alias("shown"), F.explode("questions").alias("q"))
+    keys = asked.groupBy("source", "s", "shown", F.substring(F.coalesce("q.instructions", F.lit("")), 1, 200).alias("i")).agg(F.count("*").alias("n"))
     return keys.groupBy("source").agg(F.sum(F.col("n") - 1).alias("repeats"))
 
 

@@ -125,3 +125,14 @@ def test_record_text_has_every_record(spark, monkeypatch):
     monkeypatch.setattr(text_plan, "once", lambda s, d: records(spark, [{"rec_key": k, "state_json": x, "questions": asked if k != 5 else None} for k, x in enumerate(states)]))
     got = {x.rec_key: x.text for x in text_plan.record_text(spark, "").collect()}
     assert got == {0: "a b is it so?", 1: "x y is it so?", 2: "is it so?", 3: "{cut is it so?", 4: "is it so?", 5: ""}
+
+
+def test_repeated_questions_need_the_same_text_and_images(spark):
+    asked, long = [("q", "noul", "Is it so?", None, None, None)], "x" * 230
+    rows = [
+        {"state_json": json.dumps({"k": long})}, {"state_json": '{"k":  ' + json.dumps(long) + "}"},  # a repeat in another spacing
+        {"state_json": json.dumps({"k": long}), "images": [("a.png", None)]}, {"state_json": json.dumps({"k": long}), "images": [("b.png", None)]},
+        {"state_json": json.dumps({"k" * 250: "one"})}, {"state_json": json.dumps({"k" * 250: "two"})},  # long names, other texts
+    ]
+    got = P.duplicate_questions(records(spark, [r | {"rec_key": k, "questions": asked} for k, r in enumerate(rows)]))
+    assert [x.repeats for x in got.collect()] == [1]
