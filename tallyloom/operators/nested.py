@@ -203,6 +203,42 @@ def flat_table(nodes: DataFrame, schema_path: str, columns: Iterable[str]) -> Da
     )
 
 
+def places(lines: DataFrame, members: Iterable[str] = MEMBERS) -> DataFrame:
+    """``line_key``, ``path``, ``parent_path``, ``pos`` of every value inside the members, distinct within each line.
+
+    Only members that an object repeats can give a row twice; they are settled while the line is at hand.
+    """
+    members = tuple(members)
+    names = ["line_key", "path", "parent_path", "pos"]
+
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                line = parse_line(text)
+                if line is None:
+                    continue
+                rows = dict.fromkeys((_clean(path), _clean(path[: len(path) - len(step)]), int(dewey[dewey.rfind("/") + 1 :])) for dewey, path, step, _, _, _ in label(line, members))
+                out[0].extend([k] * len(rows))
+                for col, xs in zip(out[1:], zip(*rows, strict=True), strict=True):
+                    col.extend(xs)
+                if len(out[0]) > 50_000:
+                    yield _batch(out)
+                    out = [[] for _ in names]
+            yield _batch(out)
+
+    def _batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32())], names=names)
+
+    src = lines.where("line_key is not null and body is not null").select("line_key", "body")
+    return src.mapInArrow(run, "line_key long, path string, parent_path string, pos int")
+
+
 def found(lines: DataFrame) -> DataFrame:
-    """``line_key``, ``path``, ``parent_path``, ``pos`` of every value inside state, questions and targets."""
-    return nodes(lines).select("line_key", "path", "parent_path", "pos").distinct()
+    """``line_key``, ``path``, ``parent_path``, ``pos`` of every value inside state, questions and targets, once each.
+
+    Lines with one key have their rows in common; where there are none, no node goes through an exchange.
+    """
+    keyed = lines.where("line_key is not null and body is not null")
+    repeated = not keyed.groupBy("line_key").count().where("count > 1").isEmpty()
+    return places(lines).distinct() if repeated else places(lines)

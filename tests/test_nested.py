@@ -34,6 +34,16 @@ def test_repeated_members_numbers_and_surrogates(spark):
     assert [(r.path, r.pos, r.value[:5]) for r in got if r.kind != "object"] == [("state.a", 0, "1.0"), ("state.a", 1, "1e400"), ("state.b", 2, "?x"), ("state.c", 3, "99999")]
 
 
+def test_rows_are_distinct(spark):
+    twice = '{"state": {"a": {"b": 1}, "a": {"b": 2}}}'
+    once = {(1, "state", "", 0), (1, "state.a", "state", 0), (1, "state.a", "state", 1), (1, "state.a.b", "state.a", 0)}
+    got = [tuple(r) for r in N.found(spark.createDataFrame([(1, twice, "", 0)], SCHEMA)).collect()]
+    assert len(got) == 4 and set(got) == once
+    rows = [(1, twice, "", 0), (1, '{"state": {"a": 5, "c": 6}}', "", 1), (1, twice, "x", 2)]
+    got = [tuple(r) for r in N.found(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == 5 and set(got) == once | {(1, "state.c", "state", 1)}
+
+
 def test_deep_nesting_and_the_own_parser():
     deep = "[" * 30_000 + "]" * 30_000
     assert N.parse_line('{"state": ' + deep + "}") is not None
