@@ -12,9 +12,10 @@ near their ends.
    is verified as shared; nothing else is. Runs of shared windows are the spans.
 
 What flows between the steps are digests with a document number. Seeds are counted with pre-aggregation, so a passage
-that stands in a third of all documents is one row a task. Windows go once through an exchange by digest; the rows of
-one digest are few a document, stay sorted and spill. Revealed seeds reach the second reading of the texts as a Bloom
-filter of at most 32 MB while it stays sparse, and through a join beyond that.
+that stands in a third of all documents is one row a task. Windows go once through an exchange by digest, with 96 bits
+to tell them apart; what documents of one part of a task share is settled there, and one row of it goes to the others.
+Revealed seeds reach the second reading of the texts as a Bloom filter of at most 128 MB, and through a join where there
+are more than 268 million of them.
 
 Cases: null and short texts have no spans; null ``doc_id`` rows are left out; repeated rows of one ``doc_id`` are the
 same document, so they share nothing with each other; texts may have any length.
@@ -31,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.llm.bittable import ored
 from tallyloom.llm.lookalike import decode
 from tallyloom.workspace import Workspace
 
 SPAN = 120
 LEAST, ROUNDS = 20, 12
 AROUND = 30
-FILTER_BITS = 28
+FILTER_BITS = 30
 WORD, SPACE, ALONE = 0, 1, 2
 LONG_TOKEN = 16
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +76,25 @@ class Text:
         self.sums = np.zeros(len(cps) + 1, dtype=np.uint64)
         np.cumsum(mixed, out=self.sums[1:])
 
+    def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """32 more bits, from other weights of characters and places."""
+        odd = (self.cps.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
+        odd ^= odd >> np.uint64(32)
+        odd *= _MIX
+        odd ^= odd >> np.uint64(27)
+        base = np.uint64(0xA0761D6478BD642F)
+        ups = np.full(len(odd) + 1, base)
+        ups[0] = 1
+        np.multiply.accumulate(ups, out=ups)
+        downs = np.full(len(odd) + 1, np.uint64(pow(int(base), -1, 1 << 64)))
+        downs[0] = 1
+        np.multiply.accumulate(downs, out=downs)
+        sums = np.zeros(len(odd) + 1, dtype=np.uint64)
+        np.cumsum(odd * ups[:-1], out=sums[1:])
+        x = (sums[end] - sums[start]) * downs[start]
+        x ^= x >> np.uint64(32)
+        return (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+
     def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64 bits that are equal for equal stretches wherever they stand."""
         x = (self.sums[end] - self.sums[start]) * self.down[start]
@@ -157,8 +178,12 @@ def _seeds(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, text.digest(at - AROUND, at + AROUND), doc
 
 
-def _windows(text: Text, at: np.ndarray, doc: np.ndarray):
-    """Text number, place and digest of every window of the span's length around the seeds."""
+def _windows(text: Text, ids: np.ndarray, at: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Every window of the span's length around the seeds: document, digest, place with 32 more bits of digest, shared.
+
+    A window that two documents at hand have is shared; one row of it keeps its digest, so documents elsewhere meet it,
+    and the others get a number of their own. A passage of very many documents is one row a digest and part this way.
+    """
     lo = np.maximum(at + AROUND - SPAN, text.offsets[doc])
     hi = np.minimum(at - AROUND, text.offsets[doc + 1] - SPAN)
     ok = hi >= lo
@@ -167,7 +192,20 @@ def _windows(text: Text, at: np.ndarray, doc: np.ndarray):
     np.add.at(edge, hi[ok] + 1, -1)
     w = np.flatnonzero(np.cumsum(edge) > 0)
     doc = np.searchsorted(text.offsets, w, side="right") - 1
-    return doc, w - text.offsets[doc], text.digest(w, w + SPAN)
+    digest, more, docs = text.digest(w, w + SPAN), text.second(w, w + SPAN), ids[doc]
+    place = (w - text.offsets[doc]).astype(np.uint64) | more << np.uint64(32)
+    order = np.lexsort((docs, more, digest))
+    d, m, i = digest[order], more[order], docs[order]
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1])
+    group = np.cumsum(head) - 1
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(order))[: len(first)] - 1
+    known = (i[first] != i[last])[group]
+    spare = known & ~head
+    d[spare] = (i[spare].astype(np.uint64) * _POWER ^ place[order][spare]) * _MIX
+    cols = [pa.array(i), pa.array(d.view(np.int64)), pa.array(place[order].view(np.int64)), pa.array(known)]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "place", "known"])
 
 
 def _frame(docs: np.ndarray, digest: np.ndarray, pos: np.ndarray | None = None) -> pa.RecordBatch:
@@ -194,22 +232,15 @@ def _filter(shared: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """A Bloom filter of the digests, about 32 bits each and at most 2^FILTER_BITS bits."""
     k = min(FILTER_BITS, max(16, (32 * n).bit_length()))
 
-    def words(batches):
-        for b in batches:
-            digest = b.column(0).to_numpy().view(np.uint64)
-            place = np.unique(np.concatenate(_places(digest, k)))
-            word, at = np.unique(place >> np.uint64(6), return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), at) if len(at) else word
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+    def bits_of(b):
+        place = np.concatenate(_places(b.column(0).to_numpy().view(np.uint64), k))
+        return place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63))
 
-    got = shared.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (k - 6), dtype=np.uint64)
-    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out, k
+    return ored(shared, bits_of, 1 << (k - 6)), k
 
 
 def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``doc_id``, ``digest``, ``pos`` of all windows of the span's length around revealed seeds."""
+    """Windows of the span's length around revealed seeds, see ``_windows``."""
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").where(F.length("text") >= SPAN)
 
     def emit(with_pos):
@@ -223,8 +254,8 @@ def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     shared = ws.put(in_two(src.mapInArrow(emit(False), "doc_id long, digest long")), "shared")
     n = shared.count()
-    schema = "doc_id long, digest long, pos int"
-    if 16 * n <= 1 << FILTER_BITS:
+    schema = "doc_id long, digest long, place long, known boolean"
+    if 4 * n <= 1 << FILTER_BITS:
         bits, k = _filter(shared, n)
         kept = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -236,8 +267,7 @@ def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
                     hit = np.ones(len(digest), dtype=bool)
                     for place in _places(digest, k):
                         hit &= (words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                    d, pos, w = _windows(text, at[hit], doc[hit])
-                    yield _frame(ids[d], w, pos)
+                    yield _windows(text, ids, at[hit], doc[hit])
 
         return src.mapInArrow(run, schema)
 
@@ -246,10 +276,9 @@ def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
             for ids, text, (lo, hi), kept in _texts(b):
                 places = kept.column(2).slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), np.asarray(places.value_lengths()))
-                d, pos, w = _windows(text, places.flatten().to_numpy() + text.offsets[doc], doc)
-                yield _frame(ids[d], w, pos)
+                yield _windows(text, ids, places.flatten().to_numpy() + text.offsets[doc], doc)
 
-    seeds = src.mapInArrow(emit(True), schema).join(shared, "digest", "left_semi")
+    seeds = src.mapInArrow(emit(True), "doc_id long, digest long, pos int").join(shared, "digest", "left_semi")
     places = seeds.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))  # bounded by one text
     return src.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(near, schema)
 
@@ -257,10 +286,12 @@ def windows_near_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
 def shared_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``start_pos``, ``span_chars``: longest runs of characters that stand verbatim in another document."""
     ws = Workspace(docs.sparkSession)
-    # one exchange by digest: its rows are few a document, stay sorted, and spill rather than gather in memory
-    same = Window.partitionBy("digest")
-    both = windows_near_repeats(docs, ws).select("doc_id", "pos", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"))
-    shared = both.where("lo <> hi").select("doc_id", "pos")
+    # one exchange by digest; rows of a digest stay sorted, and spill rather than gather in memory
+    more = F.shiftrightunsigned("place", 32)
+    same = Window.partitionBy("digest", "more")
+    rows = windows_near_repeats(docs, ws).select("doc_id", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "known", "digest", more.alias("more"))
+    both = rows.repartition("digest").select("doc_id", "pos", "known", F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"))
+    shared = both.where("known or lo <> hi").select("doc_id", "pos")
     order = Window.partitionBy("doc_id").orderBy("pos")
     new = F.when(F.col("pos") > F.lag("pos").over(order) + SPAN, 1).otherwise(0)
     runs = shared.withColumn("new", new).withColumn("run", F.sum("new").over(order))

@@ -110,21 +110,26 @@ def tied_groups(records: DataFrame) -> DataFrame:
     )
 
 
-def closest_counts(sizes: dict[int, int], target: int, max_bits: int = 1 << 27) -> dict[int, int]:
+def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many groups of each size to take so that their total is as close to ``target`` as any choice can come.
 
-    The multiplicity of a size is cut into binary pieces, and one bitset gains a shift by each piece. Totals above
-    ``max_bits`` are first met in proportion from every size (keeping 64 groups of each back), and the bitset decides
-    the rest.
+    Filled from the largest size on, the counts already lie next to a best choice: changes can be ordered so that the
+    total never strays further than the largest size, and a stretch of changes that returns to one total can be left
+    out, so some best choice differs by fewer than twice the largest size in groups (Steinitz). Counts outside that
+    reach are settled by the filling, at every size of the input. For what is open the multiplicity of a size is cut
+    into binary pieces and one bitset gains a shift by each piece. The bitset has at most as many bits as the target
+    and a group, so what is sent to the driver and held there follows the groups that are open and not the records.
     """
     total = sum(s * c for s, c in sizes.items())
     target = max(0, min(target, total))
-    taken = dict.fromkeys(sizes, 0)
-    left, rest = dict(sizes), target
-    if target > max_bits:
-        for s, c in sizes.items():
-            taken[s] = min(max(0, c - 64), int(c * target / total))
-            left[s], rest = c - taken[s], rest - s * taken[s]
+    filled, rest = {}, target
+    for s in sorted(sizes, reverse=True):
+        filled[s] = min(sizes[s], rest // s)
+        rest -= s * filled[s]
+    reach = 2 * max(sizes, default=0)
+    taken = {s: max(0, filled[s] - reach) for s in sizes}
+    left = {s: min(sizes[s], filled[s] + reach) - taken[s] for s in sizes}
+    rest = target - sum(s * c for s, c in taken.items())
     width = min(sum(s * c for s, c in left.items()), rest + max(left, default=0)) + 1
     items = []
     for s in sorted(left, reverse=True):
@@ -133,17 +138,18 @@ def closest_counts(sizes: dict[int, int], target: int, max_bits: int = 1 << 27)
             items.append((s, min(k, c)))
             c, k = c - k, k * 2
     mask, bits = (1 << width) - 1, 1
-    first = np.full(width, -1, dtype=np.int32)
+    first = np.full(width, len(items), dtype=np.uint8 if len(items) < 255 else np.uint16)
     for i, (s, k) in enumerate(items):
         grown = (bits | (bits << (s * k))) & mask
         raw = np.frombuffer((grown ^ bits).to_bytes((width + 7) // 8, "little"), dtype=np.uint8)
-        at = np.flatnonzero(raw)
-        new = (at[:, None] * 8 + np.arange(8))[np.unpackbits(raw[at], bitorder="little").reshape(-1, 8).astype(bool)]
-        first[new] = i
+        for lo in range(0, len(raw), 1 << 20):  # in parts, for the places of a part take 64 times its bytes
+            at = np.flatnonzero(raw[lo : lo + (1 << 20)]) + lo
+            first[(at[:, None] * 8 + np.arange(8))[np.unpackbits(raw[at], bitorder="little").reshape(-1, 8).astype(bool)]] = i
         bits = grown
-    reach = np.flatnonzero(first >= 0)
-    reach = np.concatenate([[0], reach])
-    t = int(reach[np.argmin(np.abs(reach - rest))])
+    reached = np.flatnonzero(first < len(items))
+    at = np.searchsorted(reached, rest)
+    near = [0, *(int(reached[i]) for i in (at - 1, at) if 0 <= i < len(reached))]
+    t = min(near, key=lambda x: (abs(x - rest), x))
     while t > 0:
         s, k = items[first[t]]
         taken[s] += k

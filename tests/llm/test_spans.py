@@ -47,7 +47,7 @@ def corpus():
     return [(i + 1, d) for i, d in enumerate(docs)] + [(None, docs[0])]
 
 
-@pytest.mark.parametrize("bits", [28, 4])
+@pytest.mark.parametrize("bits", [30, 4])
 def test_equals_brute_force(spark, monkeypatch, bits):
     monkeypatch.setattr(S, "FILTER_BITS", bits)  # few bits force the way through a join
     docs = corpus()
@@ -55,6 +55,19 @@ def test_equals_brute_force(spark, monkeypatch, bits):
     assert {tuple(r) for r in S.shared_spans(df).collect()} == brute(docs)
 
 
+def test_a_passage_of_a_third_of_all_documents(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(str(rng.randrange(10**5)) for _ in range(n))
+    hot = prose(40)
+    docs = [(i, prose(30) + (f" {hot} " + prose(5) if i % 3 == 0 else "")) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {tuple(r) for r in S.shared_spans(df).collect()}
+    assert got == brute(docs) and len(got) == 200
+    ws = S.Workspace(spark)
+    rows = S.windows_near_repeats(df, ws).groupBy("digest").count().agg({"count": "max"}).first()[0]
+    assert rows <= 5  # one a part of a task, not one a document
+
+
 def test_repeated_rows_share_nothing(spark):
     t = " ".join(f"word{i}" for i in range(60))
     df = spark.createDataFrame([(1, t), (1, t), (2, "other " * 10)], "doc_id long, text string")

@@ -69,7 +69,25 @@ def test_closest_total_equals_brute_force():
         assert all(got[s] <= sizes[s] for s in got)
         best = min(abs(sum(c) - min(target, sum(items))) for n in range(len(items) + 1) for c in itertools.combinations(items, n))
         assert abs(sum(s * k for s, k in got.items()) - min(target, sum(items))) == best
-    assert sum(s * k for s, k in S.closest_counts({1: 500, 7: 300, 40: 200}, 3000, max_bits=1000).items()) == 3000
+    assert sum(s * k for s, k in S.closest_counts({1: 500, 7: 300, 40: 200}, 3000).items()) == 3000
+
+
+def test_closest_total_with_many_groups_equals_all_totals():
+    rng = random.Random(5)
+    for _ in range(60):  # multiplicities far beyond the reach of the filling, sizes with and without a common divisor
+        step = rng.choice([1, 1, 2, 3])
+        sizes = {step * rng.randrange(2, 14): rng.randrange(1, 400) for _ in range(rng.randrange(1, 5))}
+        total = sum(s * c for s, c in sizes.items())
+        bits = 1
+        for s, c in sizes.items():
+            for _ in range(c):
+                bits |= bits << s
+        target = rng.randrange(total + 1)
+        got = S.closest_counts(sizes, target)
+        assert all(0 <= got[s] <= sizes[s] for s in sizes)
+        assert abs(sum(s * k for s, k in got.items()) - target) == min(abs(t - target) for t in range(total + 1) if bits >> t & 1)
+    big = S.closest_counts({1: 10**10, 3: 10**9, 50: 10**7}, 6 * 10**9 + 1)
+    assert sum(s * k for s, k in big.items()) == 6 * 10**9 + 1
 
 
 def test_groups_stay_whole_and_shares_are_met(spark):
