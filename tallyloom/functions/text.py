@@ -111,6 +111,21 @@ def image_numbers(path: Column) -> Column:
     return F.when(named != "", named).when(placed != "", placed).try_cast("long")
 
 
+# How image numbers stand in the paths of held-out records, and in those of any record.
+HELD_IMAGE = r"COCO_val20(?:14|17)_0*([0-9]+)"
+ANY_IMAGE = (r"COCO_(?:train|val|test)20[0-9][0-9]_0*([0-9]+)", r"(?:train|val)20(?:14|17)[/\\]0*([0-9]+)\.")
+
+
+def held_image_number(path: Column) -> Column:
+    """The number of a held-out validation image in a path."""
+    return F.nullif(F.regexp_extract(path, HELD_IMAGE, 1), F.lit("")).try_cast("long")
+
+
+def any_image_number(path: Column) -> Column:
+    """The number of an image in a path, by its file name or else by its folder."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in ANY_IMAGE)).try_cast("long")
+
+
 def shingles(c: Column, n: int = 3) -> Column:
     """Distinct n-character pieces; a shorter text is its own piece."""
     def pieces(ch):  # the characters are split once, so a long text costs its length and not its square

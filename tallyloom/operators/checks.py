@@ -57,6 +57,22 @@ def leaf_text(numbers: bool):
     return run
 
 
+def canonical(state: Column) -> Column:
+    """JSON with sorted members and one spelling; what is no JSON stands as it is."""
+
+    def one(s):
+        try:
+            return json.dumps(json.loads(s), sort_keys=True, ensure_ascii=False).encode("utf-8", "replace").decode()
+        except (ValueError, RecursionError):
+            return s
+
+    @F.pandas_udf("string")
+    def run(states: pd.Series) -> pd.Series:
+        return states.map(one, na_action="ignore")
+
+    return run(state)
+
+
 def greedy_distinct(rows: DataFrame, group: str, order: str, h: str, most: int = 2) -> DataFrame:
     """Rows kept in order if no kept row of their group is within a Hamming distance.
 

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import rng
+from tallyloom.functions import text as T
 from tallyloom.functions import vectors as V
-from tallyloom.operators.checks import leaf_text
+from tallyloom.operators import neartext
+from tallyloom.operators.checks import canonical, leaf_text
 from tallyloom.operators.relational import near_hashes
 
 LICENSES = ("commercial-ok", "non-commercial", "unknown")
 FREE_IMAGES = (4, 5, 6, 7, 8)
 MIN_SOURCE = 50
-START_CHUNK, LONGEST_CHUNK = 0.35, 16
+START_CHUNK, LONGEST_CHUNK, SLICE = 0.35, 16, 4096
 CJK = "[一-鿿]"
 
 
@@ -64,64 +66,72 @@ def record_errors(records: DataFrame) -> DataFrame:
 
 
 def tiered(records: DataFrame, tiers: DataFrame) -> DataFrame:
-    """``tier_license``: the source's tier where it has one, else what the record says, else unknown."""
+    """``tier_license``: the tier of the record's source; copyleft is non-commercial, none or another is unknown."""
     clean = tiers.groupBy(F.trim("source").alias("source")).agg(F.max("tier").alias("tier"))
-    lic = F.when(F.col("tier") == "copyleft", "non-commercial").when(F.col("tier").isin(*LICENSES), F.col("tier")).otherwise(F.coalesce("license", F.lit("unknown")))
+    lic = F.when(F.col("tier") == "copyleft", "non-commercial").when(F.col("tier").isin(*LICENSES), F.col("tier")).otherwise("unknown")
     return records.join(clean, "source", "left").withColumn("tier_license", lic).drop("tier")
 
 
 def image_licensed(records: DataFrame, images: DataFrame) -> DataFrame:
-    """``image_license``: by number, else by the file name of the record's first image."""
+    """``image_license`` of the record's image number: by number, else where that number is a file name."""
     by_id = images.where("image_id is not null").groupBy(F.col("image_id").alias("coco_id")).agg(F.min("license_id").alias("by_id"))
-    by_name = images.where("file_name is not null").groupBy(F.col("file_name").alias("first_file")).agg(F.min("license_id").alias("by_name"))
-    first = F.substring_index(F.try_element_at("images", F.lit(1))["path"], "/", -1)
-    return records.withColumn("first_file", first).join(by_id, "coco_id", "left").join(by_name, "first_file", "left").withColumn("image_license", F.coalesce("by_id", "by_name")).drop("by_id", "by_name", "first_file")
+    by_name = images.where("file_name is not null").groupBy(F.col("file_name").alias("coco_name")).agg(F.min("license_id").alias("by_name"))
+    named = records.withColumn("coco_name", F.col("coco_id").cast("string"))
+    return named.join(by_id, "coco_id", "left").join(by_name, "coco_name", "left").withColumn("image_license", F.coalesce("by_id", "by_name")).drop("by_id", "by_name", "coco_name")
 
 
-def held_out_hits(overlaps: DataFrame, hashes: DataFrame | None = None, held_hashes: DataFrame | None = None) -> DataFrame:
-    """``rec_key``, ``by_image``, ``by_text``, ``by_id``: train records that a pass against held-out data hits.
+def record_text(records: DataFrame) -> Column:
+    """Normalised text of a record: the strings of its state in written order, then the instructions."""
+    instructions = F.array_join(F.transform("questions", lambda q: F.coalesce(q["instructions"], F.lit(""))), " ")
+    return F.lower(T.collapse(F.concat_ws(" ", leaf_text(False)(F.col("state_json")), instructions)))
+
+
+def numbers_shown(records: DataFrame, held: bool) -> DataFrame:
+    """``rec_key``, ``number``: image numbers of the field and of the paths; of held-out paths only those of validation images."""
+    paths = F.flatten(F.transform(F.coalesce("images", F.array()), lambda i: F.array(i["path"], i["url"])))
+    in_path = F.filter(F.transform(paths, T.held_image_number if held else T.any_image_number), lambda n: n.isNotNull())
+    return records.select("rec_key", F.explode(F.array_compact(F.array_append(in_path, F.col("coco_id")))).alias("number")).distinct()
 
-    ``overlaps`` are the pairs of same image numbers and same or near texts; ``hashes`` (rec_key, h) and ``held_hashes``
-    (h) are 64-bit picture hashes, near within four bits.
-    """
-    hit = lambda *kinds: F.max(F.col("kind").isin(*kinds))
-    found = overlaps.groupBy(F.col("rec_train").alias("rec_key")).agg(hit("same text", "near text").alias("by_text"), hit("image").alias("by_id"))
-    if hashes is None:
-        return found.select("rec_key", F.lit(False).alias("by_image"), "by_text", "by_id")
-    left = hashes.select(F.col("rec_key").alias("id"), "h")
-    near = near_hashes(left, held_hashes.select(F.monotonically_increasing_id().alias("id"), "h")).select(F.col("l").alias("rec_key")).distinct()
-    full = found.join(near.withColumn("by_image", F.lit(True)), "rec_key", "full")
-    return full.select("rec_key", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("by_image", "by_text", "by_id")))
 
+def held_out_hits(records: DataFrame, hashes: DataFrame | None = None, held_hashes: DataFrame | None = None) -> DataFrame:
+    """``rec_key``, ``by_image``, ``by_text``, ``by_id``: train records that a pass against the held-out records hits.
 
-def drop_reasons(records: DataFrame, tiers: DataFrame, images: DataFrame, exclude: tuple[str, ...], need_image: tuple[str, ...], held: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    A text counts from 200 characters on where the record has images. ``hashes`` (rec_key, h) and ``held_hashes`` (h) are
+    64-bit picture hashes, near within four bits.
+    """
+    train, held = records.where("split = 'train'"), records.where("split in ('calibration', 'validation', 'test')")
+    texts = lambda r: r.select("rec_key", (F.coalesce(F.size("images"), F.lit(0)) > 0).alias("pictured"), record_text(r).alias("text"))
+    mine = texts(train).where("not pictured or length(text) >= 200")
+    by_text = mine.join(neartext.near(mine, texts(held)), "text", "left_semi").select("rec_key", F.lit("by_text").alias("pass"))
+    by_id = numbers_shown(train, False).join(numbers_shown(held, True).select("number").distinct(), "number", "left_semi").select("rec_key", F.lit("by_id").alias("pass"))
+    found = by_text.unionByName(by_id)
+    if hashes is not None:
+        near = near_hashes(hashes.select(F.col("rec_key").alias("id"), "h"), held_hashes.select(F.monotonically_increasing_id().alias("id"), "h"))
+        found = found.unionByName(near.select(F.col("l").alias("rec_key"), F.lit("by_image").alias("pass")))
+    return found.groupBy("rec_key").agg(*(F.max(F.col("pass") == c).alias(c) for c in ("by_image", "by_text", "by_id")))
+
+
+def drop_reasons(records: DataFrame, tiers: DataFrame, images: DataFrame, exclude: tuple[str, ...], need_image: tuple[str, ...], hits: DataFrame) -> DataFrame:
     """``reason``: the first rule that drops a record, null if it stays.
 
-    ``hits`` (see ``held_out_hits``) are the passes against held-out data, in the order image, text, image number. After
-    them held-out records drop copies of their state; one aggregated key a state is joined, whatever the number of copies.
+    ``hits`` (see ``held_out_hits``) are the passes against held-out data, in the order image, text, image number.
     """
-    full = image_licensed(tiered(records, tiers), images)
-    keys = held.select(F.sha2("state_json", 256).alias("state_key")).where("state_key is not null").distinct().withColumn("is_held", F.lit(True))
-    full = full.withColumn("state_key", F.sha2("state_json", 256)).join(keys, "state_key", "left")
-    passes = ("by_image", "by_text", "by_id")
-    full = full.withColumns({c: F.lit(False) for c in passes}) if hits is None else full.join(hits, "rec_key", "left")
-    train = F.col("split") == "train"
+    full = image_licensed(tiered(records, tiers), images).join(hits, "rec_key", "left")
     reason = (
         F.when(F.col("source").isin(*exclude), "excluded source")
         .when(F.col("tier_license") != "commercial-ok", "license")
         .when(F.col("coco_id").isNotNull() & ~F.coalesce(F.col("image_license").isin(*FREE_IMAGES), F.lit(False)), "image license")
         .when(F.col("coco_id").isNull() & F.col("source").isin(*need_image), "image number")
-        .when(F.col("by_image") & train, "held out image")
-        .when(F.col("by_text") & train, "held out text")
-        .when(F.col("by_id") & train, "held out id")
-        .when(F.col("is_held") & train, "held out")
+        .when(F.col("by_image"), "held out image")
+        .when(F.col("by_text"), "held out text")
+        .when(F.col("by_id"), "held out id")
     )
-    return full.withColumn("reason", reason).drop(*passes)
+    return full.withColumn("reason", reason).drop("by_image", "by_text", "by_id")
 
 
 def manifest(records: DataFrame) -> DataFrame:
     """Records, kept, drops by reason and splits of each source; expects ``reason``."""
-    reasons = {"excluded source": "excluded", "license": "license_drops", "image license": "image_license_drops", "image number": "image_number_drops", "held out image": "held_out_image_drops", "held out text": "held_out_text_drops", "held out id": "held_out_id_drops", "held out": "held_out_drops"}
+    reasons = {"excluded source": "excluded", "license": "license_drops", "image license": "image_license_drops", "image number": "image_number_drops", "held out image": "held_out_image_drops", "held out text": "held_out_text_drops", "held out id": "held_out_id_drops"}
     return records.groupBy("source").agg(
         F.count("*").alias("raw"), F.count_if(F.col("reason").isNull()).alias("kept"),
         *(F.count_if(F.col("reason") == r).alias(a) for r, a in reasons.items()),
@@ -141,15 +151,30 @@ def totals(records: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), value.alias("value"), "n").unionByName(types)
 
 
+def ranked(values: DataFrame, key: str, value: str, **ranks) -> DataFrame:
+    """Values at given ranks from 0 of each key; a rank is an expression of the number of rows ``n``.
+
+    Equal values are counted first, so a task holds the distinct values of a key and not its rows.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto).join(counted.groupBy(key).agg(F.sum("_c").alias("n")), key)
+    return placed.groupBy(key).agg(*(F.min(F.when(F.col("_upto") > F.expr(rank), F.col(value))).alias(name) for name, rank in ranks.items()))
+
+
 def quality(records: DataFrame) -> DataFrame:
-    """Per source: records, questions, largest number of questions, state length (nearest ranks), languages."""
+    """Per source: records, questions by type, the largest number of questions, invalid records, pictures, languages, and
+    the length of the state's text: the whole part of the median, and the value at the whole part of 0.95 (n - 1)."""
     n = F.coalesce(F.size("questions"), F.lit(0))
-    agg = records.groupBy("source").agg(
-        F.count("*").alias("records"), F.sum(n).alias("questions"), F.max(n).alias("most_questions"), F.count_distinct("lang").alias("langs"),
-        F.count_if(F.coalesce(F.size("images"), F.lit(0)) > 0).alias("pictured"), F.expr("percentile_disc(0.5) within group (order by length(state_json))").alias("median_chars"),
-        F.expr("percentile_disc(0.95) within group (order by length(state_json))").alias("p95_chars"),
+    of = lambda t: F.sum(F.size(F.filter(F.coalesce("questions", F.array()), lambda q: q["type"] == t))).alias(t)
+    agg = record_errors(records).groupBy("source").agg(
+        F.count("*").alias("records"), F.sum(n).alias("questions"), of("noul"), of("choice"), of("score"), F.max(n).alias("most_questions"),
+        F.count_if(F.size("errors") > 0).alias("invalid"), F.count_distinct("lang").alias("langs"), F.count_if(F.coalesce(F.size("images"), F.lit(0)) > 0).alias("pictured"),
     )
-    return agg.withColumn("per_record", F.bround(F.col("questions") / F.col("records"), 2)).withColumns({"median_chars": F.col("median_chars").cast("long"), "p95_chars": F.col("p95_chars").cast("long")})
+    chars = records.select("source", F.length(leaf_text(True)(F.col("state_json"))).alias("chars"))
+    at = ranked(chars, "source", "chars", low="(n - 1) div 2", high="n div 2", p95="floor(0.95D * (n - 1))")
+    chars = at.select("source", F.expr("(low + high) div 2").alias("median_chars"), F.col("p95").cast("long").alias("p95_chars"))
+    return agg.join(chars, "source", "left").withColumn("per_record", F.bround(F.col("questions") / F.col("records"), 2))
 
 
 def duplicate_ids(records: DataFrame) -> DataFrame:
@@ -204,29 +229,63 @@ def covered_splits(records: DataFrame) -> DataFrame:
     return grids.join(plan, "source").select("source", "grid_id", "n", final.alias("split"))
 
 
+def with_state_key(records: DataFrame) -> DataFrame:
+    """Records of a grid with ``state_key``: equal for states that differ only in spelling and order of members."""
+    return records.where(~blank(F.col("grid_id"))).withColumn("state_key", F.sha2(canonical(F.col("state_json")), 256))
+
+
 def grid_groups(records: DataFrame) -> DataFrame:
     """States of each grid in first-seen order: the variant number, records and questions."""
-    g = records.where(~blank(F.col("grid_id"))).groupBy("source", "grid_id", F.sha2("state_json", 256).alias("state_key")).agg(
-        F.min("rec_key").alias("first"), F.count("*").alias("records"), F.sum(F.size("questions")).alias("questions")
-    )
+    g = with_state_key(records).groupBy("source", "grid_id", "state_key").agg(F.min("rec_key").alias("first"), F.count("*").alias("records"), F.sum(F.size("questions")).alias("questions"))
     variant = F.row_number().over(Window.partitionBy("source", "grid_id").orderBy("first")) - 1
-    return g.select("source", "grid_id", variant.alias("variant"), "first", "records", "questions")
+    return g.select("source", "grid_id", "state_key", variant.alias("variant"), "first", "records", "questions")
+
+
+def pool(records: DataFrame, seed: int = 0) -> DataFrame:
+    """Questions of each grid state, own and derived: ``source``, ``grid_id``, ``state_key``, ``rec_key``, ``name``, ``derived``."""
+    r = with_state_key(records)
+    own = r.select("source", "grid_id", "state_key", "rec_key", F.explode("questions").alias("q")).select("source", "grid_id", "state_key", "rec_key", F.col("q.name").alias("name"), F.lit("").alias("derived"))
+    made = derived_yes_no(r, seed).select("rec_key", "name", F.col("kind").alias("derived"))
+    return own.unionByName(r.select("source", "grid_id", "state_key", "rec_key").join(made, "rec_key"))
 
 
 def chunked(records: DataFrame, seed: int = 0) -> DataFrame:
     """Questions of each grid state in a hashed order, cut into chunks of geometric size of at most 16.
 
-    An item after the first starts a chunk with probability 0.35, and longer runs are cut at 16.
+    An item after the first starts a chunk with probability 0.35, and longer runs are cut at 16. Pools of more than
+    SLICE questions are cut into slices of the order, so no task holds a whole one.
     """
-    q = records.where(~blank(F.col("grid_id"))).select("source", "grid_id", "rec_key", F.explode("questions").alias("q"))
-    q = q.select("source", "grid_id", "rec_key", F.col("q.name").alias("name"), F.col("q.type").alias("type"))
-    u, s = rng.unit(seed, F.col("rec_key"), F.col("name")), rng.unit(seed + 1, F.col("rec_key"), F.col("name"))
-    order = Window.partitionBy("source", "grid_id").orderBy("u", "rec_key", "name")
-    started = q.withColumn("u", u).withColumn("start", ((F.row_number().over(order) == 1) | (s < START_CHUNK)).cast("int"))
+    state = ["source", "grid_id", "state_key"]
+    item = ["rec_key", "name", "derived"]
+    q = pool(records, seed)
+    u, s = (rng.unit(seed + k, *map(F.col, item)) for k in (0, 1))
+    sized = q.join(q.groupBy(*state).agg(F.count("*").alias("n")), state)
+    sliced = sized.withColumns({"u": u, "s": s}).withColumn("slice", F.floor(F.col("u") * F.ceil(F.col("n") / SLICE)))
+    order = Window.partitionBy(*state, "slice").orderBy("u", *item)
+    started = sliced.withColumn("start", ((F.row_number().over(order) == 1) | (F.col("s") < START_CHUNK)).cast("int"))
     run = started.withColumn("run", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("source", "grid_id", "run").orderBy("u", "rec_key", "name")
-    placed = run.withColumn("p", F.row_number().over(inside) - 1).withColumn("piece", F.floor(F.col("p") / LONGEST_CHUNK))
-    return placed.select("source", "grid_id", "rec_key", "name", "run", "piece", F.concat(F.lit("q"), (F.col("p") % LONGEST_CHUNK + 1).cast("string")).alias("new_name"))
+    placed = run.withColumn("p", F.row_number().over(Window.partitionBy(*state, "slice", "run").orderBy("u", *item)) - 1)
+    begun = placed.withColumn("begin", (F.col("p") % LONGEST_CHUNK == 0).cast("int"))
+    upto = begun.withColumn("upto", F.sum("begin").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chunks = upto.groupBy(*state, "slice").agg(F.sum("begin").alias("many"))
+    before = F.sum("many").over(Window.partitionBy(*state).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    full = upto.join(chunks.withColumn("before", F.coalesce(before, F.lit(0))).drop("many"), [*state, "slice"])
+    name = F.concat(F.lit("q"), (F.col("p") % LONGEST_CHUNK + 1).cast("string"))
+    return full.select(*state, *item, (F.col("before") + F.col("upto") - 1).alias("chunk"), name.alias("new_name"))
+
+
+def grid_records(records: DataFrame, seed: int = 0) -> DataFrame:
+    """The records of the training set: one for each chunk of a grid state, with its id, questions and members.
+
+    The id is source/grid#variant.chunk, the source only where the grid does not begin with it.
+    """
+    groups = grid_groups(records).select("source", "grid_id", "state_key", "variant")
+    name = F.when(F.startswith("grid_id", F.concat("source", F.lit("/"))), F.col("grid_id")).otherwise(F.concat_ws("/", "source", "grid_id"))
+    rows = chunked(records, seed).groupBy("source", "grid_id", "state_key", "chunk").agg(
+        F.count("*").alias("questions"), F.count_if(F.col("derived") != "").alias("derived"), F.array_join(F.array_sort(F.collect_set("rec_key")), ",").alias("asked_in")
+    )
+    full = rows.join(groups, ["source", "grid_id", "state_key"])
+    return full.select(F.concat(name, F.lit("#"), F.col("variant").cast("string"), F.lit("."), F.col("chunk").cast("string")).alias("id"), "questions", "derived", "asked_in")
 
 
 def joined(instructions: Column, tail: Column, zh: Column) -> Column:
@@ -264,10 +323,11 @@ def derived_yes_no(records: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def shared_meta(records: DataFrame) -> DataFrame:
-    """Which of the promoted fields have one value in all records of a grid."""
+    """Which of the promoted fields have one value in all records of a grid state."""
     same = lambda c: F.when((F.count_distinct(c) == 1) & (F.count(c) == F.count("*")), F.min(c))
-    cols = ("license", "lang", "cluster", "split")
-    return records.where(~blank(F.col("grid_id"))).groupBy("source", "grid_id").agg(F.count("*").alias("n"), *(same(c).alias(c) for c in cols))
+    cols = ("license", "lang", "cluster", "split", "coco_id", "flip_group", "flip_kind")
+    g = with_state_key(records).groupBy("source", "grid_id", "state_key").agg(F.min("rec_key").alias("first"), F.count("*").alias("n"), *(same(c).alias(c) for c in cols))
+    return g.drop("state_key")
 
 
 def grid_ids(records: DataFrame) -> DataFrame:

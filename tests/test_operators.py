@@ -66,8 +66,8 @@ def test_split_rates_and_coverage(spark):
 def test_chunks_use_each_question_once(spark, data):
     r = P.once(spark.read.parquet(f"{data}/records.parquet"))
     c = P.chunked(r).collect()
-    assert len({(x.rec_key, x.name) for x in c}) == len(c)
-    assert max(collections.Counter((x.source, x.grid_id, x.run, x.piece) for x in c).values()) <= 16
+    assert len({(x.rec_key, x.name, x.derived) for x in c}) == len(c)
+    assert max(collections.Counter((x.source, x.grid_id, x.state_key, x.chunk) for x in c).values()) <= 16
 
 
 def test_uniforms_do_not_depend_on_partitions(spark):

@@ -6,9 +6,9 @@ from pathlib import Path
 
 import pytest
 
-from tallyloom.llm import overlap as O
 from tallyloom.operators import augment as A
 from tallyloom.operators import evaluation as E
+from tallyloom.operators import neartext
 from tallyloom.operators import pipeline as P
 from tallyloom.plans import evaluation as eval_plan
 from tallyloom.plans import pipeline as plan
@@ -37,9 +37,11 @@ def test_held_out_passes_are_reasons(spark, monkeypatch):
         {"rec_key": 7, "state_json": '"quite another text again"', "grid_id": "g/1", "coco_id": 77},
     ]
     r = records(spark, rows)
-    tiers, images = spark.createDataFrame([], "source string, tier string"), spark.createDataFrame([(77, "f", 4)], "image_id long, file_name string, license_id int")
+    images = spark.createDataFrame([(77, "f", 4)], "image_id long, file_name string, license_id int")
     hashes, held = spark.createDataFrame([(5, 12345 << 20), (6, 0b1011)], "rec_key long, h long"), spark.createDataFrame([(0b1000,)], "h long")
-    got = P.drop_reasons(r, tiers, images, (), (), r.where("split = 'test'"), P.held_out_hits(O.overlaps(r), hashes, held))
+    tiers = spark.createDataFrame([("s", "commercial-ok")], "source string, tier string")
+    hits = P.held_out_hits(r, hashes, held)
+    got = P.drop_reasons(r, tiers, images, (), (), hits)
     assert {x.rec_key: x.reason for x in got.collect()} == {1: None, 2: "held out text", 3: "held out text", 4: "held out id", 5: None, 6: "held out image", 7: "held out id"}
     m = P.manifest(got).first()
     assert (m.raw, m.kept, m.held_out_image_drops, m.held_out_text_drops, m.held_out_id_drops) == (7, 2, 1, 2, 2)
@@ -48,6 +50,67 @@ def test_held_out_passes_are_reasons(spark, monkeypatch):
     assert [x.records for x in plan.grid_groups(spark, "").collect()] == [1]  # only kept rows
 
 
+def test_tiers_and_image_licences(spark):
+    rows = [{"rec_key": k, "source": x, "state_json": '"x"'} for k, x in enumerate("abcde")] + [{"rec_key": 9, "source": "a", "state_json": '"x"', "coco_id": c} for c in (None,)]
+    tiers = spark.createDataFrame([("a ", "copyleft"), ("b", None), ("c", "commercial-ok"), ("d", "odd")], "source string, tier string")
+    got = {x.source: x.tier_license for x in P.tiered(records(spark, rows), tiers).collect()}
+    assert got == {"a": "non-commercial", "b": "unknown", "c": "commercial-ok", "d": "unknown", "e": "unknown"}
+    pictured = records(spark, [{"rec_key": c, "state_json": '"x"', "coco_id": c, "images": [("dir/f.jpg", None)]} for c in (1, 2, 3, 4)])
+    licences = spark.createDataFrame([(1, "x", 4), (1, "x", 4), (None, "2", 5), (7, "f.jpg", 6), (4, None, None)], "image_id long, file_name string, license_id int")
+    assert {x.coco_id: x.image_license for x in P.image_licensed(pictured, licences).collect()} == {1: 4, 2: 5, 3: None, 4: None}
+
+
+def test_image_numbers_of_held_out_and_other_paths(spark):
+    paths = ["a/COCO_val2014_000000000077.jpg", "a/COCO_train2014_000000000078.jpg", "a/train2017/00079.jpg", "a/val2017/80.jpg", "a/val2018/81.jpg", "a/82.jpg"]
+    r = records(spark, [{"rec_key": k, "images": [(p, None)], "state_json": '"x"'} for k, p in enumerate(paths)] + [{"rec_key": 10, "images": [(None, "h/COCO_test2015_5.jpg"), (None, None)], "coco_id": 6}, {"rec_key": 11}])
+    found = lambda held: {(x.rec_key, x.number) for x in P.numbers_shown(r, held).collect()}
+    assert found(False) == {(0, 77), (1, 78), (2, 79), (3, 80), (10, 5), (10, 6)} and found(True) == {(0, 77), (10, 6)}
+
+
+def test_near_texts_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    held = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(80)] + ["a", "ab", "", None]
+    mine = ["a", "b", "ab", "", None, held[0], held[0]]
+    for t in held[:80]:
+        w = t.split()
+        for _ in range(rng.randrange(0, 8)):
+            w[rng.randrange(len(w))] = word()
+        mine.append(" ".join(w))
+    cut = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))}
+    want = {a for a in mine if a and any(b and len(cut(a) & cut(b)) >= 0.8 * len(cut(a) | cut(b)) for b in held)}
+    frame = lambda x: spark.createDataFrame([(t, "e") for t in x], "text string, tkey string")
+    got = [x.text for x in neartext.near(frame(mine), frame(held)).collect()]
+    assert len(got) == len(want) > 20 and set(got) == want
+    assert neartext.near(frame(mine).limit(0), frame(held)).count() == neartext.near(frame(mine), frame(held).limit(0)).count() == 0
+
+
+def test_grid_records_hold_one_state(spark):
+    q = lambda n: [(f"q{i}", "choice", "?", [(0, "A", "a"), (1, "B", "b"), (2, "C", "c")], [0.2, 0.5, 0.3], None) for i in range(n)]
+    rows = [{"rec_key": k, "grid_id": "s/1" if k % 2 else "g", "state_json": ['{"a": "\u00e9", "b": 1}', '{"b": 1, "a": "é"}', '"other"'][k % 3], "questions": q(30)} for k in range(12)]
+    rows += [{"rec_key": 50, "grid_id": " ", "state_json": "[]", "questions": q(1)}]
+    r = records(spark, rows)
+    groups = P.grid_groups(r).collect()
+    assert sorted((x.grid_id, x.variant, x.records) for x in groups) == [("g", 0, 4), ("g", 1, 2), ("s/1", 0, 4), ("s/1", 1, 2)]
+    c = P.chunked(r).collect()
+    assert sum(x.derived == "" for x in c) == 360 and len({(x.rec_key, x.name, x.derived) for x in c}) == len(c) > 500
+    state = {x["rec_key"]: x["state_json"].startswith("{") for x in rows}
+    chunks = {}
+    for x in c:
+        chunks.setdefault((x.grid_id, x.state_key, x.chunk), []).append(x)
+    assert all(len({state[x.rec_key] for x in v}) == 1 and sorted(int(x.new_name[1:]) for x in v) == list(range(1, len(v) + 1)) and len(v) <= 16 for v in chunks.values())
+    g = {x.id: x for x in P.grid_records(r).collect()}
+    assert len(g) == len(chunks) and {i.split(".")[0] for i in g} == {"s/g#0", "s/g#1", "s/1#0", "s/1#1"} and sum(x.questions for x in g.values()) == len(c)
+
+
+def test_quality_lengths_are_the_defined_ranks(spark):
+    rows = [{"rec_key": k, "state_json": json.dumps("x" * n)} for k, n in enumerate([1, 2, 5, 8, 8, 30])] + [{"rec_key": 90, "source": "t", "state_json": None}]
+    got = {x.source: (x.median_chars, x.p95_chars, x.invalid) for x in P.quality(records(spark, rows)).collect()}
+    assert got == {"s": (6, 8, 6), "t": (None, None, 1)}
+
+
 def test_replicates_are_whole():
     assert [inspect.signature(f).parameters["reps"].default for f in (E.gate, E.ece_interval, E.noise_floor)] == [4000, 1000, 200]
 
