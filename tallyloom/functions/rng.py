@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,22 +28,41 @@ def stable_bit(c: Column) -> Column:
     return F.conv(F.substring(F.sha1(c.cast("binary")), 1, 2), 16, 10).cast("int") % 2
 
 
-def poisson_weight(u: Column) -> Column:
-    """A Poisson(1) count from a uniform number, by the inverse of its distribution."""
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_STEPS), F.lit(0))
+def replicates(df: DataFrame, reps: int, seed: int, keys: list[str], digits: int) -> DataFrame:
+    """Each row once for each replicate, with ``rep`` and ``draw``, some hex digits of its own.
 
+    One SHA-256 of seed, block and keys serves a block of replicates, as many as its 64 digits hold.
+    """
+    per = 64 // digits
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // per)))).withColumn("_hex", F.sha2(text, 256))
+    each = blocks.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).withColumn("rep", F.col("_block") * per + F.col("_at")).where(F.col("rep") < reps)
+    return each.withColumn("draw", F.substring(F.col("_hex"), F.col("_at") * digits + 1, F.lit(digits))).drop("_block", "_hex", "_at")
 
-def poisson_sql(u: str) -> str:
+
+def draw_sql(seed: int, keys: list[str], digits: int) -> str:
+    """The draw of a row and ``rep`` in SQL."""
+    per = 64 // digits
+    text = " || '|' || ".join([f"'{seed}'", f"CAST(rep // {per} AS VARCHAR)", *(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)])
+    return f"substr(sha256({text}), CAST(rep % {per} * {digits} + 1 AS BIGINT), {digits})"
+
+
+def poisson_weight(draw: Column) -> Column:
+    """A Poisson(1) count from four hex digits, by the inverse of its distribution."""
+    return sum(((draw >= c).cast("int") for c in POISSON_STEPS), F.lit(0))
+
+
+def poisson_sql(draw: str) -> str:
     """The same count in SQL."""
-    return "(" + " + ".join(f"(case when {u} >= {c!r} then 1 else 0 end)" for c in POISSON_STEPS) + ")"
+    return "(" + " + ".join(f"CAST({draw} >= '{c}' AS INT)" for c in POISSON_STEPS) + ")"
 
 
-def _steps(k: int = 9) -> list[float]:
+def _steps() -> list[str]:
     p = total = 0.36787944117144233  # exp(-1)
     out = []
-    for i in range(1, k + 1):
-        out.append(round(total, 15))
-        p /= i
+    while (n := round(total * 65536)) < 65536:
+        out.append(f"{n:04x}")
+        p /= len(out)
         total += p
     return out
 

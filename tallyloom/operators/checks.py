@@ -5,9 +5,9 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyloom.functions import rng
+from tallyloom.functions.ranks import quantiles
 
 MODELS = ("nova-s", "nova-m")
 # Short wordings of a generic question.
@@ -103,10 +103,12 @@ def generic_variant(questions: DataFrame, seed: int = 0) -> DataFrame:
 
 def latency_curve(rows: DataFrame, cell: list[str], order: str, ms: str) -> DataFrame:
     """First sample apart; median (linear), least and largest of the others."""
-    n = F.row_number().over(Window.partitionBy(*cell).orderBy(order))
-    r = rows.where(F.col(ms).isNotNull()).withColumn("_n", n)
-    rest = F.when(F.col("_n") > 1, F.col(ms))
-    return r.groupBy(*cell).agg(F.max(F.when(F.col("_n") == 1, F.col(ms))).alias("first_ms"), F.count(rest).alias("n"), F.round(F.percentile(rest, 0.5), 6).alias("p50"), F.min(rest).alias("least"), F.max(rest).alias("most"))
+    known = rows.where(F.col(ms).isNotNull())
+    first = known.groupBy(*cell).agg(F.min_by(ms, order).alias("first_ms"), F.min(order).alias("_first"))
+    rest = known.join(first.select(*cell, "_first"), cell).where(F.col(order) != F.col("_first"))
+    others = rest.groupBy(*cell).agg(F.count("*").alias("n"), F.min(ms).alias("least"), F.max(ms).alias("most"))
+    full = first.join(others, cell, "left").join(quantiles(rest, cell, ms, p50=0.5), cell, "left")
+    return full.select(*cell, "first_ms", F.coalesce("n", F.lit(0)).alias("n"), "p50", "least", "most")
 
 
 def bootstrap_clusters(rows: DataFrame, cluster: str, record: str, question: str, least: int = 20) -> DataFrame:

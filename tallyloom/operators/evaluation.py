@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions import rng
 from tallyloom.functions import vectors as V
+from tallyloom.functions.ranks import quantiles
 from tallyloom.operators.pipeline import blank
 
 BINS = 10
@@ -82,25 +83,29 @@ def coverage(rows: DataFrame) -> DataFrame:
 def auroc(rows: DataFrame) -> DataFrame:
     """Area under the ROC of yes/no answers with a decided target; ties share their rank.
 
-    Answers are first counted by score, so ranks are summed over distinct scores.
+    Answers are first counted by score, so ranks are summed over distinct scores; slices of the scores give the offsets.
     """
     yes = rows.where("qtype = 'noul'").select("model", F.round(F.element_at("pred", 1), 9).alias("score"), (F.element_at("target", 1) >= 0.5).cast("int").alias("y"))
-    cells = yes.groupBy("model", "score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    below = Window.partitionBy("model").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cells.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    cells = yes.groupBy("model", "score").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("slice", F.floor(F.col("score") * 4096))
+    slices = cells.groupBy("model", "slice").agg(F.sum("n").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("model").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    below = Window.partitionBy("model", "slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0))).join(slices.select("model", "slice", F.coalesce(upto, F.lit(0)).alias("before")), ["model", "slice"])
+    ranked = placed.withColumn("rank", F.col("before") + F.col("below") + (F.col("n") + 1) / 2.0)
     sums = ranked.groupBy("model").agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
     return sums.select("model", p.alias("positives"), q.alias("negatives"), F.round(F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2.0) / (p * q)), 6).alias("auroc"))
 
 
 def macro_f1(rows: DataFrame) -> DataFrame:
-    """F1 averaged over the classes of each question type that occur in targets or predictions."""
+    """F1 averaged over the classes of each question type that occur in targets or predictions, and over all of them."""
     pairs = rows.select("model", "qtype", F.element_at("labels", V.argmax(F.col("target")) + 1).alias("y"), F.element_at("labels", V.argmax(F.col("pred")) + 1).alias("p"))
     cells = pairs.groupBy("model", "qtype", "y", "p").agg(F.count("*").alias("n"))
     parts = cells.select("model", "qtype", F.explode(F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("f")), F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("t"), F.col("n").alias("f")))).alias("x"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit"))
     by = parts.groupBy("model", "qtype", "x.c").agg(F.sum("x.t").alias("t"), F.sum("x.f").alias("f"), (F.sum("hit") / 2).alias("tp"))
     f1 = F.when(F.col("t") + F.col("f") > 0, 2 * F.col("tp") / (F.col("t") + F.col("f"))).otherwise(0.0)
-    return by.groupBy("model", "qtype").agg(F.count("*").alias("classes"), F.round(F.avg(f1), 6).alias("macro_f1"))
+    mean = (F.count("*").alias("classes"), F.round(F.avg(f1), 6).alias("macro_f1"))
+    return by.groupBy("model", "qtype").agg(*mean).unionByName(by.groupBy("model", F.lit("all").alias("qtype")).agg(*mean))
 
 
 def stability(rows: DataFrame) -> DataFrame:
@@ -120,19 +125,17 @@ def stability(rows: DataFrame) -> DataFrame:
 def latency(answers: DataFrame) -> DataFrame:
     """Median, 95th percentile (linear between ranks) and mean of each record's first known latency."""
     first = once(answers).groupBy("model", "rec_key").agg(F.min_by("latency_ms", F.when(F.col("latency_ms").isNotNull(), F.struct("answered_at", "answer_id"))).alias("ms"))
-    return first.groupBy("model").agg(
-        F.count("ms").alias("n"), F.round(F.percentile("ms", 0.5), 6).alias("p50"), F.round(F.percentile("ms", 0.95), 6).alias("p95"), F.round(F.avg("ms"), 6).alias("mean")
-    )
+    mean = first.groupBy("model").agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 6).alias("mean"))
+    return mean.join(quantiles(first, ["model"], "ms", p50=0.5, p95=0.95), "model", "left").select("model", "n", "p50", "p95", "mean")
 
 
 def errors(answers: DataFrame) -> DataFrame:
     """Failed answers by status, with the first five as samples."""
     bad = once(answers).where("status <> 200")
     w = Window.partitionBy("status").orderBy("answer_id")
-    ranked = bad.withColumn("_n", F.row_number().over(w))
-    return ranked.groupBy(F.col("status").cast("string").alias("status")).agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_n") <= 5, F.col("answer_id")))).cast("array<string>"), ",").alias("first_five")
-    )
+    first = bad.select("status", "answer_id", F.row_number().over(w).alias("_n")).where("_n <= 5")  # limited before the exchange
+    samples = first.groupBy("status").agg(F.array_join(F.array_sort(F.collect_list("answer_id")).cast("array<string>"), ",").alias("first_five"))
+    return bad.groupBy("status").agg(F.count("*").alias("n")).join(samples, "status").select(F.col("status").cast("string").alias("status"), "n", "first_five")
 
 
 def confidence_buckets(rows: DataFrame) -> DataFrame:
@@ -153,8 +156,8 @@ def meter(rows: DataFrame) -> DataFrame:
     yes = lambda v: F.element_at(v, 1) > 0.5
     right = F.when(F.col("qtype") == "noul", yes(F.col("pred")) == yes(F.col("target"))).otherwise(V.argmax(F.col("pred")) == V.argmax(F.col("target"))).cast("int")
     return rows.withColumn("right", right).rollup("qtype").agg(
-        F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("accuracy"), F.round(F.avg("brier"), 6).alias("brier"), F.round(F.avg("nll"), 6).alias("nll")
-    ).select(F.coalesce("qtype", F.lit("all")).alias("qtype"), "n", "accuracy", "brier", "nll")
+        F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("accuracy"), F.round(F.avg("brier"), 6).alias("brier"), F.round(F.avg("nll"), 6).alias("nll"), F.grouping("qtype").alias("_all")
+    ).select(F.when(F.col("_all") == 1, "all").otherwise(F.col("qtype")).alias("qtype"), "n", "accuracy", "brier", "nll")
 
 
 def row_loss(rows: DataFrame) -> DataFrame:
@@ -176,16 +179,15 @@ def divergence(rows: DataFrame, a: str, b: str) -> DataFrame:
     return paired(rows, a, b).groupBy(F.col("a_source").alias("source")).agg(F.count("*").alias("n"), F.round(F.avg(V.kl(F.col("a_pred"), F.col("b_pred"))), 6).alias("kl"))
 
 
-def gate_samples(rows: DataFrame, clusters: DataFrame, reps: int = 4000, seed: int = 0) -> DataFrame:
+def gate_samples(clusters: DataFrame, reps: int = 4000, seed: int = 0) -> DataFrame:
     """Bootstrap replicates of the difference between two groups of rows in each cluster.
 
     Differences are first added up by cluster; each cluster enters a replicate with a Poisson(1) weight that is a hash
     of replicate and cluster, so replicates need no resampling pass and add up before the exchange.
     """
     sums = clusters.groupBy("cluster").agg(F.sum("d_acc").alias("d"), F.sum("d_brier").alias("e"), F.count("*").alias("m"))
-    each = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = rng.poisson_weight(rng.unit(seed, F.col("rep"), F.col("cluster")))
-    return each.withColumn("w", w).groupBy("rep").agg(
+    each = rng.replicates(sums, reps, seed, ["cluster"], 4)
+    return each.withColumn("w", rng.poisson_weight(F.col("draw"))).groupBy("rep").agg(
         F.round(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("m"))), 9).alias("d_acc"),
         F.round(F.try_divide(F.sum(F.col("w") * F.col("e")), F.sum(F.col("w") * F.col("m"))), 9).alias("d_brier"),
     )
@@ -212,7 +214,7 @@ def gate(pairs: DataFrame, reps: int = 4000, seed: int = 0) -> DataFrame:
     c = pairs.select(cluster.alias("cluster"), (F.col("a_correct") - F.col("b_correct")).alias("d_acc"), (F.col("a_brier") - F.col("b_brier")).alias("d_brier"))
     at = lambda col, i: F.get(F.array_sort(F.collect_list(col)), F.lit(i))
     lo, hi = int(0.025 * reps), int(0.975 * reps) - 1
-    bounds = gate_samples(None, c, reps, seed).agg(at("d_acc", lo).alias("acc_lo"), at("d_acc", hi).alias("acc_hi"), at("d_brier", lo).alias("brier_lo"))
+    bounds = gate_samples(c, reps, seed).agg(at("d_acc", lo).alias("acc_lo"), at("d_acc", hi).alias("acc_hi"), at("d_brier", lo).alias("brier_lo"))
     point = c.agg(F.count("*").alias("n"), F.avg("d_acc").alias("d"), F.avg("d_brier").alias("e"))
     verdict = (
         F.when(F.col("n") == 0, "fail: nothing shared")
@@ -227,10 +229,10 @@ def gate(pairs: DataFrame, reps: int = 4000, seed: int = 0) -> DataFrame:
 
 def noise_floor(rows: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
     """Calibration error left by chance: labels drawn from the target distributions, the mean over draws."""
-    each = rows.select("model", "answer_id", "target", "top", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), V.argmax(F.col("pred")).alias("best"))
-    u = rng.unit(seed, F.col("rep"), F.col("answer_id"))
-    upto = F.transform(F.sequence(F.lit(1), F.size("target") - 1), lambda i: F.round(V.total(F.slice("target", 1, i)), 9))
-    drawn = F.size(F.filter(upto, lambda c: u >= c))
+    upto = F.filter(F.transform("target", lambda t, i: F.round(V.total(F.slice("target", F.lit(1), i + 1)), 9)), lambda c, i: i < F.size("target") - 1)
+    each = rng.replicates(rows.select("model", "answer_id", "top", upto.alias("upto"), V.argmax(F.col("pred")).alias("best")), reps, seed, ["answer_id"], 8)
+    each = each.withColumn("u", F.conv("draw", 16, 10).cast("double") / F.lit(float(2**32)))
+    drawn = F.size(F.filter("upto", lambda c: F.col("u") >= c))
     cells = each.withColumn("hit", (drawn == F.col("best")).cast("int")).groupBy("model", "rep", bin_of(F.col("top")).alias("bin")).agg(F.count("*").alias("n"), F.sum("hit").alias("k"), F.sum("top").alias("c"))
     per = cells.groupBy("model", "rep").agg((F.sum(F.abs(F.col("k") - F.col("c"))) / F.sum("n")).alias("e"))
     return per.groupBy("model").agg(F.round(F.avg("e"), 6).alias("noise_floor"))
@@ -238,20 +240,30 @@ def noise_floor(rows: DataFrame, reps: int = 200, seed: int = 0) -> DataFrame:
 
 def ece_interval(rows: DataFrame, reps: int = 1000, seed: int = 1) -> DataFrame:
     """2.5 % and 97.5 % points (linear) of the calibration error under resampling of rows."""
-    each = rows.select("model", "answer_id", "correct", "conf", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    w = rng.poisson_weight(rng.unit(seed, F.col("rep"), F.col("answer_id")))
-    cells = each.withColumn("w", w).groupBy("model", "rep", bin_of(F.col("conf")).alias("bin")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("correct")).alias("k"), F.sum(F.col("w") * F.col("conf")).alias("c"))
+    each = rng.replicates(rows.select("model", "answer_id", "correct", "conf"), reps, seed, ["answer_id"], 4)
+    cells = each.withColumn("w", rng.poisson_weight(F.col("draw"))).groupBy("model", "rep", bin_of(F.col("conf")).alias("bin")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("correct")).alias("k"), F.sum(F.col("w") * F.col("conf")).alias("c"))
     per = cells.groupBy("model", "rep").agg(F.try_divide(F.sum(F.abs(F.col("k") - F.col("c"))), F.sum("n")).alias("e"))
     return per.groupBy("model").agg(F.round(F.percentile("e", 0.025), 6).alias("lo"), F.round(F.percentile("e", 0.975), 6).alias("hi"))
 
 
 def flip_probe(rows: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs of records that differ in one detail: is the answer for the higher target higher, by kind and for all."""
-    kinds = records.where("flip_group is not null").groupBy("rec_key").agg(F.min("flip_group").alias("flip_group"), F.min("flip_kind").alias("flip_kind"))
-    one = rows.join(kinds, "rec_key").select("flip_group", "flip_kind", "qname", "model", "rec_key", F.element_at("pred", 1).alias("p"), F.element_at("target", 1).alias("t"))
-    order = F.struct("t", "rec_key")
-    pairs = one.groupBy("flip_group", "flip_kind", "qname", "model").agg(F.count("*").alias("m"), F.max_by("p", order).alias("hi"), F.min_by("p", order).alias("lo")).where("m >= 2")
-    return pairs.rollup("flip_kind").agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("hi") - F.col("lo")), 6).alias("margin"), F.round(F.avg((F.col("hi") > F.col("lo")).cast("int")), 6).alias("ordered"),
-        F.round(F.avg(((F.col("hi") >= 0.5) & (F.col("lo") >= 0.5)).cast("int")), 6).alias("both_hi"), F.round(F.avg(((F.col("hi") < 0.5) & (F.col("lo") < 0.5)).cast("int")), 6).alias("both_lo"),
-    ).select(F.coalesce("flip_kind", F.lit("all")).alias("kind"), "n", "margin", "ordered", "both_hi", "both_lo")
+    """Pairs of records that differ in one detail: is the answer for the true one higher, by kind and for all.
+
+    Only yes/no questions named q1 take part. The true record of a group has a target above one half, the false one any
+    other; of several the last counts, and the last record of the group gives the kind. A group without a kind, or of
+    the kind ``all``, is counted once.
+    """
+    asked = records.where("flip_group is not null and rec_key is not null").select("rec_key", "flip_group", "flip_kind", F.explode("questions").alias("q")).where("q.name = 'q1' and q.type = 'noul'")
+    true = F.element_at("q.target", 1) > 0.5
+    roles = asked.groupBy("flip_group").agg(
+        F.max(F.when(true, F.col("rec_key"))).alias("t"), F.max(F.when(~F.coalesce(true, F.lit(False)), F.col("rec_key"))).alias("f"), F.max_by("flip_kind", "rec_key").alias("kind")
+    ).where("t is not null and f is not null")
+    answer = rows.where("qname = 'q1'").groupBy("model", "rec_key").agg(F.max(F.element_at("pred", 1)).alias("p"))
+    of = lambda c, p: answer.select("model", F.col("rec_key").alias(c), F.col("p").alias(p))
+    pairs = roles.join(of("t", "hi"), "t").join(of("f", "lo"), ["f", "model"])
+    each = pairs.withColumn("kind", F.explode(F.array_distinct(F.array(F.coalesce("kind", F.lit("all")), F.lit("all")))))
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return each.groupBy("kind").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("hi") - F.col("lo")), 6).alias("margin"), share(F.col("hi") > F.col("lo")).alias("ordered"),
+        share((F.col("hi") > 0.5) & (F.col("lo") > 0.5)).alias("both_hi"), share((F.col("hi") < 0.5) & (F.col("lo") < 0.5)).alias("both_lo"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions.rng import poisson_sql, unit, unit_sql
+from tallyloom.functions.rng import draw_sql, poisson_sql, unit, unit_sql
 from tallyloom.operators import evaluation as E
 from tallyloom.tables import table
 
@@ -137,7 +137,7 @@ ORACLE_SQL = {
   c AS (SELECT model, qtype, y AS c FROM l UNION SELECT model, qtype, p FROM l),
   f AS (SELECT c.model, c.qtype, c.c, count(*) FILTER (l.y = c.c AND l.p = c.c) AS tp, count(*) FILTER (l.y = c.c) AS t, count(*) FILTER (l.p = c.c) AS f
     FROM c JOIN l ON l.model = c.model AND l.qtype = c.qtype GROUP BY ALL)
-  SELECT model, qtype, count(*) AS classes, round(avg(2.0::DOUBLE * tp / (t + f)), 6) AS macro_f1 FROM f GROUP BY model, qtype""",
+  SELECT model, CASE WHEN grouping(qtype) = 1 THEN 'all' ELSE qtype END AS qtype, count(*) AS classes, round(avg(2.0::DOUBLE * tp / (t + f)), 6) AS macro_f1 FROM f GROUP BY GROUPING SETS ((model, qtype), (model))""",
     "eval_stability": f"""WITH {SCORED}, s AS (SELECT *, CASE WHEN qtype IN ('choice', 'score') AND pred_reversed IS NOT NULL THEN
     CAST({ARG.format('pred')} <> {ARG.format('pred_reversed')} AS INT) END AS turned,
     CASE WHEN qtype = 'noul' AND pred_negated IS NOT NULL THEN abs(pred[1] + pred_negated - 1) END AS gap,
@@ -154,7 +154,7 @@ ORACLE_SQL = {
   SELECT model, count(*) AS sources, round(avg((acc - chance) / (1 - chance)), 6) AS skill, round(sum((acc - chance) / (1 - chance) * n) / sum(n), 6) AS weighted_skill
   FROM b GROUP BY model""",
     "eval_meter": f"""WITH {SCORED}, m AS (SELECT *, CAST(CASE WHEN qtype = 'noul' THEN (pred[1] > 0.5) = (target[1] > 0.5) ELSE correct = 1 END AS INT) AS r FROM scored)
-  SELECT coalesce(qtype, 'all') AS qtype, count(*) AS n, round(avg(r), 6) AS accuracy, round(avg(brier), 6) AS brier, round(avg(nll), 6) AS nll
+  SELECT CASE WHEN grouping(qtype) = 1 THEN 'all' ELSE qtype END AS qtype, count(*) AS n, round(avg(r), 6) AS accuracy, round(avg(brier), 6) AS brier, round(avg(nll), 6) AS nll
   FROM m GROUP BY ROLLUP (qtype)""",
     "eval_row_loss": f"""WITH {SCORED}, e AS (SELECT *, nll + 0.1::DOUBLE * brier + 0.05::DOUBLE * CASE WHEN qtype = 'score' THEN
     ((list_sum(list_transform(pred, lambda p, i: p * (i - 1))) - list_sum(list_transform(target, lambda p, i: p * (i - 1)))) / greatest(len(target) - 1, 1)) ** 2 ELSE 0 END AS loss FROM scored)
@@ -162,30 +162,31 @@ ORACLE_SQL = {
     "eval_divergence": f"""WITH {SCORED} SELECT a.source, count(*) AS n, round(avg(list_sum(list_transform(a.pred, lambda p, i: CASE WHEN p > 0 THEN
   p * ln(p / greatest(b.pred[i], 1e-12)) ELSE 0 END))), 6) AS kl FROM scored a JOIN scored b ON a.rec_key = b.rec_key AND a.qname = b.qname
   WHERE a.model = 'nova-s' AND b.model = 'nova-m' GROUP BY a.source""",
-    "gate_paired": f"""WITH {SCORED}, p AS (SELECT CAST(a.rec_key AS VARCHAR) AS cluster, a.correct - b.correct AS d, a.brier - b.brier AS e FROM scored a JOIN scored b
-    ON a.rec_key = b.rec_key AND a.qname = b.qname WHERE a.model = 'nova-s' AND b.model = 'nova-m'),
+    "gate_paired": f"""WITH {SCORED}, own AS (SELECT rec_key, min(CASE WHEN trim(cluster, ' ') NOT IN ('', '-', 'nan', 'None') THEN trim(cluster, ' ') END) AS own FROM records WHERE rec_key IS NOT NULL GROUP BY 1),
+  j AS (SELECT a.rec_key, a.qname, own, coalesce('c/' || own, 'r/' || a.rec_key) AS unit, a.correct - b.correct AS d, a.brier - b.brier AS e FROM scored a JOIN scored b
+    ON a.rec_key = b.rec_key AND a.qname = b.qname LEFT JOIN own ON own.rec_key = a.rec_key WHERE a.model = 'nova-s' AND b.model = 'nova-m'),
+  p AS (SELECT d, e, CASE WHEN (SELECT count(own) = 0 OR count(DISTINCT unit) < 20 FROM j) THEN 'q/' || rec_key || '/' || qname ELSE unit END AS cluster FROM j),
   c AS (SELECT cluster, sum(d) AS d, sum(e) AS e, count(*) AS m FROM p GROUP BY 1),
-  w AS (SELECT rep, d, e, m, {poisson_sql(unit_sql(0, 'rep', 'cluster'))} AS w FROM c CROSS JOIN range(100) r(rep)),
+  w AS (SELECT rep, d, e, m, {poisson_sql(draw_sql(0, ['cluster'], 4))} AS w FROM c CROSS JOIN range(4000) r(rep)),
   s AS (SELECT rep, round(sum(w * d) / nullif(sum(w * m), 0)::DOUBLE, 9) AS x, round(sum(w * e) / nullif(sum(w * m), 0)::DOUBLE, 9) AS y FROM w GROUP BY rep),
-  b AS (SELECT (list_sort(list(x)))[3] AS lo, (list_sort(list(x)))[97] AS hi, (list_sort(list(y)))[3] AS blo FROM s),
+  b AS (SELECT (list_sort(list(x)))[101] AS lo, (list_sort(list(x)))[3900] AS hi, (list_sort(list(y)))[101] AS blo FROM s),
   t AS (SELECT count(*) AS n, avg(d) AS d, avg(e) AS e FROM p)
   SELECT n, round(d, 6) AS delta_accuracy, round(e, 6) AS delta_brier, round(lo, 6) AS acc_lo, round(hi, 6) AS acc_hi, round(blo, 6) AS brier_lo,
   CASE WHEN n = 0 THEN 'fail: nothing shared' WHEN hi < 0 OR (n >= 600 AND d < -0.03) OR blo > 0 THEN 'fail' WHEN lo > 0 THEN 'better' ELSE 'pass' END AS verdict FROM t, b""",
-    "eval_noise_floor": f"""WITH {SCORED}, e AS (SELECT model, top, rep, {ARG.format('pred')} AS best, {unit_sql(0, 'rep', 'answer_id')} AS u, target FROM scored CROSS JOIN range(10) r(rep)),
+    "eval_noise_floor": f"""WITH {SCORED}, e AS (SELECT model, top, rep, {ARG.format('pred')} AS best, ('0x' || {draw_sql(0, ['answer_id'], 8)})::UBIGINT::DOUBLE / 4294967296.0 AS u, target FROM scored CROSS JOIN range(200) r(rep)),
   h AS (SELECT model, rep, top, CAST(len(list_filter(range(1, len(target)), lambda i: u >= round(list_sum(target[1:i]), 9))) = best AS INT) AS hit FROM e),
   c AS (SELECT model, rep, {BIN.format('top')} AS bin, count(*) AS n, sum(hit) AS k, sum(top) AS c FROM h GROUP BY ALL)
   SELECT model, round(avg(e), 6) AS noise_floor FROM (SELECT model, rep, sum(abs(k - c)) / sum(n) AS e FROM c GROUP BY 1, 2) GROUP BY model""",
-    "eval_ece_interval": f"""WITH {SCORED}, w AS (SELECT model, rep, conf, correct, {poisson_sql(unit_sql(1, 'rep', 'answer_id'))} AS w FROM scored CROSS JOIN range(100) r(rep)),
+    "eval_ece_interval": f"""WITH {SCORED}, w AS (SELECT model, rep, conf, correct, {poisson_sql(draw_sql(1, ['answer_id'], 4))} AS w FROM scored CROSS JOIN range(1000) r(rep)),
   c AS (SELECT model, rep, {BIN.format('conf')} AS bin, sum(w) AS n, sum(w * correct) AS k, sum(w * conf) AS c FROM w GROUP BY ALL),
   p AS (SELECT model, rep, sum(abs(k - c)) / nullif(sum(n), 0) AS e FROM c GROUP BY 1, 2)
   SELECT model, round(quantile_cont(e, 0.025::DOUBLE), 6) AS lo, round(quantile_cont(e, 0.975::DOUBLE), 6) AS hi FROM p GROUP BY model""",
-    "flip_probe": f"""WITH k AS (SELECT rec_key, min(flip_group) AS g, min(flip_kind) AS kind FROM records WHERE flip_group IS NOT NULL GROUP BY 1),
-  q AS (SELECT DISTINCT rec_key, unnest(questions) AS q FROM records WHERE flip_group IS NOT NULL),
-  s AS (SELECT rec_key, q.name AS qname, {unit_sql(7, 'rec_key', 'q.name')} AS u, q.target[1] AS t FROM q),
-  p AS (SELECT g, kind, qname, arg_max(u, (t, rec_key)) AS hi, arg_min(u, (t, rec_key)) AS lo
-    FROM s JOIN k USING (rec_key) GROUP BY 1, 2, 3 HAVING count(*) >= 2)
-  SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(hi - lo), 6) AS margin, round(avg(CAST(hi > lo AS INT)), 6) AS ordered,
-  round(avg(CAST(hi >= 0.5 AND lo >= 0.5 AS INT)), 6) AS both_hi, round(avg(CAST(hi < 0.5 AND lo < 0.5 AS INT)), 6) AS both_lo FROM p GROUP BY ROLLUP (kind) HAVING count(*) > 0""",
+    "flip_probe": f"""WITH q AS (SELECT DISTINCT rec_key, flip_group AS g, flip_kind AS kind, unnest(questions) AS q FROM records WHERE flip_group IS NOT NULL AND rec_key IS NOT NULL),
+  a AS (SELECT rec_key, g, kind, {unit_sql(7, 'rec_key', 'q.name')} AS u, coalesce(q.target[1] > 0.5, false) AS t FROM q WHERE q.name = 'q1' AND q.type = 'noul'),
+  r AS (SELECT g, max(rec_key) FILTER (t) AS t, max(rec_key) FILTER (NOT t) AS f, coalesce(arg_max(kind, rec_key), 'all') AS kind FROM a GROUP BY g),
+  p AS (SELECT unnest(list_distinct([kind, 'all'])) AS kind, hi.u AS hi, lo.u AS lo FROM r JOIN (SELECT DISTINCT rec_key, u FROM a) hi ON hi.rec_key = r.t JOIN (SELECT DISTINCT rec_key, u FROM a) lo ON lo.rec_key = r.f)
+  SELECT kind, count(*) AS n, round(avg(hi - lo), 6) AS margin, round(avg(CAST(hi > lo AS INT)), 6) AS ordered,
+  round(avg(CAST(hi > 0.5 AND lo > 0.5 AS INT)), 6) AS both_hi, round(avg(CAST(hi < 0.5 AND lo < 0.5 AS INT)), 6) AS both_lo FROM p GROUP BY kind""",
 }
 QUERIES = {
     f.__name__: f

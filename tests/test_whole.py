@@ -6,11 +6,13 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tallyloom.functions import ranks, rng
 from tallyloom.operators import augment as A
 from tallyloom.operators import evaluation as E
 from tallyloom.operators import neartext
 from tallyloom.operators import pipeline as P
-from tallyloom.plans import evaluation as eval_plan
 from tallyloom.plans import pipeline as plan
 from tallyloom.plans import requests as request_plan
 from tallyloom.plans import texts as text_plan
@@ -70,14 +72,14 @@ def test_image_numbers_of_held_out_and_other_paths(spark):
 def test_near_texts_equal_brute_force(spark):
     import random
 
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
-    held = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(80)] + ["a", "ab", "", None]
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8)))
+    held = [" ".join(word() for _ in range(rnd.randrange(1, 60))) for _ in range(80)] + ["a", "ab", "", None]
     mine = ["a", "b", "ab", "", None, held[0], held[0]]
     for t in held[:80]:
         w = t.split()
-        for _ in range(rng.randrange(0, 8)):
-            w[rng.randrange(len(w))] = word()
+        for _ in range(rnd.randrange(0, 8)):
+            w[rnd.randrange(len(w))] = word()
         mine.append(" ".join(w))
     cut = lambda t: {t[i : i + 3] for i in range(max(1, len(t) - 2))}
     want = {a for a in mine if a and any(b and len(cut(a) & cut(b)) >= 0.8 * len(cut(a) | cut(b)) for b in held)}
@@ -127,16 +129,36 @@ def test_gate_resamples_clusters(spark):
     assert by_group.acc_hi - by_group.acc_lo > 1.2 * (by_record.acc_hi - by_record.acc_lo)
 
 
-@pytest.mark.parametrize(("name", "run"), [("gate_paired", lambda r: E.gate(E.paired(r, "nova-s", "nova-m"), 100)), ("eval_ece_interval", lambda r: E.ece_interval(r, 100)), ("eval_noise_floor", lambda r: E.noise_floor(r, 10))])
-def test_few_replicates_equal_sql(spark, data, name, run):
-    import duckdb
+def test_draws_are_uniform_and_weights_poisson(spark):
+    import math
+
+    w = [x.w for x in rng.replicates(spark.range(300).withColumn("k", F.lit("x")), 100, 3, ["id", "k"], 4).select(rng.poisson_weight(F.col("draw")).alias("w")).collect()]
+    assert len(w) == 30_000 and all(abs(w.count(k) / 30_000 - math.exp(-1) / math.factorial(k)) < 0.012 for k in range(5))
+    reps = rng.replicates(spark.range(3), 17, 0, ["id"], 8).collect()
+    assert sorted((x.id, x.rep) for x in reps) == [(i, r) for i in range(3) for r in range(17)] and len({x.draw for x in reps}) == 51
+
+
+def test_flip_pairs_by_role(spark):
+    yes, no = [0.8, 0.2], [0.5, 0.5]
+    asked = lambda t, name="q1", kind="noul": [(name, kind, "?", None, t, None)]
+    rows = [(1, "a", "tone", asked(yes)), (2, "a", "tone", asked(no)), (3, "b", None, asked(no)), (4, "b", None, asked(yes)), (5, "c", "all", asked(yes)), (6, "c", "all", asked(no)),
+            (7, "d", "tone", asked(yes)), (8, "d", "tone", asked(yes)), (9, "e", "tone", asked(yes, "q2")), (10, "e", "tone", asked(no, "q2")), (11, None, "tone", asked(no))]
+    rec = spark.createDataFrame(rows + rows[:2], f"rec_key long, flip_group string, flip_kind string, questions {Q}")
+    answers = spark.createDataFrame([(k, "q1", "m", [p, 1 - p]) for k, p in ((1, 0.9), (2, 0.6), (3, 0.7), (4, 0.5), (5, 0.4), (6, 0.1), (7, 0.9), (8, 0.9))], "rec_key long, qname string, model string, pred array<double>")
+    got = {x.kind: (x.n, x.margin, x.ordered, x.both_hi, x.both_lo) for x in E.flip_probe(answers, rec).collect()}
+    assert got == {"tone": (1, 0.3, 1.0, 1.0, 0.0), "all": (3, 0.133333, 0.666667, 0.333333, 0.333333)}
+
+
+def test_quantiles_equal_numpy(spark):
+    import random
+
+    import numpy as np
 
-    con = duckdb.connect()
-    for f in Path(data).glob("*.parquet"):
-        con.sql(f"create view {f.stem} as select * from read_parquet('{f}')")
-    df = run(eval_plan.rows(spark, data))
-    want = con.sql(f"select {', '.join(df.columns)} from ({eval_plan.ORACLE_SQL[name]})").fetchall()
-    assert sorted(map(tuple, df.collect())) == sorted(want)
+    rnd = random.Random(1)
+    rows = [("a", rnd.choice([5.0, -3.5, 0.0, 1e6, rnd.random()])) for _ in range(500)] + [("b", 2.0), ("c", None), (None, 1.0), (None, 4.0)] + [("d", 7.0)] * 50
+    got = {x.k: (x.p50, x.p95) for x in ranks.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", p50=0.5, p95=0.95).collect()}
+    want = {k: tuple(round(float(np.quantile([v for g, v in rows if g == k], q)), 6) for q in (0.5, 0.95)) for k in ("a", "b", "d", None)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
 def test_distractors_come_from_the_whole_pool(spark, monkeypatch):
