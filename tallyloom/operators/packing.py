@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import rng
+from tallyloom.functions.ranks import ranked
 
 
 def folded(lengths: Column, fits) -> Column:
@@ -58,9 +59,15 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull()), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct((s["n"] + (s["on"] & same).cast("int")).alias("n"), (s["on"] & same).alias("on")), lambda s: s["n"])
 
 
-def path(n: Column, n_tokens: Column, shared: Column) -> Column:
-    """How a request is run: one question alone, a shared beginning when it pays, else rows in a batch."""
-    return F.when(n == 1, "single").when(shared >= n_tokens / 2, "shared prefix").when(n_tokens * n <= 32_768, "one batch").otherwise("row batches")
+def path(n: Column, state_tokens: Column, pictured: Column, repeated: Column, least_prefix: int = 4096, least_saved: int = 2048) -> Column:
+    """How a request is run: one question behind a kept prefix or alone; several with a shared state where there are
+    pictures or enough tokens are saved, else in rows. ``repeated`` says that a picture layout repeats the state."""
+    return (
+        F.when((n == 1) & (state_tokens >= least_prefix) & ~repeated, "prefix")
+        .when(n == 1, "single")
+        .when(pictured | ((n - 1) * state_tokens >= least_saved), "shared batches")
+        .otherwise("row batches")
+    )
 
 
 def sampled_questions(questions: DataFrame, group: str, name: str, k: int = 4, seed: int = 0) -> DataFrame:
@@ -73,6 +80,6 @@ def sampled_questions(questions: DataFrame, group: str, name: str, k: int = 4, s
 
 
 def token_stats(rows: DataFrame, kind: str, length: str) -> DataFrame:
-    """Rows, mean, upper median and largest length, by kind."""
-    n = F.count("*")
-    return rows.groupBy(kind).agg(n.alias("rows"), F.round(F.avg(length), 6).alias("mean"), F.expr(f"element_at(array_sort(collect_list({length})), cast(floor(count(*) / 2) as int) + 1)").alias("upper_median"), F.max(length).alias("longest"))
+    """Rows, mean, upper median and largest length, by kind; the median from the counts of each length."""
+    sums = rows.groupBy(kind).agg(F.count("*").alias("rows"), F.round(F.avg(length), 6).alias("mean"), F.max(length).alias("longest"))
+    return sums.join(ranked(rows, kind, length, upper_median="n div 2"), kind, "left").select(kind, "rows", "mean", "upper_median", "longest")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tallyloom.functions import rng
 from tallyloom.functions import text as T
 from tallyloom.functions import vectors as V
+from tallyloom.functions.ranks import ranked
 from tallyloom.operators import neartext
 from tallyloom.operators.checks import canonical, leaf_text
 from tallyloom.operators.relational import near_hashes
@@ -151,17 +152,6 @@ def totals(records: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), value.alias("value"), "n").unionByName(types)
 
 
-def ranked(values: DataFrame, key: str, value: str, **ranks) -> DataFrame:
-    """Values at given ranks from 0 of each key; a rank is an expression of the number of rows ``n``.
-
-    Equal values are counted first, so a task holds the distinct values of a key and not its rows.
-    """
-    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("_upto", upto).join(counted.groupBy(key).agg(F.sum("_c").alias("n")), key)
-    return placed.groupBy(key).agg(*(F.min(F.when(F.col("_upto") > F.expr(rank), F.col(value))).alias(name) for name, rank in ranks.items()))
-
-
 def quality(records: DataFrame) -> DataFrame:
     """Per source: records, questions by type, the largest number of questions, invalid records, pictures, languages, and
     the length of the state's text: the whole part of the median, and the value at the whole part of 0.95 (n - 1)."""

@@ -1,6 +1,7 @@
 """Requests and answers: states as text, prompts, answer parsing and shaping."""
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,10 +28,11 @@ def _scalar_text(x) -> str:
     return json.dumps(x, ensure_ascii=False)
 
 
-def state_text(state_json: str | None) -> str | None:
+def state_text(state_json: str | None, pictured_by: tuple[str, ...] = ("url",)) -> str | None:
     """A JSON state as indented lines: ``key: value``, ``1. value``, a slot ``[image]`` for each image.
 
-    Null stays null and an unreadable state stands as it is. Line ends close the last line only between lines.
+    An image is an object under ``image`` with one of the members ``pictured_by`` as a string. Null stays null and an
+    unreadable state stands as it is. No line ends stand behind the last line.
     """
     if state_json is None:
         return None
@@ -39,7 +41,7 @@ def state_text(state_json: str | None) -> str | None:
     except (ValueError, RecursionError):
         return state_json
     if isinstance(state, str):
-        return state
+        return state.rstrip("\n")
     lines: list[str] = []
     work: list[tuple] = [("", state, 0, True)]
     while work:
@@ -51,7 +53,7 @@ def state_text(state_json: str | None) -> str | None:
             inner = depth if alone else depth + 1
             named = [(f"{k}:", v, k) for k, v in x] if isinstance(x, _Members) else [(f"{i}.", v, None) for i, v in enumerate(x, 1)]
             for head, v, key in reversed(named):
-                picture = key == "image" and isinstance(v, _Members) and any(k in ("url", "path") and isinstance(u, str) for k, u in v)
+                picture = key == "image" and isinstance(v, _Members) and any(k in pictured_by and isinstance(u, str) for k, u in v)
                 work.append(("[image]", "", inner, False) if picture else (head, v, inner, False))
             continue
         text = _scalar_text(x)
@@ -66,10 +68,11 @@ def state_text(state_json: str | None) -> str | None:
 
 
 def with_state_text(records: DataFrame, column: str = "state_json", name: str = "state_text") -> DataFrame:
-    """One more column: the state as text."""
+    """One more column: the state as a request shows it; the pictures of a path are sent as URLs."""
+
     @F.pandas_udf("string")
     def render(s: pd.Series) -> pd.Series:
-        return s.map(state_text, na_action="ignore")
+        return s.map(lambda x: state_text(x, ("url", "path")), na_action="ignore")
 
     return records.withColumn(name, render(F.col(column)))
 
@@ -98,9 +101,35 @@ def safe(text: Column) -> Column:
     return F.regexp_replace(text, r"<\|([^|<>]*)\|>", "<¦$1¦>")
 
 
-def layout(has_image: Column, n_tokens: Column, limit: int = 3000) -> Column:
-    """How a state is read: twice for short states without images, else once."""
-    return F.when(~has_image & (n_tokens <= limit), "state_twice").otherwise("once")
+# The instruction of the system, and what stands before a state.
+SYSTEM = "You are a careful judge. Read the state, then answer the question about it. Reply with only the answer token, nothing else."
+STATE, AGAIN = "State:\n", "\n\nState (repeated):\n"
+
+
+def layout(pictured: Column, questions: Column, state_tokens: Column, longest: Column, image_read: str = "twice", read_twice: str = "state", most_twice: int = 3000, most: int = 32_768) -> Column:
+    """How a state is read: a request with pictures and one question by ``image_read`` (twice, qfirst), a short text state
+    by ``read_twice`` (state, full), any other once. A request that only the layout makes too long is read once.
+
+    ``longest`` is the number of tokens of the longest question.
+    """
+    by_image = F.when(pictured & (questions == 1) & F.lit(bool(image_read)), F.lit(f"image_{image_read}"))
+    by_text = F.when(~pictured & (state_tokens <= most_twice) & F.lit(bool(read_twice)), F.lit({"state": "state_twice", "full": "full"}.get(read_twice, "once")))
+    chosen = F.coalesce(by_image, by_text, F.lit("once"))
+    repeats = chosen.isin("image_twice", "state_twice", "full")
+    written = F.when(repeats, state_tokens * 2).otherwise(state_tokens) + F.when(chosen.isin("image_twice", "full"), longest * 2).otherwise(longest)
+    return F.when((chosen != "once") & (written > most), "once").otherwise(chosen)
+
+
+def messages(state: Column, q: Column, how: Column) -> Column:
+    """The two messages of a request: the system's, and the state and question in one of the layouts."""
+    asked = F.trim(F.coalesce(q["instructions"], F.lit("")))
+    first = F.when(asked != "", F.concat(F.lit("Question: "), asked)).otherwise("")
+    between = F.when(asked != "", F.concat(F.lit("\n\n"), first)).otherwise("")
+    lead = F.when((how == "image_qfirst") & (asked != ""), F.concat(first, F.lit("\n\n"))).otherwise("")
+    middle = F.when(how.isin("image_twice", "full"), between).otherwise("")
+    again = F.when(how.isin("image_twice", "full", "state_twice"), F.concat(F.lit(AGAIN), state)).otherwise("")
+    user = F.concat(lead, F.lit(STATE), state, middle, again, F.lit("\n\n"), question_prompt(q))
+    return F.struct(F.lit(SYSTEM).alias("system"), user.alias("user"))
 
 
 def shaped(rows: DataFrame) -> DataFrame:
@@ -124,15 +153,25 @@ def answer_faults(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fault", fault)
 
 
-def jobs(records: DataFrame) -> DataFrame:
-    """Requests of an evaluation run: whole records, and by question the perturbed forms that apply to its type."""
-    q = records.select("rec_key", F.explode("questions").alias("q"), F.size("questions").alias("n"))
-    turned = q.where("q.type in ('choice', 'score')").select("rec_key", F.lit("order").alias("kind"), F.col("q.name").alias("qname"))
-    separate = q.where("n > 1").select("rec_key", F.lit("separate").alias("kind"), F.col("q.name").alias("qname"))
-    negated = q.where("q.negated is not null").select("rec_key", F.lit("negation").alias("kind"), F.col("q.name").alias("qname"))
-    whole = records.select("rec_key", F.explode(F.array(F.lit("main"), F.lit("repeat"))).alias("kind"), F.lit(None).cast("string").alias("qname"))
-    shaken = records.where("size(images) > 0").select("rec_key", F.lit("jitter").alias("kind"), F.lit(None).cast("string").alias("qname"))
-    return whole.unionByName(turned).unionByName(separate).unionByName(negated).unionByName(shaken)
+def jobs(records: DataFrame, one_per_request: bool = False) -> DataFrame:
+    """Requests of an evaluation run: the record, whole or by question, and the perturbed forms that apply to it.
+
+    One request a record asks all questions in the reversed order of options if any has an order, one asks the negated
+    questions, one repeats it and one shakes its pictures; each question is asked alone where there are others.
+    """
+    q = F.col("questions")
+    n = F.coalesce(F.size(q), F.lit(0))
+    has = lambda cond: F.exists(F.coalesce(q, F.array()), cond)
+    parts = n > 1 if one_per_request else F.lit(False)
+    whole = F.array(
+        F.when(~parts, F.lit("main")), F.lit("repeat"), F.when(has(lambda x: x["type"].isin("choice", "score")), F.lit("order")),
+        F.when(has(lambda x: x["negated"].isNotNull()), F.lit("negation")), F.when(F.coalesce(F.size("images"), F.lit(0)) > 0, F.lit("jitter")),
+    )
+    each = F.array(F.when(parts, F.lit("main_part")), F.when(n > 1, F.lit("separate")))
+    by_record = records.select("rec_key", F.explode(F.array_compact(whole)).alias("kind"), F.lit(None).cast("string").alias("qname"))
+    alone = records.select("rec_key", F.array_compact(each).alias("kinds"), F.explode("questions").alias("q"))
+    alone = alone.select("rec_key", F.explode("kinds").alias("kind"), F.col("q.name").alias("qname"))
+    return by_record.unionByName(alone)
 
 
 def bare(q: DataFrame) -> DataFrame:
@@ -143,6 +182,33 @@ def bare(q: DataFrame) -> DataFrame:
     return kept.select("rec_key", "name", "type", F.array_join(labels, "|").alias("labels"), F.round(1.0 / k, 6).alias("even"))
 
 
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
+_OPENS = re.compile(r"[ \t\r\n]*:[ \t\r\n]*(?=\{)")
+
+
+def without_images(state_json: str) -> str:
+    """A state as written, with ``"[image omitted]"`` for each object under ``image`` that has a path or a URL."""
+    out, at, kept = [], 0, 0
+    while m := _STRING.search(state_json, at):
+        at = m.end()
+        opens = _OPENS.match(state_json, at) if m[0] == '"image"' else None
+        if not opens:
+            continue
+        try:
+            value, end = json.JSONDecoder().raw_decode(state_json, opens.end())
+        except (ValueError, RecursionError):
+            continue
+        if "path" in value or "url" in value:
+            out += [state_json[kept : opens.end()], '"[image omitted]"']
+            at = kept = end
+    return "".join(out) + state_json[kept:]
+
+
 def strip_images(state_json: Column) -> Column:
-    """A state without its pictures, for a blind baseline."""
-    return F.regexp_replace(state_json, r'("image"\s*:\s*)\{[^{}]*\}', '$1"[image omitted]"')
+    """A state without its pictures, for a blind baseline; null stays null, and what is no JSON keeps what is unreadable."""
+
+    @F.pandas_udf("string")
+    def run(states: pd.Series) -> pd.Series:
+        return states.map(without_images, na_action="ignore")
+
+    return run(state_json)

@@ -90,14 +90,24 @@ def boxes_at(points: DataFrame, boxes: DataFrame, screen: str, cell: int = 256)
     return inside.groupBy(screen, "point_id").agg(F.min_by("box_id", F.struct(area.alias("area"), F.col("box_id"))).alias("box_id"), F.count("*").alias("around"))
 
 
-def occluded(boxes: DataFrame, screen: str, share: float = 0.5) -> DataFrame:
-    """Boxes that a later box of their screen covers by at least the share of their area."""
-    later = boxes.select(screen, *(F.col(c).alias(f"l_{c}") for c in ("box_id", "x0", "y0", "x1", "y1")))
+def occluded(boxes: DataFrame, screen: str, share: float = 0.5, cell: int = 256) -> DataFrame:
+    """Boxes that a later box of their screen covers by at least the share of their area.
+
+    A box that covers half of another holds its centre, so centres are looked up in the later boxes, by grid cell.
+    A smaller share than one half needs no centre; then every cell of the box is looked up.
+    """
+    spans = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    sound = boxes.where("x1 > x0 and y1 > y0")
+    later = sound.select(screen, *(F.col(c).alias(f"l_{c}") for c in ("box_id", "x0", "y0", "x1", "y1")))
+    later = later.withColumn("cx", F.explode(spans("l_x0", "l_x1"))).withColumn("cy", F.explode(spans("l_y0", "l_y1")))
+    if share >= 0.5:  # the middle of each axis lies in the overlap, whose width and height are half or more
+        at = sound.withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2 / cell), "cy": F.floor((F.col("y0") + F.col("y1")) / 2 / cell)})
+    else:
+        at = sound.withColumn("cx", F.explode(spans("x0", "x1"))).withColumn("cy", F.explode(spans("y0", "y1")))
     w = F.greatest(F.least("x1", "l_x1") - F.greatest("x0", "l_x0"), F.lit(0))
     h = F.greatest(F.least("y1", "l_y1") - F.greatest("y0", "l_y0"), F.lit(0))
     cover = w * h >= share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    pairs = boxes.join(later, [screen]).where((F.col("l_box_id") > F.col("box_id")) & cover & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
-    return pairs.select(screen, "box_id").distinct()
+    return at.join(later, [screen, "cx", "cy"]).where((F.col("l_box_id") > F.col("box_id")) & cover).select(screen, "box_id").distinct()
 
 
 def reservoir(rows: DataFrame, group: str, key: str, k: int, seed: int = 0) -> DataFrame:
@@ -119,20 +129,34 @@ def distinct_limited(rows: DataFrame, group: str, kind: str, order: str, k: int)
     return rows.join(kinds.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_first", "_rank"), [group, kind], "left_semi")
 
 
+def hash_ranks(rows: DataFrame, group: str, key: str, seed: int | str = 0, slices: int = 1024) -> DataFrame:
+    """``group``, ``key``, ``i`` (rank from 0 in a hashed order of the group), ``n`` (size of the group).
+
+    Ranks come from counts of slices of the hash, so no task orders a whole group.
+    """
+    placed = rows.select(group, key, rng.unit(seed, F.col(key)).alias("u")).withColumn("slice", F.floor(F.col("u") * slices))
+    counts = placed.groupBy(group, "slice").agg(F.count("*").alias("m"))
+    w = Window.partitionBy(group)
+    upto = F.sum("m").over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
+    offsets = counts.select(F.col(group).alias("_g"), F.col("slice").alias("_s"), (upto - F.col("m")).alias("offset"), F.sum("m").over(w).alias("n"))
+    inner = F.row_number().over(Window.partitionBy(group, "slice").orderBy("u", key)) - 1
+    ranked = placed.withColumn("inner", inner)
+    full = ranked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("slice") == F.col("_s")))
+    return full.select(group, key, (F.col("offset") + F.col("inner")).alias("i"), "n")
+
+
 def derangement(rows: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
     """A donor for every row of its group, never itself: the next in a hashed order, around the end."""
-    u = rng.unit(seed, F.col(key))
-    w = Window.partitionBy(group)
-    ranked = rows.select(group, key).withColumn("u", u).withColumns({"i": F.row_number().over(w.orderBy("u", key)) - 1, "n": F.count("*").over(w)}).where("n >= 2")
+    ranked = hash_ranks(rows, group, key, seed).where("n >= 2")
     donors = ranked.select(group, F.col("i").alias("j"), F.col(key).alias("donor"))
     return ranked.withColumn("j", (F.col("i") + 1) % F.col("n")).join(donors, [group, "j"]).select(group, key, "donor")
 
 
 def balanced(rows: DataFrame, kind: str, key: str, seed: int = 0) -> DataFrame:
-    """As many rows of each kind as the rarest has, by hashed rank."""
+    """As many rows of each kind as the rarest has, by hashed rank; every column of a row with its key."""
     least = rows.groupBy(kind).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    ranked = rows.withColumn("u", rng.unit(seed, F.col(key))).withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy("u", key)))
-    return ranked.join(F.broadcast(least), F.lit(True)).where("rank <= least").drop("u", "rank", "least")
+    ranked = hash_ranks(rows, kind, key, seed)
+    return ranked.join(F.broadcast(least), F.lit(True)).where("i < least").select(kind, key)  # one row is sent
 
 
 def tie_rank(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyloom.functions.rng import unit_sql
@@ -68,14 +66,14 @@ def stream_events(spark, d):
     """Hourly counts of events by a watermarked stream that is run to its end."""
     ws = Workspace(spark)
     s = ingest.windowed_counts(ingest.stream(spark, d, ingest.EVENT, "events.parquet"))
-    return ingest.run_to_end(s, f"events_{uuid.uuid4().hex[:8]}", "complete", f"{ws.root}/checkpoint")
+    return ingest.run_to_end(s, f"{ws.root}/events", f"{ws.root}/checkpoint", "complete")
 
 
 def stream_lines(spark, d):
     """Ids of usable lines, each once, by a stream."""
     ws = Workspace(spark)
     s = ingest.usable_lines(ingest.stream(spark, d, ingest.LINE, "raw_records.parquet"))
-    return ingest.run_to_end(s, f"lines_{uuid.uuid4().hex[:8]}", "append", f"{ws.root}/checkpoint").select("id")
+    return ingest.run_to_end(s, f"{ws.root}/lines", f"{ws.root}/checkpoint").select("id")
 
 
 ORACLE_SQL = {

@@ -34,10 +34,21 @@ def sanitize(spark, d):
 
 
 def layout_choice(spark, d):
-    r = once(spark, d).select(Q.layout(F.size("images") > 0, F.length("state_json"), 400).alias("layout"))
+    """How requests are read; a token stands for four characters."""
+    t = lambda c: F.ceil(F.length(c) / 4)
+    r = once(spark, d).where("size(questions) > 0").select(
+        Q.layout(F.size("images") > 0, F.size("questions"), t(F.col("state_json")), F.array_max(F.transform("questions", lambda q: t(F.coalesce(q["instructions"], F.lit(""))))), most_twice=100, most=400).alias("layout")
+    )
     return r.groupBy("layout").agg(F.count("*").alias("n"))
 
 
+def request_messages(spark, d):
+    """User messages of all questions whose state is one string, in the layout of their request."""
+    r = once(spark, d).where("startswith(state_json, '\"')").select("rec_key", F.get_json_object(F.concat(F.lit('{"s":'), "state_json", F.lit("}")), "$.s").alias("s"), (F.size("images") > 0).alias("p"), F.size("questions").alias("n"), F.explode("questions").alias("q"))
+    how = Q.layout(F.col("p"), F.col("n"), F.ceil(F.length("s") / 4), F.ceil(F.length(F.coalesce("q.instructions", F.lit(""))) / 4), read_twice="full")
+    return r.select("rec_key", F.col("q.name").alias("qname"), how.alias("layout"), Q.messages(F.rtrim(F.col("s"), F.lit("\n")), F.col("q"), how)["user"].alias("message"))
+
+
 def shape_answers(spark, d):
     return Q.shaped(scored_rows(spark, d))
 
@@ -132,8 +143,10 @@ def common_prefix(spark, d):
 
 
 def path_choice(spark, d):
-    r = once(spark, d).select(F.size("questions").alias("n"), F.length("state_json").alias("t"), F.length("state_json").alias("s"))
-    return r.groupBy(K.path(F.col("n"), F.col("t"), F.lit(180)).alias("path")).agg(F.count("*").alias("records"))
+    """How the requests of records run; a token stands for four characters."""
+    r = once(spark, d).select(F.size("questions").alias("n"), F.ceil(F.length("state_json") / 4).alias("t"), (F.size("images") > 0).alias("p"))
+    how = K.path(F.col("n"), F.col("t"), F.col("p"), F.col("p") & (F.col("n") == 1), least_prefix=120, least_saved=200)
+    return r.groupBy(how.alias("path")).agg(F.count("*").alias("records"))
 
 
 def max_questions(spark, d):
@@ -154,23 +167,34 @@ _STRING = "starts_with(state_json, '\"')"
 _DESC = "coalesce(c.desc, '')"
 _LETTER = "chr(CAST(64 + i AS INT))"
 _MEANING = "list_filter(q.criteria, lambda c: c.label = '{0}')[1].desc"
-ORACLE_SQL = {
-    "render_prompt": f"""WITH {_QS} SELECT rec_key, q.name AS qname, CASE WHEN trim(coalesce(q.instructions, ''), ' ') <> '' THEN 'Question: ' || trim(q.instructions, ' ') || chr(10) || chr(10) ELSE '' END ||
+_PROMPT = f"""CASE WHEN trim(coalesce(q.instructions, ''), ' ') <> '' THEN 'Question: ' || trim(q.instructions, ' ') || chr(10) || chr(10) ELSE '' END ||
   CASE q.type WHEN 'choice' THEN 'Options:' || chr(10) || array_to_string(list_transform(q.criteria, lambda c, i: {_LETTER} || '. ' || c.label || CASE WHEN {_DESC} <> '' THEN ' - ' || c.desc ELSE '' END), chr(10))
     || chr(10) || chr(10) || 'Answer with the letter of the single best option.'
   WHEN 'score' THEN 'Scale, from lowest (0) to highest (' || CAST(len(q.criteria) - 1 AS VARCHAR) || '):' || chr(10) ||
     array_to_string(list_transform(q.criteria, lambda c, i: rtrim(CAST(i - 1 AS VARCHAR) || '. ' || {_DESC}, ' ')), chr(10)) || chr(10) || chr(10) || 'Answer with the level number only.'
-  ELSE concat_ws(chr(10), 'Answer Yes or No.', 'Yes means: ' || {_MEANING.format('true')}, 'No means: ' || {_MEANING.format('false')}) END AS prompt FROM q""",
-    "sanitize": r"SELECT doc_id, regexp_replace('<|start|>' || substr(text, 1, 80) || '<|end|>', '<\|([^|<>]*)\|>', '<¦\1¦>', 'g') AS safe FROM documents WHERE text IS NOT NULL",
-    "layout_choice": f"WITH {ONCE} SELECT CASE WHEN NOT len(images) > 0 AND length(state_json) <= 400 THEN 'state_twice' ELSE 'once' END AS layout, count(*) AS n FROM once GROUP BY 1",
+  ELSE concat_ws(chr(10), 'Answer Yes or No.', 'Yes means: ' || {_MEANING.format('true')}, 'No means: ' || {_MEANING.format('false')}) END"""
+ORACLE_SQL = {
+    "render_prompt": f"WITH {_QS} SELECT rec_key, q.name AS qname, {_PROMPT} AS prompt FROM q",
+    "sanitize": r"SELECT doc_id, regexp_replace(text, '<\|([^|<>]*)\|>', '<¦\1¦>', 'g') AS safe FROM documents WHERE text IS NOT NULL",
+    "layout_choice": f"""WITH {ONCE}, t AS (SELECT len(images) > 0 AS p, len(questions) AS n, CAST(ceil(length(state_json) / 4) AS BIGINT) AS s,
+    list_max(list_transform(questions, lambda q: CAST(ceil(length(coalesce(q.instructions, '')) / 4) AS BIGINT))) AS l FROM once WHERE len(questions) > 0),
+  h AS (SELECT *, CASE WHEN p AND n = 1 THEN 'image_twice' WHEN NOT p AND s <= 100 THEN 'state_twice' ELSE 'once' END AS h FROM t)
+  SELECT CASE WHEN h = 'image_twice' AND 2 * s + 2 * l > 400 OR h = 'state_twice' AND 2 * s + l > 400 THEN 'once' ELSE h END AS layout, count(*) AS n FROM h GROUP BY 1""",
+    "request_messages": f"""WITH {ONCE}, q AS (SELECT rec_key, len(images) > 0 AS p, len(questions) AS n, rtrim(state_json::JSON ->> '$', chr(10)) AS s, length(state_json::JSON ->> '$') AS size, unnest(questions) AS q FROM once WHERE {_STRING}),
+  h AS (SELECT *, ceil(size / 4) AS st, ceil(length(coalesce(q.instructions, '')) / 4) AS l, CASE WHEN p AND n = 1 THEN 'image_twice' WHEN NOT p AND ceil(size / 4) <= 3000 THEN 'full' ELSE 'once' END AS h FROM q),
+  w AS (SELECT *, CASE WHEN h <> 'once' AND 2 * st + 2 * l > 32768 THEN 'once' ELSE h END AS layout, trim(coalesce(q.instructions, ''), ' ') AS asked FROM h)
+  SELECT rec_key, q.name AS qname, layout, 'State:' || chr(10) || s || CASE WHEN layout <> 'once' AND asked <> '' THEN chr(10) || chr(10) || 'Question: ' || asked ELSE '' END
+    || CASE WHEN layout <> 'once' THEN chr(10) || chr(10) || 'State (repeated):' || chr(10) || s ELSE '' END || chr(10) || chr(10) || {_PROMPT} AS message FROM w""",
     "shape_answers": f"""WITH {SCORED} SELECT answer_id, qtype, CASE qtype WHEN 'noul' THEN printf('%.6f', pred[1]) WHEN 'choice' THEN labels[{ARG.format('pred')} + 1]
   ELSE printf('%.6f', list_sum(list_transform(pred, lambda p, i: p * (i - 1)))) END AS value, round(conf, 9) AS confidence,
   CASE WHEN qtype <> 'noul' THEN '{{' || array_to_string(list_transform(labels, lambda l, i: '"' || l || '":' || printf('%.6f', pred[i])), ',') || '}}' END AS probabilities FROM scored""",
     "answer_parse": f"""WITH {ANSWERS_ONCE} SELECT model, qtype, CASE WHEN pred IS NULL THEN 'missing' WHEN len(pred) <> len(labels) THEN 'length'
   WHEN len(list_filter(pred, lambda p: p IS NULL OR p < 0 OR p > 1)) > 0 THEN 'range' WHEN qtype = 'noul' AND labels <> ['true', 'false'] THEN 'options'
   WHEN qtype = 'score' AND labels <> list_transform(range(len(labels)), lambda i: CAST(i AS VARCHAR)) THEN 'options' ELSE 'none' END AS fault, count(*) AS n FROM once GROUP BY 1, 2, 3""",
-    "jobs_expand": f"""WITH {_QS}, j AS (SELECT rec_key, unnest(['main', 'repeat']) AS kind FROM once UNION ALL SELECT rec_key, 'order' FROM q WHERE q.type IN ('choice', 'score')
-    UNION ALL SELECT rec_key, 'separate' FROM (SELECT rec_key, unnest(questions) AS q FROM once WHERE len(questions) > 1) UNION ALL SELECT rec_key, 'negation' FROM q WHERE q.negated IS NOT NULL
+    "jobs_expand": f"""WITH {ONCE}, j AS (SELECT rec_key, unnest(['main', 'repeat']) AS kind FROM once
+    UNION ALL SELECT rec_key, 'order' FROM once WHERE len(list_filter(questions, lambda q: q.type IN ('choice', 'score'))) > 0
+    UNION ALL SELECT rec_key, 'separate' FROM (SELECT rec_key, unnest(questions) AS q FROM once WHERE len(questions) > 1)
+    UNION ALL SELECT rec_key, 'negation' FROM once WHERE len(list_filter(questions, lambda q: q.negated IS NOT NULL)) > 0
     UNION ALL SELECT rec_key, 'jitter' FROM once WHERE len(images) > 0)
   SELECT kind, count(*) AS n, count(DISTINCT rec_key) AS records FROM j GROUP BY kind""",
     "answers_merge": f"""WITH {ANSWERS_ONCE} SELECT rec_key, model, count(*) AS parts, round(sum(latency_ms), 6) AS latency_ms, arg_min(status, (qname, status)) FILTER (status <> 200) AS error
@@ -203,11 +227,6 @@ ORACLE_SQL = {
   SELECT rec_key, shape, (['{{"document":', '{{"ticket":{{"body":', '{{"messages":[{{"from":"user","text":', '[', '{{"context":'])[shape + 1] || state_json || (['}}', '}}}}', '}}]}}', ']', '}}'])[shape + 1] AS state_json FROM s""",
     "aug_injection": f"""WITH {ONCE} SELECT rec_key, state_json[1:-2] || ' ' || (['{"', '".join(POOL)}'])[CAST(floor({unit_sql('0.injection.pick', 'rec_key')} * {len(POOL)}) AS INT) + 1] || '"' AS state_json
   FROM once WHERE {_STRING} AND {unit_sql('0.injection', 'rec_key')} < 0.05""",
-    "aug_long_state": f"""WITH {ONCE}, pool AS (SELECT CAST(doc_id % 64 AS INT) AS slot, string_split(arg_min(text, doc_id), ' ') AS words FROM documents WHERE lang = 'en' AND length(text) >= 200 GROUP BY 1),
-  s AS (SELECT rec_key, state_json, CAST(floor({unit_sql('0.slot', 'rec_key')} * 64) AS INT) AS slot, CAST(20 + floor({unit_sql('0.want', 'rec_key')} * 61) AS INT) AS want,
-    {unit_sql('0.front', 'rec_key')} < 0.5 AS front FROM once WHERE {_STRING} AND {unit_sql('0.long', 'rec_key')} < 0.1),
-  j AS (SELECT rec_key, front, want, array_to_string(words[1:want], ' ') AS extra, state_json[2:-2] AS body FROM s JOIN pool USING (slot))
-  SELECT rec_key, front, want, CASE WHEN front THEN extra || '\\n\\n' || body ELSE body || '\\n\\n' || extra END AS body FROM j""",
     "aug_nonsense": f"""WITH {ONCE}, q AS (SELECT rec_key, unnest(questions) AS q FROM once WHERE len(images) > 0 AND {unit_sql('0.nonsense', 'rec_key')} < 0.05)
   SELECT rec_key, q.name AS name, round(1.0::DOUBLE / len(q.target), 6) AS even, CAST(len(q.target) AS INT) AS options FROM q""",
     "collate": f"""WITH {_QS}, t AS (SELECT rec_key, q.name AS qname, list_transform(q.target, lambda x: CAST(CAST(round(x * 100) AS INT) AS VARCHAR)) AS t FROM q WHERE q.target IS NOT NULL)
@@ -215,8 +234,8 @@ ORACLE_SQL = {
   array_to_string(list_concat(list_transform(t, lambda x: '1'), list_transform(range(greatest(10 - len(t), 0)), lambda i: '0')), ',') AS mask FROM t""",
     "common_prefix": f"""WITH {ONCE}, w AS (SELECT rec_key, string_split(questions[1].instructions, ' ') AS a, string_split(questions[2].instructions, ' ') AS b FROM once WHERE len(questions) >= 2)
   SELECT rec_key, CAST(coalesce(list_min(list_filter(range(least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1])), least(len(a), len(b))) AS INT) AS words FROM w""",
-    "path_choice": f"""WITH {ONCE} SELECT CASE WHEN len(questions) = 1 THEN 'single' WHEN 180 >= length(state_json) / 2.0 THEN 'shared prefix' WHEN length(state_json) * len(questions) <= 32768 THEN 'one batch'
-  ELSE 'row batches' END AS path, count(*) AS records FROM once GROUP BY 1""",
+    "path_choice": f"""WITH {ONCE}, t AS (SELECT len(questions) AS n, ceil(length(state_json) / 4) AS t, len(images) > 0 AS p FROM once)
+  SELECT CASE WHEN n = 1 AND t >= 120 AND NOT p THEN 'prefix' WHEN n = 1 THEN 'single' WHEN p OR (n - 1) * t >= 200 THEN 'shared batches' ELSE 'row batches' END AS path, count(*) AS records FROM t GROUP BY 1""",
     "max_questions": f"""WITH {_QS}, t AS (SELECT rec_key, q.name AS name, q.type AS type, CASE WHEN coalesce(len(q.criteria), 2) = 1 THEN 'single_option' WHEN length(q.instructions) > 60 THEN 'too_long' END AS reason FROM q),
   d AS (SELECT type, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY rec_key, reason IS NULL ORDER BY {unit_sql(0, 'rec_key', 'name')}, name) > 2 THEN 'not_drawn' ELSE 'drawn' END) AS reason FROM t)
   SELECT reason, type, count(*) AS n FROM d GROUP BY 1, 2""",
@@ -226,7 +245,7 @@ ORACLE_SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        state_text, render_prompt, sanitize, layout_choice, shape_answers, answer_parse, jobs_expand, answers_merge, bare_questions, image_strip, aug_negation, aug_abstain,
+        state_text, render_prompt, sanitize, layout_choice, request_messages, shape_answers, answer_parse, jobs_expand, answers_merge, bare_questions, image_strip, aug_negation, aug_abstain,
         aug_trap, aug_shuffle, aug_wrap, aug_injection, aug_long_state, aug_nonsense, micro_batches, request_chunks, collate, common_prefix, path_choice, max_questions, token_stats,
     )
 }

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 from tallyloom.functions import rng
 from tallyloom.functions import text as T
 from tallyloom.functions.rng import unit_sql
-from tallyloom.operators.checks import leaf_text
-from tallyloom.plans.pipeline import ONCE, once
+from tallyloom.operators import pipeline as P
+from tallyloom.plans.pipeline import ONCE, TEXT, once
 from tallyloom.tables import table
 
 WS = T.BLANKS + "+"
@@ -22,9 +22,8 @@ def _asked(spark, d):
 
 def record_text(spark, d):
     """Normalised text of each record: the strings of its state in written order, then the instructions."""
-    instructions = F.array_join(F.transform("questions", lambda q: F.coalesce(q["instructions"], F.lit(""))), " ")
-    text = F.concat_ws(" ", leaf_text(False)(F.col("state_json")), instructions)
-    return once(spark, d).select("rec_key", F.lower(T.collapse(text)).alias("text"))
+    r = once(spark, d)
+    return r.select("rec_key", P.record_text(r).alias("text"))
 
 
 def first_words(spark, d):
@@ -168,8 +167,7 @@ _RAW = r"SELECT doc_id, unnest(regexp_extract_all(text, '(-?[0-9][0-9,]*(?:\.[0-
 _IS = f"(regexp_matches(raw, {_NUM}) AND regexp_matches(raw, '[0-9]'))"
 _PART = lambda k: f"CASE WHEN regexp_extract(raw, {_NUM}, {k}) <> '' THEN '1' ELSE '0' END"
 ORACLE_SQL = {
-    "record_text": f"""WITH {ONCE} SELECT rec_key, lower(trim(regexp_replace(concat_ws(' ', state_json::JSON ->> '$', array_to_string(list_transform(questions, lambda q: coalesce(q.instructions, '')), ' ')),
-  '{WS}', ' ', 'g'), ' ')) AS text FROM once WHERE starts_with(state_json, '"')""",
+    "record_text": f"WITH {ONCE}, {TEXT} SELECT rec_key, text FROM text",
     "first_words": f"""SELECT doc_id, coalesce(array_to_string((list_filter(string_split(trim(regexp_replace(text, '{WS}', ' ', 'g'), ' '), ' '), lambda x: x <> ''))[1:20], ' '), '') AS words FROM documents WHERE text IS NOT NULL""",
     "prompt_normalise": f"WITH {_Q} SELECT trim(regexp_replace(lower(q.instructions), '[^a-z0-9]+', ' ', 'g'), ' ') AS prompt, count(*) AS n FROM a GROUP BY 1",
     "path_images": rf"""WITH {ONCE}, p AS (SELECT rec_key, unnest(images).path AS p FROM once),
@@ -194,7 +192,7 @@ ORACLE_SQL = {
     "yes_no_answers": f"""WITH {_Q}, c AS (SELECT unnest(q.criteria).label AS l FROM a), y AS (SELECT lower(CASE WHEN l = 'true' THEN 'yes' WHEN l = 'false' THEN 'no' ELSE trim(regexp_replace(trim(l, ' '), '\\.$', ''), ' ') END) AS l FROM c)
   SELECT CASE WHEN l = 'yes' THEN 1.0::DOUBLE WHEN l = 'no' THEN 0.0::DOUBLE END AS value, count(*) AS n FROM y GROUP BY 1""",
     "shingle_counts": "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substring(t, i, 3)))) AS INT) AS pieces FROM d",
-    "data_urls": """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'image/png' END AS mime, CASE WHEN doc_id % 3 <> 0 THEN CAST(octet_length(encode(substr(text, 1, 30))) AS INT) END AS bytes
+    "data_urls": """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'image/png' END AS mime, CASE WHEN doc_id % 3 <> 0 THEN CAST(octet_length(encode(text)) AS INT) END AS bytes
   FROM documents WHERE length(text) > 0""",
     "report_cells": """WITH a AS (SELECT source, avg(latency_ms) AS ms, avg(pred_negated) AS neg FROM answers GROUP BY source)
   SELECT source, CASE WHEN ms IS NULL THEN '—' ELSE printf('%.1f', round(ms, 3)) END AS ms, CASE WHEN neg IS NULL THEN '—' ELSE printf('%.2f', neg) END AS neg FROM a""",

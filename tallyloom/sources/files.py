@@ -36,9 +36,12 @@ def read_json_values(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return whole.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header and a declared schema; the schema is never guessed."""
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: str, line_ends: bool = False) -> DataFrame:
+    """CSV with a header and a declared schema; the schema is never guessed.
+
+    Only fields that hold line ends need ``line_ends``; a file is then one task.
+    """
+    return spark.read.csv(path, header=True, schema=schema, multiLine=line_ends, escape='"')
 
 
 def read_units(spark: SparkSession, path: str, columns: list[str], per_unit: int | None = None, seed: int = 0, key: str | None = None) -> DataFrame:

@@ -32,8 +32,15 @@ def sessions(events: DataFrame, delay: str = "10 minutes", gap: str = "2 hours")
     return s.select(F.col("session_window.start").alias("session_start"), "user_id", "n")
 
 
-def run_to_end(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process what is there and return the result table; for tests and small folders."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what is there and return the rows, which go to files in a folder and never to the driver.
+
+    ``append`` adds rows that are final; ``complete`` writes the whole table of an aggregation anew in every batch.
+    """
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").option("path", folder).start()
+    else:
+        q = w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(folder)).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -40,12 +40,65 @@ def test_request_chunks_are_greedy(spark):
 
 
 def test_state_text():
-    assert Q.state_text('"a\\nb\\n"') == "a\nb\n"
+    assert Q.state_text('"a\\nb\\n"') == "a\nb"
     assert Q.state_text('{"a": 1, "b": {"c": ["x", {"d": null}]}, "e": [], "f": "1\\n2"}') == "a: 1\nb:\n  c:\n    1. x\n    2.\n      d: null\ne: []\nf:\n  1\n  2"
-    assert Q.state_text('{"image": {"path": "p.png"}, "t": true}') == "[image]\nt: true"
+    assert Q.state_text('{"image": {"url": "p.png"}, "t": true}') == "[image]\nt: true"
+    assert Q.state_text('{"image": {"path": "p.png"}, "t": true}') == "image:\n  path: p.png\nt: true"
+    assert Q.state_text('{"image": {"path": "p.png"}, "t": true}', ("url", "path")) == "[image]\nt: true"
     assert Q.state_text(None) is None and Q.state_text("{cut") == "{cut"
 
 
+def test_pictures_are_left_out_as_written():
+    for state, want in [
+        ('{"a": {"image" : {"url": "http://x/{id}.png"}}}', '{"a": {"image" : "[image omitted]"}}'), ('{"image":{"path":"p","box":{"x":1}},"b": [ 1 ]}', '{"image":"[image omitted]","b": [ 1 ]}'),
+        ('{"image":{"caption":"c"},"x":1}', '{"image":{"caption":"c"},"x":1}'), ('{"image": {"in": {"image": {"path": "p"}}}}', '{"image": {"in": {"image": "[image omitted]"}}}'),
+        ('"\\"image\\": {\\"path\\": 1}"', '"\\"image\\": {\\"path\\": 1}"'), ('{"image": {"path": "cut', '{"image": {"path": "cut'), ('{"image": "path"}', '{"image": "path"}'),
+    ]:
+        assert Q.without_images(state) == want
+
+
+def test_jobs_of_a_record(spark):
+    q = lambda n, t, neg=None: (n, t, "?", None, None, neg)
+    schema = "rec_key long, images array<string>, questions array<struct<name string, type string, instructions string, criteria array<string>, target array<double>, negated string>>"
+    r = spark.createDataFrame([(1, [], [q("a", "choice"), q("b", "score"), q("c", "noul", "not?")]), (2, ["x"], [q("a", "noul")]), (3, None, None)], schema)
+    got = collections.Counter((x.rec_key, x.kind) for x in Q.jobs(r).collect())
+    assert got == {(1, "main"): 1, (1, "repeat"): 1, (1, "order"): 1, (1, "negation"): 1, (1, "separate"): 3, (2, "main"): 1, (2, "repeat"): 1, (2, "jitter"): 1, (3, "main"): 1, (3, "repeat"): 1}
+    got = collections.Counter((x.rec_key, x.kind) for x in Q.jobs(r, True).collect())
+    assert got[1, "main_part"] == 3 and (1, "main") not in got and got[2, "main"] == 1
+
+
+def test_layouts_and_messages(spark):
+    rows = [(True, 1, 10, 5), (True, 2, 10, 5), (False, 3, 3000, 5), (False, 1, 3001, 5), (True, 1, 20_000, 5)]
+    df = spark.createDataFrame(rows, "p boolean, n int, t int, l int")
+    how = lambda **k: [x.h for x in df.select(Q.layout(*(F.col(c) for c in "pntl"), **k).alias("h")).collect()]
+    assert how() == ["image_twice", "once", "state_twice", "once", "once"]
+    assert how(image_read="qfirst", read_twice="full") == ["image_qfirst", "once", "full", "once", "image_qfirst"] and set(how(image_read="", read_twice="")) == {"once"}
+    q = spark.createDataFrame([(("noul", " Is it? ", None),)], "q struct<type string, instructions string, criteria array<struct<label string, desc string>>>")
+    text = lambda h: q.select(Q.messages(F.lit("S"), F.col("q"), F.lit(h))["user"].alias("u")).first().u
+    end = "\n\nQuestion: Is it?\n\nAnswer Yes or No."
+    assert text("once") == "State:\nS" + end and text("state_twice") == "State:\nS\n\nState (repeated):\nS" + end
+    assert text("full") == text("image_twice") == "State:\nS\n\nQuestion: Is it?\n\nState (repeated):\nS" + end and text("image_qfirst") == "Question: Is it?\n\nState:\nS" + end
+
+
+def test_occlusion_equals_all_pairs(spark):
+    import random
+
+    rnd = random.Random(2)
+    boxes = []
+    for i in range(400):
+        x, y = rnd.randrange(1500), rnd.randrange(900)
+        boxes.append((i % 3, i, x, y, x + rnd.randrange(0, 500), y + rnd.randrange(0, 400)))
+    df = spark.createDataFrame(boxes, "screen int, box_id int, x0 int, y0 int, x1 int, y1 int")
+    for share in (0.5, 0.2):
+        want = set()
+        for s, i, a, b, c, d in boxes:
+            for s2, j, e, f, g, h in boxes:
+                w, t = max(0, min(c, g) - max(a, e)), max(0, min(d, h) - max(b, f))
+                if s == s2 and j > i and c > a and d > b and g > e and h > f and w * t >= share * (c - a) * (d - b):
+                    want.add((s, i))
+        assert {tuple(r) for r in R.occluded(df, "screen", share, 128).collect()} == want and want
+
+
 def test_common_prefix(spark):
     df = spark.createDataFrame([([1, 2, 3], [1, 2, 4]), ([1], [1, 2]), ([], [1]), ([2], [1])], "a array<int>, b array<int>")
     assert [r.n for r in df.select(K.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 1, 0, 0]
@@ -118,5 +171,5 @@ def test_jsonl_source_and_valid_sink(spark, tmp_path):
 
 def test_stream_drops_repeats(spark, data, tmp_path):
     s = ingest.usable_lines(ingest.stream(spark, data, ingest.LINE, "raw_records.parquet"))
-    got = ingest.run_to_end(s, "lines_test", "append", f"file://{tmp_path}/c")
+    got = ingest.run_to_end(s, f"file://{tmp_path}/out", f"file://{tmp_path}/c")
     assert got.count() == got.select("id").distinct().count() > 0
