@@ -188,6 +188,76 @@ def schema_tables(nodes: DataFrame) -> DataFrame:
     )
 
 
+RELATIONS = "table string, line_key long, dewey string, parent_table string, parent_dewey string, pos int, fields map<string,string>"
+
+
+def relations(lines: DataFrame, members: Iterable[str] = MEMBERS) -> DataFrame:
+    """The rows of all tables in one pass: every object, and every scalar or empty value that stands in an array or at the top.
+
+    ``table`` is the schema path, ``fields`` the scalar members by name (``value`` for a bare scalar; of a repeated member
+    the last), ``parent_table`` and ``parent_dewey`` name the row it belongs to, '' for the line itself; arrays make no
+    rows, so the row behind an array is the object around it.
+    """
+    members = tuple(members)
+    names = [x.split()[0] for x in RELATIONS.split(", ")]
+    text = lambda v: v if v is None or isinstance(v, str) else "true" if v else "false"
+
+    def rows(line):
+        stack = [(str(i), k, v, "", "", i) for i, (k, v) in enumerate(line) if k in members][::-1]
+        while stack:
+            dewey, table, v, parent_table, parent, pos = stack.pop()
+            if isinstance(v, Pairs):
+                scalars = {k: text(x) for k, x in v if not isinstance(x, list)}
+                yield table, dewey, parent_table, parent, pos, scalars
+                inner = [(f"{dewey}/{i}", f"{table}.{k}", x, table, dewey, i) for i, (k, x) in enumerate(v) if isinstance(x, list)]
+            elif isinstance(v, list):
+                inner = [(f"{dewey}/{i}", f"{table}[*]", x, parent_table, parent, i) for i, x in enumerate(v)]
+            else:
+                yield table, dewey, parent_table, parent, pos, {"value": text(v)}
+                continue
+            stack.extend(inner[::-1])
+
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                line = parse_line(body)
+                for table, dewey, parent_table, parent, pos, fields in rows(line) if line is not None else ():
+                    row = (_clean(table), k, dewey, _clean(parent_table), parent, pos, [(_clean(n), _clean(x)) for n, x in fields.items()])
+                    for col, x in zip(out, row, strict=True):
+                        col.append(x)
+                if len(out[0]) > 20_000:
+                    yield _batch(out)
+                    out = [[] for _ in names]
+            yield _batch(out)
+
+    def _batch(out):
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    src = lines.where("line_key is not null and body is not null").select("line_key", "body")
+    return src.mapInArrow(run, RELATIONS)
+
+
+def columns(rows: DataFrame) -> DataFrame:
+    """``table``, ``parent_table``, ``rows`` and ``columns`` (names of its fields in order) of every table."""
+    named = rows.select("table", "parent_table", F.explode_outer(F.map_keys("fields")).alias("name")).groupBy("table", "parent_table", "name").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("table", "parent_table").agg(F.count("*").alias("rows"))
+    names = named.groupBy("table", "parent_table").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("columns"))  # names, not rows
+    return sizes.join(names, ["table", "parent_table"])
+
+
+def one_table(rows: DataFrame, table: str, fields: Iterable[str]) -> DataFrame:
+    """One of the tables with its fields as columns; a field that is named like a key gets a ``_`` behind it."""
+    keys = ("line_key", "dewey", "parent_dewey", "pos")
+    return rows.where(F.col("table") == table).select(*keys, *(F.col("fields")[c].alias(f"{c}_" if c in keys else c) for c in fields))
+
+
+def write_tables(rows: DataFrame, folder: str) -> None:
+    """All tables below a folder, one subfolder a table, written in one pass."""
+    rows.write.mode("overwrite").partitionBy("table").option("compression", "zstd").parquet(folder)
+
+
 def flat_table(nodes: DataFrame, schema_path: str, columns: Iterable[str]) -> DataFrame:
     """The table of one schema path: a row a node, its label, its parent's, and named scalar members as columns."""
     columns = list(columns)

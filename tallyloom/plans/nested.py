@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyloom.operators import nested
 from tallyloom.tables import table
 
@@ -26,5 +28,26 @@ def p3_messages(spark, d):
     return nested.flat_table(p3_nodes(spark, d), "state.ticket.messages[*]", ["from", "text", "at"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nodes, p3_tables, p3_messages)}
-ORACLE_SQL: dict[str, str] = {}
+def p3_relations(spark, d):
+    """Rows of all tables with their parents, fields as one text."""
+    r = nested.relations(table(spark, d, "raw_records"))
+    fields = F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))), "|")
+    return r.select("table", "line_key", "dewey", "parent_table", "parent_dewey", "pos", fields.alias("fields"))
+
+
+def p3_columns(spark, d):
+    """The tables, what they hang from, and their columns."""
+    return nested.columns(nested.relations(table(spark, d, "raw_records")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_nodes, p3_tables, p3_messages, p3_relations, p3_columns)}
+# the tree of a line, walked from the root; names are shown in quotes by the key of a path only where they need them
+_WALK = """RECURSIVE t AS MATERIALIZED (SELECT line_key, t.id, t.parent, t.key, t.type, t.atom, row_number() OVER (PARTITION BY line_key, t.parent ORDER BY t.id) - 1 AS pos
+    FROM raw_records, json_tree(CASE WHEN json_valid(body) THEN body ELSE 'null' END) t WHERE line_key IS NOT NULL),
+  w AS (SELECT t.line_key, t.id, t.key AS path, '' AS parent_path, t.pos, t.type, t.atom FROM t JOIN t r ON r.line_key = t.line_key AND r.id = t.parent
+      WHERE r.parent IS NULL AND r.type = 'OBJECT' AND t.key IN ('state', 'questions', 'targets')
+    UNION ALL SELECT t.line_key, t.id, w.path || CASE WHEN w.type = 'ARRAY' THEN '[' || t.key || ']' ELSE '.' || t.key END, w.path, t.pos, t.type, t.atom
+      FROM w JOIN t ON t.line_key = w.line_key AND t.parent = w.id)"""
+ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"WITH {_WALK} SELECT DISTINCT line_key, path, parent_path, CAST(pos AS INT) AS pos FROM w",
+}

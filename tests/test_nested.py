@@ -70,3 +70,18 @@ def test_tables_link_parents(spark):
 
 def test_empty_table(spark):
     assert N.found(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_relations_in_one_pass(spark, tmp_path):
+    body = json.dumps({"state": {"m": [{"from": "u", "tags": ["x", None, []]}, [{"a": 1}]], "n": None, "o": {"p": True}}, "targets": 0.5})
+    rows = N.relations(spark.createDataFrame([(7, body, "", 0), (8, "cut", "", 0), (9, '{"state": [{"dewey": "d"}]}', "", 0)], SCHEMA))
+    got = {(r.line_key, r.table, r.dewey): (r.parent_table, r.parent_dewey, r.pos, r.fields) for r in rows.collect()}
+    assert got == {
+        (7, "state", "0"): ("", "", 0, {"n": None}), (7, "state.m[*]", "0/0/0"): ("state", "0", 0, {"from": "u"}), (7, "state.m[*].tags[*]", "0/0/0/1/0"): ("state.m[*]", "0/0/0", 0, {"value": "x"}),
+        (7, "state.m[*].tags[*]", "0/0/0/1/1"): ("state.m[*]", "0/0/0", 1, {"value": None}), (7, "state.m[*][*]", "0/0/1/0"): ("state", "0", 0, {"a": "1"}), (7, "state.o", "0/2"): ("state", "0", 2, {"p": "true"}),
+        (7, "targets", "1"): ("", "", 1, {"value": "0.5"}), (9, "state[*]", "0/0"): ("", "", 0, {"dewey": "d"}),
+    }
+    assert {r.table: (r.rows, r.columns) for r in N.columns(rows).collect()}["state.m[*].tags[*]"] == (2, "value")
+    assert [tuple(r) for r in N.one_table(rows, "state[*]", ["dewey"]).collect()] == [(9, "0/0", "", 0, "d")]
+    N.write_tables(rows, f"file://{tmp_path}/t")
+    assert spark.read.parquet(f"file://{tmp_path}/t").count() == len(got)
