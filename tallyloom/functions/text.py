@@ -65,15 +65,15 @@ def notation(c: Column) -> Column:
 
 
 def format_like(v: Column, like: Column) -> Column:
-    """A number written like another: decimals, thousands, leading zeros, percent."""
+    """A number written like another: decimals, exponent, thousands, leading zeros, percent."""
     t = F.trim(like)
-    whole, frac, pct = (F.regexp_extract(t, NUMBER, k) for k in (2, 3, 5))
+    whole, frac, exp, pct = (F.regexp_extract(t, NUMBER, k) for k in (2, 3, 4, 5))
     rounded = F.bround(v, 0).cast("long")
-    decimals = F.lit(None).cast("string")
-    for k in range(1, 7):  # the number of decimals must be constant for a format
-        decimals = F.when(F.length(frac) - 1 == k, F.format_string(f"%.{k}f", v)).otherwise(decimals)
+    places = F.greatest(F.length(frac) - 1, F.lit(0)).cast("string")  # a format may be a column
+    written = lambda kind: F.call_function("format_string", F.concat(F.lit("%."), places, F.lit(kind)), v)
     text = (
-        F.when(frac != "", decimals)
+        F.when(exp != "", written("e"))
+        .when(frac != "", written("f"))
         .when(F.contains(whole, F.lit(",")), F.format_number(rounded, 0))
         .when((F.length(whole) > 1) & F.startswith(whole, F.lit("0")) & (v >= 0), F.lpad(rounded.cast("string"), F.greatest(F.length(whole), F.length(rounded.cast("string"))), F.lit("0")))
         .otherwise(rounded.cast("string"))

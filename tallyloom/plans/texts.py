@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions import options as G
 from tallyloom.functions import rng
 from tallyloom.functions import text as T
 from tallyloom.functions.rng import unit_sql
+from tallyloom.operators import openqa as O
 from tallyloom.operators import pipeline as P
 from tallyloom.plans.pipeline import ONCE, TEXT, once
 from tallyloom.tables import table
 
 WS = T.BLANKS + "+"
-TRIES = 16
 
 
 def _asked(spark, d):
-    return once(spark, d).select("rec_key", "source", "split", "lang", F.explode("questions").alias("q"))
+    return once(spark, d).select("rec_key", "source", "split", "lang", "images", F.explode("questions").alias("q"))
 
 
 def record_text(spark, d):
@@ -59,16 +60,9 @@ def number_parse(spark, d):
 
 
 def number_distractors(spark, d):
-    """Three other values of each first number, 10 to 50 % away and written alike; zero gets small offsets."""
-    first = _numbers(spark, d).where("at = 0").where(T.is_number(F.col("raw"))).withColumn("v", T.number(F.col("raw")))
-    each = first.select("doc_id", "raw", "v", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
-    u = lambda n: rng.unit(n, F.col("doc_id"), F.col("k"))
-    sign = F.when(u("sign") < 0.5, -1.0).otherwise(1.0)
-    moved = F.when(F.col("v") == 0, F.floor(u("size") * 5) + 1).otherwise(F.col("v") * (1 + sign * (0.1 + 0.4 * u("size"))))
-    made = each.withColumn("text", T.format_like(F.round(moved, 3), F.col("raw"))).where((F.col("text") != F.col("raw")) & F.col("text").isNotNull())
-    one = made.groupBy("doc_id", "text").agg(F.min("k").alias("k"))
-    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "text")))
-    return ranked.where("rank <= 3").select("doc_id", "rank", "text")
+    """Three other values of each document's first number, written alike."""
+    first = _numbers(spark, d).where("at = 0").select(F.col("doc_id").alias("qid"), F.lit("").alias("question"), F.col("raw").alias("answer"))
+    return O.changed_numbers(first).select(F.col("qid").alias("doc_id"), F.col("place").alias("rank"), "text")
 
 
 def answer_pools(spark, d):
@@ -78,30 +72,34 @@ def answer_pools(spark, d):
     return keyed.groupBy(F.element_at("keys", 1).alias("pool")).agg(F.count("*").alias("n"))
 
 
+def _open(spark, d):
+    """Choices as open questions: the first option's description is the answer."""
+    q = _asked(spark, d).where("q.type = 'choice'")
+    image = F.try_element_at("images", F.lit(1))["path"]
+    return q.select(F.concat_ws("/", "rec_key", "q.name").alias("qid"), image.alias("image"), F.col("q.instructions").alias("question"), F.element_at("q.criteria", 1)["desc"].alias("answer"))
+
+
 def pool_draw(spark, d):
-    """Three distractors for each choice from the whole pool of its source, drawn by weight without replacement.
-
-    Weights are counts, so a draw is the answer of a hashed question of the source: an equality on its number, and no
-    question meets the pool. Draws that repeat or give the own answer are passed over. Questions that lack some after
-    TRIES draws (small pools, or one answer that outweighs all) take the rest from the list of the source's answers by
-    the largest log(u) / weight, which continues the same distribution.
-    """
-    q = _asked(spark, d).where("q.type = 'choice'").select("rec_key", "source", F.col("q.name").alias("name"), F.lower(F.element_at("q.criteria", 1)["desc"]).alias("answer")).where("answer is not null")
-    numbered = q.select("source", F.row_number().over(Window.partitionBy("source").orderBy("rec_key", "name", "answer")).alias("at"), F.col("answer").alias("other"))
-    total = q.groupBy("source").agg(F.count("*").alias("total"))
-    tries = q.join(F.broadcast(total), "source").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(TRIES))))
-    tries = tries.withColumn("at", (F.floor(rng.unit("draw", F.col("rec_key"), F.col("name"), F.col("k")) * F.col("total")) + 1).cast("int"))
-    hit = tries.join(numbered, ["source", "at"]).where(F.col("other") != F.col("answer"))
-    first = hit.groupBy("rec_key", "name", "other").agg(F.min("k").alias("k"))
-    drawn = first.withColumn("rank", F.row_number().over(Window.partitionBy("rec_key", "name").orderBy("k"))).where("rank <= 3").select("rec_key", "name", "rank", "other")
-    have = drawn.groupBy("rec_key", "name").agg(F.count("*").alias("have"), F.collect_list("other").alias("got"))
-    short = q.join(have, ["rec_key", "name"], "left").where(F.coalesce("have", F.lit(0)) < 3)
-    pool = q.groupBy("source", F.col("answer").alias("other")).agg(F.count("*").alias("w"))
-    left = short.join(pool, "source").where((F.col("other") != F.col("answer")) & ~F.coalesce(F.array_contains("got", F.col("other")), F.lit(False)))
-    key = F.ln(F.greatest(rng.unit("draw", F.col("rec_key"), F.col("name"), F.col("other")), F.lit(1e-300))) / F.col("w")
-    place = F.row_number().over(Window.partitionBy("rec_key", "name").orderBy(F.desc(key), "other")) + F.coalesce("have", F.lit(0)).cast("int")
-    rest = left.withColumn("rank", place).where("rank <= 3").select("rec_key", "name", "rank", "other")
-    return drawn.unionByName(rest)
+    """Three distractors for each choice from the pool of its question's first words, or of its kind."""
+    q = _open(spark, d).where("answer is not null").withColumn("pool", F.element_at(T.pool_keys(F.coalesce("question", F.lit("")), F.col("answer")), 1))
+    return O.pool_draws(q, q.select("pool", "qid", "answer"))
+
+
+def distractors(spark, d):
+    """Choices as open questions, with the distractors of the whole cascade."""
+    return O.distractors(_open(spark, d))
+
+
+def option_blocks(spark, d):
+    """Options written into the question in five styles and read back."""
+    q = _asked(spark, d).where("q.type = 'choice' and size(q.criteria) between 2 and 4").select("rec_key", F.col("q.name").alias("name"), F.transform("q.criteria", lambda c: F.regexp_replace(F.coalesce(c["desc"], F.lit("")), r"[^\p{L} ]", "")).alias("o"))
+    put = lambda head, sep, form: F.concat(F.lit(head), F.array_join(F.transform("o", lambda x, i: F.format_string(form, F.char(F.lit(65) + i), x)), sep))
+    styles = {
+        "trailing": G.trailing_lines(put("Which one?\n", "\n", "%s. %s")), "listed": G.listed(put("Which one? Options: ", ", ", "%s: %s")), "tail": G.option_tail(put("Which one?\nOption: ", "; ", "%s:%s")),
+        "bracketed": G.bracketed(put("Which one?\n", "\n", "(%s) %s")), "inline": G.inline(put("Which one? ", " ", "%s. %s")),
+    }
+    shown = lambda c: F.array_join(F.transform(c, lambda o: F.concat(o["label"], F.lit("="), o["text"])), "|")
+    return q.select("rec_key", "name", *(shown(c).alias(n) for n, c in styles.items()))
 
 
 def to_choice(spark, d):
@@ -180,10 +178,10 @@ ORACLE_SQL = {
     "answer_pools": rf"""WITH {_Q}, c AS (SELECT q.instructions AS i, q.criteria[1].desc AS raw FROM a WHERE q.type = 'choice' AND q.criteria[1].desc IS NOT NULL),
   k AS (SELECT *, CASE WHEN {_IS} THEN 'number' WHEN regexp_matches(lower(i), '^what (is the )?colou?r') OR lower(raw) IN {T.COLOURS} THEN 'color' ELSE 'text' END AS kind FROM c)
   SELECT CASE WHEN kind <> 'text' THEN kind ELSE coalesce(array_to_string((regexp_extract_all(lower(i), '[a-z'']+'))[1:3], ' '), '') END AS pool, count(*) AS n FROM k GROUP BY 1""",
-    "pool_draw": f"""WITH {_Q}, q AS (SELECT rec_key, source, q.name AS name, lower(q.criteria[1].desc) AS answer FROM a WHERE q.type = 'choice' AND q.criteria[1].desc IS NOT NULL),
-  p AS (SELECT source, answer AS other, count(*) AS w FROM q GROUP BY 1, 2), t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, other) <= 40),
-  c AS (SELECT rec_key, name, other, round(ln(greatest({unit_sql('draw', 'rec_key', 'name', 'other')}, 1e-12)) / w, 9) AS k FROM q JOIN t ON q.source = t.source AND t.other <> q.answer)
-  SELECT rec_key, name, rank, other FROM (SELECT *, row_number() OVER (PARTITION BY rec_key, name ORDER BY k DESC, other) AS rank FROM c) WHERE rank <= 3""",
+    "option_blocks": f"""WITH {_Q}, o AS (SELECT rec_key, q.name AS name, list_transform(q.criteria, lambda c: trim(regexp_replace(coalesce(c.desc, ''), '[^\\p{{L}} ]', '', 'g'), ' ')) AS o FROM a WHERE q.type = 'choice' AND len(q.criteria) BETWEEN 2 AND 4),
+  t AS (SELECT rec_key, name, len(o) AS n, len(list_filter(o, lambda x: x = '')) = 0 AS good, array_to_string(list_transform(o, lambda x, i: chr(CAST(64 + i AS INT)) || '=' || x), '|') AS s,
+    array_to_string(list_filter(list_transform(o, lambda x, i: CASE WHEN lower(x) NOT IN ('', '-', 'nan', 'none') THEN chr(CAST(64 + i AS INT)) || '=' || x END), lambda x: x IS NOT NULL), '|') AS b FROM o)
+  SELECT rec_key, name, CASE WHEN good THEN s END AS trailing, CASE WHEN good THEN s END AS listed, CASE WHEN good THEN s END AS tail, b AS bracketed, CASE WHEN good AND n = 4 THEN s END AS inline FROM t""",
     "to_choice": f"""WITH {_Q}, o AS (SELECT rec_key, q.name AS name, list_transform(q.criteria, lambda c: coalesce(c.desc, '')) AS o FROM a WHERE q.type = 'choice' AND len(q.criteria) >= 3),
   p AS (SELECT *, CAST(floor({unit_sql('place', 'rec_key', 'name')} * len(o)) AS INT) AS place, o[2:] AS rest FROM o)
   SELECT rec_key, name, place, array_to_string(list_concat(list_concat(rest[1:place], [o[1]]), rest[place + 1:]), '|') AS options FROM p""",
@@ -204,7 +202,7 @@ ORACLE_SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        record_text, first_words, prompt_normalise, path_images, dedup_ids, number_parse, number_distractors, answer_pools, pool_draw, to_choice, lettered_parse,
+        record_text, first_words, prompt_normalise, path_images, dedup_ids, number_parse, number_distractors, answer_pools, pool_draw, distractors, option_blocks, to_choice, lettered_parse,
         yes_no_answers, shingle_counts, minhash_agreement, data_urls, report_cells, safe_names, balanced_labels,
     )
 }

@@ -161,23 +161,6 @@ def test_quantiles_equal_numpy(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
-def test_distractors_come_from_the_whole_pool(spark, monkeypatch):
-    answers = [f"a{i:03d}" for i in range(120)] * 4 + ["heavy"] * 120
-    rows = [{"rec_key": k, "state_json": '"x"', "questions": [("q", "choice", "?", [(0, "A", a), (1, "B", "b")], [1.0, 0.0], None)]} for k, a in enumerate(answers)]
-    rows += [{"rec_key": 1000 + k, "source": "tiny", "state_json": '"x"', "questions": [("q", "choice", "?", [(0, "A", a)], [1.0], None)]} for k, a in enumerate(["x"] * 60 + ["y", "z"])]
-    monkeypatch.setattr(text_plan, "once", lambda s, d: records(spark, rows))
-    got = text_plan.pool_draw(spark, "").collect()
-    own = dict(enumerate(answers))
-    by = {}
-    for x in got:
-        by.setdefault(x.rec_key, []).append(x)
-    assert all(sorted(x.rank for x in by[k]) == [1, 2, 3] and len({x.other for x in by[k]} - {own[k]}) == 3 for k in own)
-    assert {x.other for k in own for x in by[k]} == set(answers)
-    others = [k for k in own if own[k] != "heavy"]
-    assert 0.14 < sum(x.rank == 1 and x.other == "heavy" for k in others for x in by[k]) / len(others) < 0.26  # a fifth of the weight
-    assert all({x.other for x in by[1000 + k]} == {"x", "y", "z"} - {a} for k, a in enumerate(["x"] * 60 + ["y", "z"]))
-
-
 def test_long_states_have_all_their_units(spark):
     docs = [(k, f'"word{k}" ' * 5, "en") for k in range(300)] + [(1000 + k, chr(0x4E00 + k) * 30, "en") for k in range(50)] + [(2000, " ", "en")]
     pool = A.text_pool(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
