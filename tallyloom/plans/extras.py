@@ -27,6 +27,12 @@ def template_outcomes(spark, d):
     return r.groupBy("template", "type", F.coalesce("skip", F.lit("good")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.element_at("target", 1)).alias("first_mass"))
 
 
+def template_besides(spark, d):
+    """Yes/no questions asked besides the main one, with the share of yes."""
+    r = M.besides(upstream(spark, d), "news_topic").unionByName(M.besides(upstream(spark, d), "shop_stars"))
+    return r.groupBy("template", "instructions").agg(F.count("*").alias("n"), F.sum("yes").alias("yes"))
+
+
 def request_validate(spark, d):
     q = once(spark, d).select("rec_key", F.explode("questions").alias("q"))
     model = F.element_at(F.array(F.lit("nova-s"), F.lit("nova-m"), F.lit("nova-x")), (F.col("rec_key") % 3 + 1).cast("int"))
@@ -88,7 +94,26 @@ def exponent_repair(spark, d):
 
 
 _Q = f"{ONCE}, q AS (SELECT rec_key, source, cluster, unnest(questions) AS q FROM once)"
+_UP = "SELECT doc_id AS key, text, CASE WHEN doc_id % 11 <> 0 THEN kind END AS other, CAST(doc_id % 8 - 1 AS INT) AS label FROM documents"
+
+
+def _template_sql(name: str) -> str:
+    t = M.TEMPLATES[name]
+    n = len(t.options) or 2
+    label = "least(CAST(floor(label + 0.5) AS INT), 5)" if t.mean else "label"
+    first = f"CAST({label} IN ({', '.join(map(str, t.yes))}) AS INT)" if t.kind == "noul" else f"CAST({label} = 0 AS INT)"
+    second = "WHEN trim(coalesce(other, ''), ' ') = '' THEN 'no second text'" if t.paired else ""
+    return f"""SELECT '{name}' AS template, '{t.kind}' AS type, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'no text' {second} WHEN {label} IS NULL OR {label} < {t.least} THEN 'no label' WHEN NOT {label} < {n} THEN 'unknown label' ELSE 'good' END AS outcome,
+    {first} AS hit FROM u"""
+
+
 ORACLE_SQL = {
+    "template_outcomes": f"WITH u AS ({_UP}), r AS (" + " UNION ALL ".join(map(_template_sql, M.TEMPLATES)) + ") SELECT template, type, outcome, count(*) AS n, CASE WHEN outcome = 'good' THEN CAST(sum(hit) AS DOUBLE) END AS first_mass FROM r GROUP BY 1, 2, 3",
+    "template_besides": f"""WITH u AS ({_UP}), g AS (SELECT * FROM u WHERE trim(coalesce(text, ''), ' ') <> '' AND label >= 0),
+  o AS (SELECT key, label, i, o, {unit_sql('0.news_topic', 'key', 'o')} AS x FROM (SELECT *, unnest(range(4)) AS i, unnest({list(M.TEMPLATES['news_topic'].options)}) AS o FROM g WHERE label < 4)),
+  d AS (SELECT 'news_topic' AS template, 'Is this about: ' || o || '?' AS instructions, CAST(label = i AS INT) AS yes FROM o QUALIFY row_number() OVER (PARTITION BY key ORDER BY x, o) <= 2
+    UNION ALL SELECT 'shop_stars', 'Would the writer recommend it?', CAST(label >= 3 AS INT) FROM g WHERE label < 5)
+  SELECT template, instructions, count(*) AS n, CAST(sum(yes) AS DOUBLE) AS yes FROM d GROUP BY 1, 2""",
     "request_validate": f"""WITH {_Q}, m AS (SELECT *, (['nova-s', 'nova-m', 'nova-x'])[rec_key % 3 + 1] AS model, coalesce(len(q.criteria), 0) AS k FROM q)
   SELECT CASE WHEN model NOT IN ('nova-s', 'nova-m') THEN 'unknown model' WHEN q.type IS NULL OR q.type NOT IN ('noul', 'choice', 'score') THEN 'unknown type'
   WHEN q.type = 'choice' AND (k < 1 OR k > 255) THEN '1 to 255 options' WHEN q.type = 'score' AND (k < 1 OR k > 10) THEN '1 to 10 levels'
@@ -110,7 +135,7 @@ ORACLE_SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        template_outcomes, request_validate, state_strings, greedy_near_dup, generic_questions, latency_curve, bootstrap_units, softmax_levels, step_splits, comma_options,
+        template_outcomes, template_besides, request_validate, state_strings, greedy_near_dup, generic_questions, latency_curve, bootstrap_units, softmax_levels, step_splits, comma_options,
         exponent_repair,
     )
 }

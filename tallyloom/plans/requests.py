@@ -205,14 +205,16 @@ ORACLE_SQL = {
     "aug_negation": f"""WITH {_QS}, c AS (SELECT rec_key, q, {_ZH} AS zh, trim(regexp_replace(trim(coalesce(q.instructions, ''), ' '), '[?？]+$', ''), ' ') AS core FROM q
     WHERE q.type = 'noul' AND {_U('negation')} < 0.2)
   SELECT rec_key, q.name AS name, CASE WHEN zh THEN '{A.NEGATION['zh'][0]}' || core || '{A.NEGATION['zh'][1]}' ELSE '{A.NEGATION['en'][0]}' || core || '{A.NEGATION['en'][1]}' END AS asked,
-  round(1 - q.target[1], 6) AS yes FROM c""",
+  round(1 - q.target[1], 6) AS yes, CASE WHEN q.negated IS NOT NULL THEN q.instructions END AS counterpart FROM c""",
     "aug_abstain": f"""WITH {_QS}, c AS (SELECT rec_key, q, {_OPT} AS opts, {_ZH} AS zh, CASE WHEN {_U('delete')} < 0.5 AND len(q.criteria) >= 2 THEN list_position(q.target, list_max(q.target)) ELSE 0 END AS best
     FROM q WHERE q.type = 'choice' AND len(list_filter(q.criteria, lambda c: c.label = 'none')) = 0 AND {_U('abstain')} < 0.15),
   o AS (SELECT rec_key, q.name AS name, list_concat(list_filter(opts, lambda o, i: i <> best), [{{'label': 'none', 'desc': CASE WHEN zh THEN '{A.ABSTAIN['zh']}' ELSE '{A.ABSTAIN['en']}' END,
     'p': CASE WHEN best > 0 THEN opts[best].p ELSE 0.0::DOUBLE END}}]) AS opts FROM c)
   SELECT rec_key, name, {_LIST.format('opts')} AS options FROM o""",
-    "aug_trap": f"""WITH {_QS}, b AS (SELECT rec_key, q, {_OPT} AS opts, list_position(q.target, list_max(q.target)) AS best FROM q WHERE q.type = 'choice' AND {_U('trap')} < 0.1 AND len(q.criteria) > 0),
-  w AS (SELECT *, list_filter(range(1, len(opts) + 1), lambda i: i <> best) AS wrong FROM b),
+    "aug_trap": f"""WITH {_QS}, o1 AS (SELECT rec_key, q, {_OPT} AS opts, list_filter(range(1, len(q.criteria) + 1), lambda i: coalesce(q.criteria[i].label, '') <> 'none') AS real
+    FROM q WHERE q.type = 'choice' AND {_U('trap')} < 0.1 AND len(q.criteria) > 0),
+  b AS (SELECT *, real[list_position(list_transform(real, lambda i: q.target[i]), list_max(list_transform(real, lambda i: q.target[i])))] AS best FROM o1 WHERE len(real) > 0),
+  w AS (SELECT *, list_filter(real, lambda i: i <> best) AS wrong FROM b),
   p AS (SELECT *, CASE WHEN {_U('correct')} < 0.5 OR len(wrong) = 0 THEN best ELSE wrong[CAST(floor({_U('wrong')} * len(wrong)) AS INT) + 1] END AS pick,
     (['{"', '".join(A.LURES)}'])[CAST(floor({_U('lure')} * {len(A.LURES)}) AS INT) + 1] AS lure FROM w),
   o AS (SELECT rec_key, q.name AS name, CAST(pick AS INT) AS pick, list_transform(opts, lambda o, i: {{'label': o.label, 'desc': CASE WHEN i = pick THEN trim(rtrim(o.desc, ' ') || ' ' || lure, ' ') ELSE o.desc END, 'p': o.p}}) AS opts FROM p)
@@ -225,8 +227,6 @@ ORACLE_SQL = {
   FROM k GROUP BY rec_key, name""",
     "aug_wrap": f"""WITH {ONCE}, s AS (SELECT rec_key, state_json, CAST(floor({unit_sql('0.shape', 'rec_key')} * 5) AS INT) AS shape FROM once WHERE {_STRING} AND {unit_sql('0.wrap', 'rec_key')} < 0.3)
   SELECT rec_key, shape, (['{{"document":', '{{"ticket":{{"body":', '{{"messages":[{{"from":"user","text":', '[', '{{"context":'])[shape + 1] || state_json || (['}}', '}}}}', '}}]}}', ']', '}}'])[shape + 1] AS state_json FROM s""",
-    "aug_injection": f"""WITH {ONCE} SELECT rec_key, state_json[1:-2] || ' ' || (['{"', '".join(POOL)}'])[CAST(floor({unit_sql('0.injection.pick', 'rec_key')} * {len(POOL)}) AS INT) + 1] || '"' AS state_json
-  FROM once WHERE {_STRING} AND {unit_sql('0.injection', 'rec_key')} < 0.05""",
     "aug_nonsense": f"""WITH {ONCE}, q AS (SELECT rec_key, unnest(questions) AS q FROM once WHERE len(images) > 0 AND {unit_sql('0.nonsense', 'rec_key')} < 0.05)
   SELECT rec_key, q.name AS name, round(1.0::DOUBLE / len(q.target), 6) AS even, CAST(len(q.target) AS INT) AS options FROM q""",
     "collate": f"""WITH {_QS}, t AS (SELECT rec_key, q.name AS qname, list_transform(q.target, lambda x: CAST(CAST(round(x * 100) AS INT) AS VARCHAR)) AS t FROM q WHERE q.target IS NOT NULL)

@@ -13,6 +13,7 @@ from tallyloom.operators import augment as A
 from tallyloom.operators import evaluation as E
 from tallyloom.operators import neartext
 from tallyloom.operators import pipeline as P
+from tallyloom.operators import templates as M
 from tallyloom.plans import pipeline as plan
 from tallyloom.plans import requests as request_plan
 from tallyloom.plans import texts as text_plan
@@ -169,7 +170,7 @@ def test_long_states_have_all_their_units(spark):
     assert len(got) == 60
     seen = set()
     for x in got:
-        state = json.loads(f'"{x.body}"')
+        state = json.loads(x.state_json)
         extra, body = (state.split("\n\n")) if x.front else (state.split("\n\n"))[::-1]
         found = extra.split(" ") if x.rec_key % 2 else list(extra)
         assert body == ("body" if x.rec_key % 2 else "正文") and 200 <= x.want <= 800 and len(found) == x.want
@@ -178,6 +179,31 @@ def test_long_states_have_all_their_units(spark):
     assert sum(w.startswith('"word') for w in seen) > 250  # of 300, no slots
 
 
+def test_texts_join_any_state(spark):
+    for state, front, want in [
+        ('"a"', True, "T\n\na"), ('["a", {"b": 1}]', False, ["a", {"b": 1}, "T"]), ('{"n": 1, "x": "y", "context": "c"}', False, {"n": 1, "x": "y", "context": "c\n\nT"}), ('{"n": 1, "x": "y"}', True, {"n": 1, "x": "T\n\ny"}),
+        ('{"text": 1}', True, {"_text": "T", "text": 1}), ('{"a": []}', False, {"a": [], "text": "T"}), ("7", False, {"value": 7, "text": "T"}), ("{cut", True, "{cut"),
+    ]:
+        got = A.with_text(state, "T", front)
+        assert (json.loads(got) if got != "{cut" else got) == want
+    rows = records(spark, [{"rec_key": k, "state_json": x} for k, x in enumerate(['"a"', '{"k": {"m": []}}', "[1]", None])])
+    got = {x.rec_key: (x.line, json.loads(x.state_json)) for x in A.appended(rows, ["L1", "L2"], 1.1).collect()}
+    assert set(got) == {0, 1, 2} and got[0][1] == f"a\n\n{got[0][0]}" and got[1][1] == {"k": {"m": []}, "text": got[1][0]} and got[2][1] == [1, got[2][0]]
+
+
+def test_templates_with_all_labels(spark):
+    labels = [f"Intent {i:03d}" for i in range(150)] + ["oos"]
+    rows = spark.createDataFrame([(i, "some text", "other", float(i)) for i in (0, 3, 150, 151)] + [(900, " ", "o", 1.0), (901, "t", "o", None)], "key long, text string, other string, label double")
+    got = {x.key: x for x in M.apply(rows, "assistant_intent", labels).collect()}
+    assert len(got[0].options) == 151 and got[0].options[0] == "intent_000" and got[150].options[150] == "out_of_scope" and got[150].target[150] == 1.0 and sum(got[3].target) == 1.0
+    assert {k: got[k].skip for k in (151, 900, 901)} == {151: "unknown label", 900: "no text", 901: "no label"}
+    about = M.besides(rows, "news_topic").collect()
+    assert [x.key for x in about].count(0) == 2 and all(x.yes in (0.0, 1.0) for x in about) and len({x.instructions for x in about if x.key == 3}) == 2
+    assert {x.key: x.yes for x in M.besides(rows, "shop_stars").collect()} == {0: 0.0, 3: 1.0} and M.besides(rows, "film_review").count() == 0
+    with pytest.raises(ValueError):
+        M.options_of("bank_intent", ["a b", "A_B"])
+
+
 def test_texts_are_treated_to_their_end(spark, monkeypatch):
     text = "é" * 100 + "<|end|> and <|a b|>"
     docs = spark.createDataFrame([(1, text), (3, text), (5, None)], "doc_id long, text string")
