@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import rng
 from tallyloom.functions.ranks import quantiles
+from tallyloom.workspace import Workspace
 
 MODELS = ("nova-s", "nova-m")
 # Short wordings of a generic question.
@@ -74,24 +75,36 @@ def canonical(state: Column) -> Column:
 
 
 def greedy_distinct(rows: DataFrame, group: str, order: str, h: str, most: int = 2) -> DataFrame:
-    """Rows kept in order if no kept row of their group is within a Hamming distance.
+    """Rows kept in order if no kept row of their group is within a Hamming distance of their 64-bit hash.
 
-    The result depends on the order inside a group, so a group is one task's work; groups are packages of some thousand
-    screens at most.
+    Equal hashes are settled first: all but the first row go. Near ones are equal in one of ``most`` + 1 blocks; each
+    later row waits for the earlier ones it is near to. In every round rows that wait for nobody are kept, and what
+    is near to them goes, until nobody waits; there are as many rounds as rows wait for each other in a chain.
     """
-
-    def keep(df: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = []
-        for r in df.sort_values(order).itertuples(index=False):
-            x = int(getattr(r, h)) & (2**64 - 1)
-            if all((x ^ y).bit_count() > most for y in kept):
-                kept.append(x)
-                rows.append(r)
-        return pd.DataFrame(rows, columns=df.columns)
-
-    df = rows.select(group, order, h)
-    return df.groupBy(group).applyInPandas(keep, df.schema)
+    ws = Workspace(rows.sparkSession)
+    g = F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g")
+    first = ws.put(rows.where(F.col(h).isNotNull()).groupBy(group, F.col(h).alias("h")).agg(F.min(order).alias("at")), "first")
+    size = 64 // (most + 1)
+    cuts = [(k * size, size if k < most else 64 - size * most) for k in range(most + 1)]
+    part = F.explode(F.array(*(F.struct(F.lit(k).alias("b"), F.shiftrightunsigned("h", at).bitwiseAND((1 << n) - 1 if n < 64 else -1).alias("v")) for k, (at, n) in enumerate(cuts))))
+    cut = first.select(g, F.col(group).isNull().alias("none"), "at", "h", part.alias("p")).select("g", "none", "at", "h", "p.b", "p.v")
+    late = cut.select("g", "none", "b", "v", F.col("at").alias("late"), F.col("h").alias("lh"))
+    near = cut.join(late, ["g", "none", "b", "v"]).where((F.col("at") < F.col("late")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("lh"))) <= most))
+    waits, n = ws.put_counted(near.select("g", "none", F.col("at").alias("early"), "late").distinct(), "waits0")
+    gone, k = None, 0
+    key = ["g", "none"]
+    while n:
+        free = waits.select(*key, F.col("early").alias("x")).distinct().join(waits.select(*key, F.col("late").alias("x")).distinct(), [*key, "x"], "left_anti")
+        out = ws.put(waits.join(free.withColumnRenamed("x", "early"), [*key, "early"], "left_semi").select(*key, F.col("late").alias("x")).distinct(), f"gone{k}")
+        gone = out if gone is None else gone.unionByName(out)
+        left = waits.join(out.withColumnRenamed("x", "late"), [*key, "late"], "left_anti").join(out.withColumnRenamed("x", "early"), [*key, "early"], "left_anti")
+        waits, n = ws.put_counted(left, f"waits{k + 1}")
+        k += 1
+    kept = first.select(group, F.col("at").alias(order), F.col("h").alias(h))
+    if gone is None:
+        return kept
+    dropped = gone.select(F.col("g").alias("_g"), F.col("none").alias("_none"), F.col("x").alias("_x"))
+    return kept.join(dropped, (g == F.col("_g")) & (F.col(group).isNull() == F.col("_none")) & (F.col(order) == F.col("_x")), "left_anti")
 
 
 def generic_variant(questions: DataFrame, seed: int = 0) -> DataFrame:

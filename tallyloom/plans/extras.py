@@ -13,6 +13,8 @@ from tallyloom.operators import templates as M
 from tallyloom.operators.evaluation import once as answers_once
 from tallyloom.plans.evaluation import ONCE as ANSWERS_ONCE
 from tallyloom.plans.pipeline import ONCE, once
+from tallyloom.plans.pipeline import LEAF
+from tallyloom.plans.relational import MASKS
 from tallyloom.tables import table
 
 
@@ -47,10 +49,12 @@ def state_strings(spark, d):
 
 
 def greedy_near_dup(spark, d):
-    """Vectors of each class kept in order unless their sign hash is close to a kept one."""
+    """Sign hashes of each class and planted copies with up to seven other bits, kept in order unless near a kept one."""
     bits = F.expr("aggregate(transform(embedding, (x, i) -> shiftleft(CASE WHEN x > 0 THEN 1L ELSE 0L END, i)), 0L, (a, b) -> a | b)")
     e = table(spark, d, "embeddings").select("label", "vec_id", bits.alias("h"))
-    return K.greedy_distinct(e, "label", "vec_id", "h", 20).select("label", "vec_id")
+    mask = F.element_at(F.array(*(F.lit(m) for m in MASKS)), (F.col("vec_id") % 8 + 1).cast("int"))
+    copies = e.select("label", (F.col("vec_id") * 3 % 5000 + 10_000_000).alias("vec_id"), F.col("h").bitwiseXOR(mask).alias("h"))
+    return K.greedy_distinct(e.unionByName(copies), "label", "vec_id", "h").select("label", "vec_id")
 
 
 def generic_questions(spark, d):
@@ -114,6 +118,15 @@ ORACLE_SQL = {
   d AS (SELECT 'news_topic' AS template, 'Is this about: ' || o || '?' AS instructions, CAST(label = i AS INT) AS yes FROM o QUALIFY row_number() OVER (PARTITION BY key ORDER BY x, o) <= 2
     UNION ALL SELECT 'shop_stars', 'Would the writer recommend it?', CAST(label >= 3 AS INT) FROM g WHERE label < 5)
   SELECT template, instructions, count(*) AS n, CAST(sum(yes) AS DOUBLE) AS yes FROM d GROUP BY 1, 2""",
+    "state_strings": f"""WITH {ONCE}, {LEAF} SELECT rec_key, CAST(length(CASE WHEN json_valid(state_json) THEN coalesce(strings, '') ELSE state_json END) AS INT) AS strings,
+  CAST(length(CASE WHEN json_valid(state_json) THEN coalesce(all_leaves, '') ELSE state_json END) AS INT) AS with_numbers FROM once LEFT JOIN leaf USING (rec_key)""",
+    "greedy_near_dup": f"""WITH RECURSIVE e AS (SELECT vec_id, label, CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END)) AS HUGEINT) AS h FROM embeddings),
+  a AS (SELECT * FROM e UNION ALL SELECT vec_id * 3 % 5000 + 10000000, label, xor(h, CAST({MASKS}[vec_id % 8 + 1] AS HUGEINT)) FROM e),
+  o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id, h) AS i FROM a),
+  r AS (SELECT label, vec_id, i, true AS kept, [h] AS have FROM o WHERE i = 1
+    UNION ALL SELECT o.label, o.vec_id, o.i, len(list_filter(have, lambda x: bit_count(xor(x, o.h)) <= 2)) = 0,
+      CASE WHEN len(list_filter(have, lambda x: bit_count(xor(x, o.h)) <= 2)) = 0 THEN list_append(have, o.h) ELSE have END FROM r JOIN o ON o.label = r.label AND o.i = r.i + 1)
+  SELECT label, vec_id FROM r WHERE kept""",
     "request_validate": f"""WITH {_Q}, m AS (SELECT *, (['nova-s', 'nova-m', 'nova-x'])[rec_key % 3 + 1] AS model, coalesce(len(q.criteria), 0) AS k FROM q)
   SELECT CASE WHEN model NOT IN ('nova-s', 'nova-m') THEN 'unknown model' WHEN q.type IS NULL OR q.type NOT IN ('noul', 'choice', 'score') THEN 'unknown type'
   WHEN q.type = 'choice' AND (k < 1 OR k > 255) THEN '1 to 255 options' WHEN q.type = 'score' AND (k < 1 OR k > 10) THEN '1 to 10 levels'

@@ -44,10 +44,19 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_nodes, p3_tables, p3_messages, p
 # the tree of a line, walked from the root; names are shown in quotes by the key of a path only where they need them
 _WALK = """RECURSIVE t AS MATERIALIZED (SELECT line_key, t.id, t.parent, t.key, t.type, t.atom, row_number() OVER (PARTITION BY line_key, t.parent ORDER BY t.id) - 1 AS pos
     FROM raw_records, json_tree(CASE WHEN json_valid(body) THEN body ELSE 'null' END) t WHERE line_key IS NOT NULL),
-  w AS (SELECT t.line_key, t.id, t.key AS path, '' AS parent_path, t.pos, t.type, t.atom FROM t JOIN t r ON r.line_key = t.line_key AND r.id = t.parent
-      WHERE r.parent IS NULL AND r.type = 'OBJECT' AND t.key IN ('state', 'questions', 'targets')
-    UNION ALL SELECT t.line_key, t.id, w.path || CASE WHEN w.type = 'ARRAY' THEN '[' || t.key || ']' ELSE '.' || t.key END, w.path, t.pos, t.type, t.atom
-      FROM w JOIN t ON t.line_key = w.line_key AND t.parent = w.id)"""
+  w AS (SELECT t.line_key, t.id, CAST(t.pos AS VARCHAR) AS dewey, '' AS parent_dewey, t.key AS path, '' AS parent_path, t.key AS step, t.key AS schema_path, '' AS parent_schema, t.pos, t.type, t.atom
+      FROM t JOIN t r ON r.line_key = t.line_key AND r.id = t.parent WHERE r.parent IS NULL AND r.type = 'OBJECT' AND t.key IN ('state', 'questions', 'targets')
+    UNION ALL SELECT t.line_key, t.id, w.dewey || '/' || t.pos, w.dewey, w.path || CASE WHEN w.type = 'ARRAY' THEN '[' || t.key || ']' ELSE '.' || t.key END, w.path,
+      CASE WHEN w.type = 'ARRAY' THEN '[' || t.key || ']' ELSE '.' || t.key END, w.schema_path || CASE WHEN w.type = 'ARRAY' THEN '[*]' ELSE '.' || t.key END, w.schema_path, t.pos, t.type, t.atom
+      FROM w JOIN t ON t.line_key = w.line_key AND t.parent = w.id),
+  n AS (SELECT *, CASE WHEN type IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(type) WHEN type = 'VARCHAR' THEN 'string' ELSE 'number' END AS kind FROM w)"""
 ORACLE_SQL: dict[str, str] = {
     "p3_found": f"WITH {_WALK} SELECT DISTINCT line_key, path, parent_path, CAST(pos AS INT) AS pos FROM w",
+    "p3_nodes": f"""WITH {_WALK} SELECT line_key, dewey, parent_dewey, path, parent_path, step, schema_path, kind, CAST(pos AS INT) AS pos,
+  CASE WHEN kind = 'string' THEN atom ->> '$' WHEN kind IN ('number', 'boolean') THEN CAST(atom AS VARCHAR) END AS value FROM n""",
+    "p3_messages": f"""WITH {_WALK}, m AS (SELECT * FROM w WHERE schema_path = 'state.ticket.messages[*]'),
+  c AS (SELECT line_key, parent_dewey, step, arg_min(CASE WHEN type = 'VARCHAR' THEN atom ->> '$' ELSE CAST(atom AS VARCHAR) END, pos) AS v FROM w WHERE parent_schema = 'state.ticket.messages[*]' GROUP BY 1, 2, 3)
+  SELECT m.line_key, m.dewey, m.parent_dewey, CAST(m.pos AS INT) AS pos, f.v AS "from", t.v AS text, a.v AS at FROM m
+  LEFT JOIN c f ON f.line_key = m.line_key AND f.parent_dewey = m.dewey AND f.step = '.from' LEFT JOIN c t ON t.line_key = m.line_key AND t.parent_dewey = m.dewey AND t.step = '.text'
+  LEFT JOIN c a ON a.line_key = m.line_key AND a.parent_dewey = m.dewey AND a.step = '.at'""",
 }

@@ -239,6 +239,19 @@ ORACLE_SQL = {
     "max_questions": f"""WITH {_QS}, t AS (SELECT rec_key, q.name AS name, q.type AS type, CASE WHEN coalesce(len(q.criteria), 2) = 1 THEN 'single_option' WHEN length(q.instructions) > 60 THEN 'too_long' END AS reason FROM q),
   d AS (SELECT type, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY rec_key, reason IS NULL ORDER BY {unit_sql(0, 'rec_key', 'name')}, name) > 2 THEN 'not_drawn' ELSE 'drawn' END) AS reason FROM t)
   SELECT reason, type, count(*) AS n FROM d GROUP BY 1, 2""",
+    "request_chunks": f"""WITH RECURSIVE {_QS}, l AS (SELECT rec_key, q.name AS name, CAST(length(q.instructions) AS INT) AS len FROM q),
+  o AS (SELECT *, row_number() OVER (PARTITION BY rec_key ORDER BY len NULLS FIRST, name) AS i FROM l),
+  r AS (SELECT rec_key, name, len, i, 0 AS chunk, 1 AS held FROM o WHERE i = 1
+    UNION ALL SELECT o.rec_key, o.name, o.len, o.i, CASE WHEN o.len * (held + 1) <= 120 THEN chunk ELSE chunk + 1 END, CASE WHEN o.len * (held + 1) <= 120 THEN held + 1 ELSE 1 END
+      FROM r JOIN o ON o.rec_key = r.rec_key AND o.i = r.i + 1)
+  SELECT rec_key, name, len, chunk FROM r""",
+    "micro_batches": f"""WITH RECURSIVE l AS (SELECT doc_id, CAST(length(text) AS INT) AS len, {unit_sql(0, 'doc_id')} AS u FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT *, CAST(floor(u * 256) AS INT) AS slice FROM l), b AS (SELECT *, (row_number() OVER (PARTITION BY slice ORDER BY u, doc_id) - 1) // 64 AS buffer FROM s),
+  o AS (SELECT *, row_number() OVER (PARTITION BY slice, buffer ORDER BY len, doc_id) AS i FROM b),
+  r AS (SELECT slice, buffer, i, doc_id, len, 0 AS batch, 1 AS held FROM o WHERE i = 1
+    UNION ALL SELECT o.slice, o.buffer, o.i, o.doc_id, o.len, CASE WHEN o.len * (held + 1) <= 40000 THEN batch ELSE batch + 1 END, CASE WHEN o.len * (held + 1) <= 40000 THEN held + 1 ELSE 1 END
+      FROM r JOIN o ON o.slice = r.slice AND o.buffer = r.buffer AND o.i = r.i + 1)
+  SELECT slice, buffer, batch, doc_id, len FROM r""",
     "token_stats": f"""WITH {_QS}, l AS (SELECT q.type AS type, CAST(length(q.instructions) AS INT) AS len FROM q)
   SELECT type, count(*) AS rows, round(avg(len), 6) AS mean, (list_sort(list(len)))[count(*) // 2 + 1] AS upper_median, max(len) AS longest FROM l GROUP BY type""",
 }

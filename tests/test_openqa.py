@@ -80,3 +80,25 @@ def test_answered_option(spark):
     at, why = G.chosen(F.col("o"), F.col("a"))
     got = spark.createDataFrame(rows, "o array<struct<label string, text string>>, a string").select(at.alias("at"), why.alias("why")).collect()
     assert [(r["at"], r.why) for r in got] == [(1, None), (1, None), (0, None), (None, "multi_answer"), (None, "answer_not_in_options"), (None, "answer_not_in_options"), (None, "options_not_parsed")]
+
+
+def test_greedy_in_order_equals_brute_force(spark):
+    import random
+
+    from tallyloom.operators import checks as K
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        base = rnd.choice(rows)[2] if rows and i % 3 else rnd.getrandbits(64) - 2**63
+        rows.append((rnd.choice(["a", "a", "b", None]), i, base ^ sum(1 << p for p in rnd.sample(range(63), rnd.randrange(4)))))
+    rows += [("hot", 1000 + i, 77) for i in range(500)]
+    want, kept = set(), {}
+    for g, i, h in rows:
+        if all(bin((h ^ x) & (2**64 - 1)).count("1") > 2 for x in kept.setdefault(g, [])):
+            kept[g].append(h)
+            want.add((g, i))
+    df = spark.createDataFrame(rows + [("a", 9, None)], "g string, i long, h long")
+    got = [(r.g, r.i) for r in K.greedy_distinct(df, "g", "i", "h").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert K.greedy_distinct(df.limit(0), "g", "i", "h").count() == 0
