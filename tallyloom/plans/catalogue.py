@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import converters, evaluation, extras, io, nested, pipeline, relational, requests, texts
+from tallyloom.plans import benchmarks, converters, evaluation, extras, io, nested, pipeline, relational, requests, texts
 
-MODULES = (evaluation, converters, extras, nested, pipeline, relational, requests, texts, io)
+MODULES = (evaluation, benchmarks, converters, extras, nested, pipeline, relational, requests, texts, io)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

@@ -108,3 +108,89 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     rows = df.limit(most).collect()
     line = lambda cells: "| " + " | ".join("—" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in rows)])
+
+
+def row_groups(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """``file``, ``row_group``, ``n_rows``, ``bytes``, ``base``: the row groups of Parquet files from their footers alone.
+
+    ``base`` is the number of rows before the group in its file. Files are listed without their content, and footers are
+    read by the tasks; the folder must be one that they reach as a path.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            rows = []
+            for path in b.column(0).to_pylist():
+                m = pq.read_metadata(path.removeprefix("file://").removeprefix("file:"))
+                rows += [(path, g, m.row_group(g).num_rows, m.row_group(g).total_byte_size) for g in range(m.num_row_groups)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["file", "row_group", "n_rows", "bytes"])
+
+    groups = listed.mapInArrow(run, "file string, row_group int, n_rows long, bytes long")
+    before = F.sum("n_rows").over(Window.partitionBy("file").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1))
+    return groups.withColumn("base", F.coalesce(before, F.lit(0)))
+
+
+def file_order(files: DataFrame, path: str, size: str, seed: int = 0, big: int = 1 << 30) -> DataFrame:
+    """Files in a hashed order with the big ones last."""
+    return files.orderBy(F.col(size) >= big, rng.unit(seed, F.col(path)), path)
+
+
+def upstream_place(url: Column) -> Column:
+    """Repository, revision and path in the address of a dataset file, or in its path with or without a revision; else null."""
+    by_url = r"^https://[^/]+/datasets/([^/]+/[^/]+)/resolve/([^/]+)/(.+)$"
+    by_path = r"^datasets/([^/@]+/[^/@]+)(?:@([^/]+))?/(.+)$"
+    part = lambda p, k: F.regexp_extract(url, p, k)
+    place = lambda p: F.struct(part(p, 1).alias("repo"), F.url_decode(F.nullif(part(p, 2), F.lit(""))).alias("revision"), part(p, 3).alias("path"))
+    return F.when(url.rlike(by_url), place(by_url)).when(url.rlike(by_path), place(by_path))
+
+
+def rebased(path: Column, from_folder: str, to_folder: str) -> Column:
+    """A path relative to one folder as a path relative to another; absolute paths stay, separators become slashes."""
+    import posixpath
+
+    step = posixpath.relpath(from_folder, to_folder)
+    parts = F.filter(F.split(F.concat_ws("/", F.lit(step), F.regexp_replace(path, r"\\", "/")), "/"), lambda x: ~x.isin("", "."))
+    up = lambda a, x: F.when((x == "..") & (F.size(a) > 0) & (F.element_at(F.concat(F.array(F.lit("")), a), -1) != ".."), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    return F.when(path.isNull() | path.rlike(r"^(/|[A-Za-z]:[\\/])"), path).otherwise(F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+
+
+def without_sources(spark: SparkSession, path: str, skip: tuple[str, ...], schema: str = RECORD) -> DataFrame:
+    """JSON lines whose source is not to be skipped; the text of a line is judged before it is parsed."""
+    lines = spark.read.text(path).where(~F.regexp_extract("value", '"source": "([^"]+)"', 1).isin(*skip))
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def run_sources(jobs: dict, folder: str, spark: SparkSession, force: bool = False) -> DataFrame:
+    """Run one writer a source, each a frame that goes to its own folder; sources that have output are skipped.
+
+    Gives ``source``, ``outcome`` (written, kept, empty, failed), ``rows`` and ``error``; one source that fails stops no
+    other. The number of sources is small and fixed, so the loop is over them and never over rows.
+    """
+    done = []
+    for name, make in jobs.items():
+        at = f"{folder}/{safe(name)}"
+        try:
+            if not force and _has_output(spark, at):
+                done.append((name, "kept", None, None))
+                continue
+            make(spark).write.mode("overwrite").parquet(at)
+            n = spark.read.parquet(at).count()
+            done.append((name, "written" if n else "empty", n, None))
+        except Exception as e:  # noqa: BLE001 - the report carries it
+            done.append((name, "failed", None, f"{type(e).__name__}: {str(e)[:200]}"))
+    return spark.createDataFrame(done, "source string, outcome string, rows long, error string")
+
+
+def safe(name: str) -> str:
+    """A folder's name of letters, digits and ``-_.``."""
+    return "".join(c if c.isalnum() and c.isascii() or c in "-_." else "_" for c in name)[:120]
+
+
+def _has_output(spark: SparkSession, at: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
