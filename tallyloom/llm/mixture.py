@@ -59,16 +59,30 @@ def finish_times(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFra
     return uses.select("doc_id", "source", "n_tokens", "round", finish.alias("finish"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def full_shares_budget(sized: DataFrame, targets: DataFrame) -> int:
+    """The largest budget in which every source that has tokens reaches its share: none has used up its repeats before.
+
+    Sources without tokens can reach none; what they leave goes to the others in proportion.
+    """
+    tokens = sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).where("n > 0")
+    listed = weights(targets).join(tokens, "source")
+    r = listed.agg(F.min(F.col("n") * F.col("max_repeats") / F.col("weight")).alias("finish"), F.sum("weight").alias("weight")).first()
+    return int((r["finish"] or 0.0) * (r["weight"] or 0.0))
+
+
+def mix(docs: DataFrame, targets: DataFrame, budget: int | str | None = None, seed: int = 0, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The mix in order: ``doc_id``, ``source``, ``round``, ``n_tokens``, ``finish``.
 
-    ``budget`` is the total of tokens; by default as many as the documents of the listed sources have.
+    ``budget`` is the total of tokens; by default as many as the documents of the listed sources have; ``shares`` is the
+    largest one in which all shares hold.
     """
     ws = Workspace(docs.sparkSession)
     one = token_counts(docs.where("source is not null and doc_id is not null"), ["doc_id", "source"], vocabulary)
     sized = ws.put(one.groupBy("doc_id").agg(F.min_by("source", F.struct(F.col("n_tokens"), F.col("source"))).alias("source"), F.min("n_tokens").alias("n_tokens")), "sized")
     times = ws.put(finish_times(sized, targets, seed), "times")
-    if budget is None:
+    if budget == "shares":
+        budget = full_shares_budget(sized, targets)
+    elif budget is None:
         budget = sized.join(weights(targets), "source", "left_semi").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     last = times.agg(F.coalesce(F.max("finish"), F.lit(0.0))).first()[0] or 1.0
     tick = F.least(F.floor(F.col("finish") / F.lit(last) * TIME_SLICES), F.lit(TIME_SLICES - 1)).cast("int")

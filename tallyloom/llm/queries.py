@@ -67,6 +67,12 @@ def p6_shares(spark, d):
     return mixture.shares(p6_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p6_full_shares(spark, d):
+    """Shares in the largest mix in which every source with documents reaches its target."""
+    t = table(spark, d, "mix_targets")
+    return mixture.shares(mixture.mix(table(spark, d, "documents"), t, "shares"), t)
+
+
 def p7_found(spark, d):
     """Runs of characters that stand verbatim in another document."""
     return spans.shared_spans(table(spark, d, "documents"))
@@ -79,7 +85,7 @@ def p7_fractions(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_report, p2_found, p2_forms, p4_found, p4_report, p5_ids, p5_sizes, p6_mix, p6_shares, p7_found, p7_fractions)
+    for f in (p1_found, p1_splits, p1_report, p2_found, p2_forms, p4_found, p4_report, p5_ids, p5_sizes, p6_mix, p6_shares, p6_full_shares, p7_found, p7_fractions)
 }
 _USABLE = "CASE WHEN trim({0}, ' ') NOT IN ('', '-', 'nan', 'None') THEN trim({0}, ' ') END"
 _TIED = f"""RECURSIVE k AS (SELECT DISTINCT rec_key, source, {_USABLE.format('grid_id')} AS g, {_USABLE.format('cluster')} AS c FROM records WHERE rec_key IS NOT NULL),

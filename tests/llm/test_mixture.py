@@ -35,6 +35,16 @@ def test_shares_caps_and_order(spark):
     assert s["big"].most_uses == 1 and s["mid"].most_uses <= 3
 
 
+def test_the_largest_budget_with_all_shares(spark):
+    docs = [(i, "big", "one two three four") for i in range(600)] + [(1000 + i, "mid", "one two") for i in range(300)] + [(2000 + i, "tiny", "word") for i in range(20)]
+    d, t = tables(spark, docs, [("big", 0.6, 1), ("mid", 0.3, 3), ("tiny", 0.05, 4), ("gone", 0.05, 9)])
+    s = {r.source: r for r in M.shares(M.mix(d, t, "shares"), t).collect()}
+    total = 20 * 4 / 0.05 * 0.95  # tiny is used up to its last repeat
+    assert sum(r.tokens for r in s.values()) == pytest.approx(total, abs=8) and s["tiny"].most_uses == 4
+    assert all(s[k].tokens / total == pytest.approx(w / 0.95, abs=0.005) for k, w in (("big", 0.6), ("mid", 0.3), ("tiny", 0.05)))
+    assert M.mix(d.limit(0), t, "shares").count() == 0
+
+
 def test_default_budget_and_empty(spark):
     d, t = tables(spark, [(1, "a", "x y z"), (2, "b", "x")], [("a", 0.5, None), ("b", 0.5, 10)])
     assert sum(r.n_tokens for r in M.mix(d, t).collect()) <= 4
