@@ -44,14 +44,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def band_digests(strings: list[str], bands: int, rows: int) -> np.ndarray:
-    """Digest of each band of ``rows`` minima of seeded hashes; texts without a piece must be left out before."""
-    text, code = piece_codes(strings)
-    head = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    base, out = mixed(code), np.zeros((len(strings), bands), dtype=np.uint64)
-    for k in range(bands * rows):
-        seed = mixed(np.array([k + 1], dtype=np.uint64))[0]
-        least = np.minimum.reduceat((base * (seed | np.uint64(1)) + seed) >> np.uint64(20), head)
-        band = k // rows
-        out[:, band] = mixed(out[:, band] ^ least + np.uint64(band))
-    return out
+def band_digests(text: np.ndarray, code: np.ndarray, texts: int, bands: int, rows: int) -> np.ndarray:
+    """Digest of each band of ``rows`` minima, from ``piece_codes``; texts without a piece must be left out before.
+
+    One hash of a piece gives its bin and its value, and the minimum of a bin is one of the minima. An empty bin takes
+    the next filled one around the end, so two texts agree in a bin with the probability of their similarity.
+    """
+    bins = bands * rows
+    h = mixed(code)
+    at = text * bins + (h >> np.uint64(40)).astype(np.int64) % bins
+    order = np.lexsort((h, at))
+    at, h = at[order], h[order]
+    head = np.concatenate([[True], at[1:] != at[:-1]])
+    least = np.zeros(texts * bins, dtype=np.uint64)
+    filled = np.zeros(texts * bins, dtype=bool)
+    least[at[head]], filled[at[head]] = h[head], True
+    twice = np.tile(filled.reshape(texts, bins), 2)
+    place = np.where(twice, np.arange(2 * bins), 2 * bins)
+    after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    values = np.take_along_axis(least.reshape(texts, bins), after % bins, axis=1) + (after - np.arange(bins)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros((texts, bands), dtype=np.uint64)
+    for k in range(rows):
+        out = mixed(out ^ values[:, k::rows] + np.uint64(k + 1))
+    return mixed(out + np.arange(bands, dtype=np.uint64))
+
+
+def sketches(text: np.ndarray, code: np.ndarray, texts: int, words: int) -> np.ndarray:
+    """``words`` words of 64 bits a text, one bit for each hash of its pieces."""
+    bits = np.zeros(texts * words * 64, dtype=np.uint8)
+    bits[text * (words * 64) + (mixed(code) % np.uint64(words * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).reshape(texts, words)

@@ -186,6 +186,8 @@ def gate_samples(clusters: DataFrame, reps: int = 4000, seed: int = 0) -> DataFr
     of replicate and cluster, so replicates need no resampling pass and add up before the exchange.
     """
     sums = clusters.groupBy("cluster").agg(F.sum("d_acc").alias("d"), F.sum("d_brier").alias("e"), F.count("*").alias("m"))
+    # few bytes make much work here, so the sums are spread over all cores
+    sums = sums.repartition(sums.sparkSession.sparkContext.defaultParallelism, "cluster")
     each = rng.replicates(sums, reps, seed, ["cluster"], 4)
     return each.withColumn("w", rng.poisson_weight(F.col("draw"))).groupBy("rep").agg(
         F.round(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("m"))), 9).alias("d_acc"),

@@ -13,6 +13,7 @@ from tallyloom.functions.ranks import ranked
 from tallyloom.operators import neartext
 from tallyloom.operators.checks import canonical, leaf_text
 from tallyloom.operators.relational import near_hashes
+from tallyloom.workspace import Workspace
 
 LICENSES = ("commercial-ok", "non-commercial", "unknown")
 FREE_IMAGES = (4, 5, 6, 7, 8)
@@ -100,10 +101,14 @@ def held_out_hits(records: DataFrame, hashes: DataFrame | None = None, held_hash
     A text counts from 200 characters on where the record has images. ``hashes`` (rec_key, h) and ``held_hashes`` (h) are
     64-bit picture hashes, near within four bits.
     """
+    ws = Workspace(records.sparkSession)
     train, held = records.where("split = 'train'"), records.where("split in ('calibration', 'validation', 'test')")
-    texts = lambda r: r.select("rec_key", (F.coalesce(F.size("images"), F.lit(0)) > 0).alias("pictured"), record_text(r).alias("text"))
-    mine = texts(train).where("not pictured or length(text) >= 200")
-    by_text = mine.join(neartext.near(mine, texts(held)), "text", "left_semi").select("rec_key", F.lit("by_text").alias("pass"))
+    known = records.where("split in ('train', 'calibration', 'validation', 'test')")
+    text = known.select("rec_key", (F.col("split") == "train").alias("train"), (F.coalesce(F.size("images"), F.lit(0)) > 0).alias("pictured"), record_text(known).alias("text"))
+    text = ws.put(text.where("text is not null and text <> ''").withColumn("tkey", F.xxhash64("text")), "texts")
+    mine = text.where("train and (not pictured or length(text) >= 200)")
+    near = neartext.near_keys(mine, text.where("not train"), ws)
+    by_text = mine.join(near, "tkey", "left_semi").select("rec_key", F.lit("by_text").alias("pass"))
     by_id = numbers_shown(train, False).join(numbers_shown(held, True).select("number").distinct(), "number", "left_semi").select("rec_key", F.lit("by_id").alias("pass"))
     found = by_text.unionByName(by_id)
     if hashes is not None:

@@ -108,7 +108,7 @@ def aug_injection(spark, d):
 
 
 def aug_long_state(spark, d):
-    return A.lengthened(once(spark, d), A.text_pool(table(spark, d, "documents").where("text is not null")))
+    return A.lengthened(once(spark, d), table(spark, d, "documents"))
 
 
 def aug_nonsense(spark, d):

@@ -164,9 +164,9 @@ def test_quantiles_equal_numpy(spark):
 
 def test_long_states_have_all_their_units(spark):
     docs = [(k, f'"word{k}" ' * 5, "en") for k in range(300)] + [(1000 + k, chr(0x4E00 + k) * 30, "en") for k in range(50)] + [(2000, " ", "en")]
-    pool = A.text_pool(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame(docs + docs[:5] + [(None, "lost", "en"), (3000, None, "en")], "doc_id long, text string, lang string")
     rows = [{"rec_key": k, "state_json": '"body"' if k % 2 else '"正文"', "lang": "fr" if k % 3 else "zh"} for k in range(60)]
-    got = A.lengthened(records(spark, rows), pool, p=1.1).collect()
+    got = A.lengthened(records(spark, rows), docs, p=1.1).collect()
     assert len(got) == 60
     seen = set()
     for x in got:
