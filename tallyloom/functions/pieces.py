@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def piece_codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and 63-bit code of each distinct piece, by text; a text of one or two characters is one piece."""
+def _pieces(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and 63-bit code of each piece in order of place; a text of one or two characters is one piece."""
     size = np.array([len(x) for x in strings], dtype=np.int64)
     points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     text = np.repeat(np.arange(len(size)), size)
@@ -19,7 +19,12 @@ def piece_codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(size) - size
     keep = left > 2
     keep[starts[size > 0]] = True
-    text, code = text[keep], code[keep]
+    return text[keep], code[keep]
+
+
+def piece_codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and code of each distinct piece, by text and code."""
+    text, code = _pieces(strings)
     order = np.lexsort((code, text))
     text, code = text[order], code[order]
     new = np.ones(len(text), dtype=bool)
@@ -27,6 +32,15 @@ def piece_codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text[new], code[new]
 
 
+def piece_hashes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and 44-bit hash of each distinct piece, by text and hash; for less than a million texts at once."""
+    text, code = _pieces(strings)
+    both = np.sort(text.astype(np.uint64) << np.uint64(44) | mixed(code) >> np.uint64(20))
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    return (both >> np.uint64(44)).astype(np.int64), both & np.uint64((1 << 44) - 1)
+
+
 def similarities(left: list[str], right: list[str]) -> np.ndarray:
     """Pieces in both out of pieces in either, pair by pair; 0 for two texts without a piece."""
     text, code = (np.concatenate(x) for x in zip(piece_codes(left), piece_codes(right), strict=True))
@@ -44,18 +58,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def band_digests(text: np.ndarray, code: np.ndarray, texts: int, bands: int, rows: int) -> np.ndarray:
-    """Digest of each band of ``rows`` minima, from ``piece_codes``; texts without a piece must be left out before.
+def band_digests(text: np.ndarray, h: np.ndarray, texts: int, bands: int, rows: int) -> np.ndarray:
+    """Digest of each band of ``rows`` minima, from ``piece_hashes``; texts without a piece must be left out before.
 
-    One hash of a piece gives its bin and its value, and the minimum of a bin is one of the minima. An empty bin takes
-    the next filled one around the end, so two texts agree in a bin with the probability of their similarity.
+    The upper part of a hash gives its bin and the hash its value, so the order by hash has the minimum of each bin
+    first. An empty bin takes the next filled one around the end; two texts agree in a bin with the probability of their
+    similarity.
     """
     bins = bands * rows
-    h = mixed(code)
-    at = text * bins + (h >> np.uint64(40)).astype(np.int64) % bins
-    order = np.lexsort((h, at))
-    at, h = at[order], h[order]
-    head = np.concatenate([[True], at[1:] != at[:-1]])
+    at = text * bins + (h * np.uint64(bins) >> np.uint64(44)).astype(np.int64)
+    head = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
     least = np.zeros(texts * bins, dtype=np.uint64)
     filled = np.zeros(texts * bins, dtype=bool)
     least[at[head]], filled[at[head]] = h[head], True
@@ -69,8 +81,8 @@ def band_digests(text: np.ndarray, code: np.ndarray, texts: int, bands: int, row
     return mixed(out + np.arange(bands, dtype=np.uint64))
 
 
-def sketches(text: np.ndarray, code: np.ndarray, texts: int, words: int) -> np.ndarray:
+def sketches(text: np.ndarray, h: np.ndarray, texts: int, words: int) -> np.ndarray:
     """``words`` words of 64 bits a text, one bit for each hash of its pieces."""
     bits = np.zeros(texts * words * 64, dtype=np.uint8)
-    bits[text * (words * 64) + (mixed(code) % np.uint64(words * 64)).astype(np.int64)] = 1
+    bits[text * (words * 64) + (h % np.uint64(words * 64)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64).reshape(texts, words)

@@ -32,8 +32,8 @@ def signed(texts: DataFrame) -> DataFrame:
             b = b.filter(fresh)
             for at in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(at, AT_ONCE)
-                text, code = S.piece_codes(part.column(1).to_pylist())
-                bands, sketch = S.band_digests(text, code, part.num_rows, BANDS, ROWS), S.sketches(text, code, part.num_rows, WORDS)
+                text, h = S.piece_hashes(part.column(1).to_pylist())
+                bands, sketch = S.band_digests(text, h, part.num_rows, BANDS, ROWS), S.sketches(text, h, part.num_rows, WORDS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
                 cols = [part.column(0), pa.array(np.bincount(text, minlength=part.num_rows).astype(np.int32)), lists, *(pa.array(sketch[:, k]) for k in range(WORDS))]
                 yield pa.RecordBatch.from_arrays(cols, names=["tkey", "n", "bands", *(f"s{k}" for k in range(WORDS))])
@@ -53,7 +53,7 @@ def near_keys(left: DataFrame, right: DataFrame, ws: Workspace, least: float = S
     pairs = ws.put(in_bands(a, "l").join(in_bands(b, "r"), "band").select("l", "r").distinct(), "pairs")
     side = lambda df, p: df.groupBy(F.col("tkey").alias(p)).agg(F.first("n").alias(f"{p}n"), *(F.first(f"s{k}").alias(f"{p}{k}") for k in range(WORDS)))
     miss = lambda x, y: sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(WORDS)), F.lit(0))
-    most = F.least(F.col("ln") - miss("l", "r"), F.col("rn") - miss("r", "l"))
+    most = F.least(F.col("ln") - miss("l", "r"), F.col("rn") - miss("r", "l")) + 1  # one to spare for pieces of one hash
     may_be = most >= (F.col("ln") + F.col("rn") - most) * least
     kept = ws.put(pairs.join(side(a, "l"), "l").join(side(b, "r"), "r").where(may_be).select("l", "r"), "kept")
     text_of = lambda df, p, x: df.select("tkey", "text").join(kept.select(F.col(p).alias("tkey")).distinct(), "tkey", "left_semi").groupBy(F.col("tkey").alias(p)).agg(F.first("text").alias(x))
