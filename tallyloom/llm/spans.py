@@ -9,10 +9,11 @@ near their ends.
 1. Every border between high-level symbols, with 30 characters on each side, is a seed; seeds that occur in two
    documents reveal the repeats. Symbols are shorter than 40 characters, so the middle of any stretch of 120 has a border.
 2. Around revealed seeds all windows of 120 characters are named by digest, and a window that occurs in two documents
-   is verified as shared; nothing else is. Runs of shared windows are the spans.
+   is verified as shared; nothing else is. Windows reach some characters beyond a seed, for at the ends of an equal
+   stretch borders may lie differently. Runs of shared windows are the spans.
 
 What flows between the steps are digests with a document number. Seeds are counted with pre-aggregation, so a passage
-that stands in a third of all documents is one row a task. Windows go once through an exchange by digest, with 96 bits
+that stands in a third of all documents is one row a task. Windows go once through an exchange by digest, with 80 bits
 to tell them apart; what documents of one part of a task share is settled there, and one row of it goes to the others.
 Revealed seeds reach the second reading of the texts as a Bloom filter of at most 128 MB, and through a join where there
 are more than 268 million of them.
@@ -38,7 +39,7 @@ from tallyloom.workspace import Workspace
 
 SPAN = 120
 LEAST, ROUNDS = 20, 12
-AROUND = 30
+AROUND, BEYOND = 30, 28
 FILTER_BITS = 30
 WORD, SPACE, ALONE = 0, 1, 2
 LONG_TOKEN = 16
@@ -77,7 +78,7 @@ class Text:
         np.cumsum(mixed, out=self.sums[1:])
 
     def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """32 more bits, from other weights of characters and places."""
+        """16 more bits, from other weights of characters and places."""
         odd = (self.cps.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
         odd ^= odd >> np.uint64(32)
         odd *= _MIX
@@ -93,7 +94,7 @@ class Text:
         np.cumsum(odd * ups[:-1], out=sums[1:])
         x = (sums[end] - sums[start]) * downs[start]
         x ^= x >> np.uint64(32)
-        return (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
+        return (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)
 
     def digest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64 bits that are equal for equal stretches wherever they stand."""
@@ -179,13 +180,13 @@ def _seeds(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(text: Text, ids: np.ndarray, at: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    """Every window of the span's length around the seeds: document, digest, place with 32 more bits of digest, shared.
+    """Every window of the span's length around the seeds: document, digest, place with 16 more bits of digest, shared.
 
     A window that two documents at hand have is shared; one row of it keeps its digest, so documents elsewhere meet it,
     and the others get a number of their own. A passage of very many documents is one row a digest and part this way.
     """
-    lo = np.maximum(at + AROUND - SPAN, text.offsets[doc])
-    hi = np.minimum(at - AROUND, text.offsets[doc + 1] - SPAN)
+    lo = np.maximum(at + AROUND - SPAN - BEYOND, text.offsets[doc])
+    hi = np.minimum(at - AROUND + BEYOND, text.offsets[doc + 1] - SPAN)
     ok = hi >= lo
     edge = np.zeros(len(text.cps) + 2, dtype=np.int32)
     np.add.at(edge, lo[ok], 1)
