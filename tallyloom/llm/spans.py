@@ -183,7 +183,7 @@ def _windows(text: Text, ids: np.ndarray, at: np.ndarray, doc: np.ndarray) -> pa
     """Every window of the span's length around the seeds: document, digest, place with 16 more bits of digest, shared.
 
     A window that two documents at hand have is shared; one row of it keeps its digest, so documents elsewhere meet it,
-    and the others get a number of their own. A passage of very many documents is one row a digest and part this way.
+    and the others get a number of their document. A passage of very many documents is one row a digest and part this way.
     """
     lo = np.maximum(at + AROUND - SPAN - BEYOND, text.offsets[doc])
     hi = np.minimum(at - AROUND + BEYOND, text.offsets[doc + 1] - SPAN)
@@ -202,11 +202,13 @@ def _windows(text: Text, ids: np.ndarray, at: np.ndarray, doc: np.ndarray) -> pa
     group = np.cumsum(head) - 1
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(order))[: len(first)] - 1
-    known = (i[first] != i[last])[group]
-    spare = known & ~head
-    d[spare] = (i[spare].astype(np.uint64) * _POWER ^ place[order][spare]) * _MIX
-    cols = [pa.array(i), pa.array(d.view(np.int64)), pa.array(place[order].view(np.int64)), pa.array(known)]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "place", "known"])
+    shared = (i[first] != i[last])[group]
+    spare = order[shared & ~head]
+    known = np.zeros(len(w), dtype=bool)
+    known[order] = shared
+    digest[spare] = docs[spare].astype(np.uint64) * _POWER * _MIX  # a number of the document, which its text bounds
+    # rows stay in the order of the texts, which packs well
+    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(digest.view(np.int64)), pa.array(place.view(np.int64)), pa.array(known)], names=["doc_id", "digest", "place", "known"])
 
 
 def _frame(docs: np.ndarray, digest: np.ndarray, pos: np.ndarray | None = None) -> pa.RecordBatch:
