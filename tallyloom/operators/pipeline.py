@@ -238,7 +238,7 @@ def grid_groups(records: DataFrame) -> DataFrame:
 
 def pool(records: DataFrame, seed: int = 0) -> DataFrame:
     """Questions of each grid state, own and derived: ``source``, ``grid_id``, ``state_key``, ``rec_key``, ``name``, ``derived``."""
-    r = with_state_key(records)
+    r = Workspace(records.sparkSession).put(with_state_key(records).select("source", "grid_id", "state_key", "rec_key", "lang", "questions"), "keyed")
     own = r.select("source", "grid_id", "state_key", "rec_key", F.explode("questions").alias("q")).select("source", "grid_id", "state_key", "rec_key", F.col("q.name").alias("name"), F.lit("").alias("derived"))
     made = derived_yes_no(r, seed).select("rec_key", "name", F.col("kind").alias("derived"))
     return own.unionByName(r.select("source", "grid_id", "state_key", "rec_key").join(made, "rec_key"))
@@ -252,7 +252,8 @@ def chunked(records: DataFrame, seed: int = 0) -> DataFrame:
     """
     state = ["source", "grid_id", "state_key"]
     item = ["rec_key", "name", "derived"]
-    q = pool(records, seed)
+    ws = Workspace(records.sparkSession)
+    q = ws.put(pool(records, seed), "pool")
     u, s = (rng.unit(seed + k, *map(F.col, item)) for k in (0, 1))
     sized = q.join(q.groupBy(*state).agg(F.count("*").alias("n")), state)
     sliced = sized.withColumns({"u": u, "s": s}).withColumn("slice", F.floor(F.col("u") * F.ceil(F.col("n") / SLICE)))
@@ -262,6 +263,7 @@ def chunked(records: DataFrame, seed: int = 0) -> DataFrame:
     placed = run.withColumn("p", F.row_number().over(Window.partitionBy(*state, "slice", "run").orderBy("u", *item)) - 1)
     begun = placed.withColumn("begin", (F.col("p") % LONGEST_CHUNK == 0).cast("int"))
     upto = begun.withColumn("upto", F.sum("begin").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = ws.put(upto.select(*state, "slice", *item, "begin", "upto", "p"), "placed")
     chunks = upto.groupBy(*state, "slice").agg(F.sum("begin").alias("many"))
     before = F.sum("many").over(Window.partitionBy(*state).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     full = upto.join(chunks.withColumn("before", F.coalesce(before, F.lit(0))).drop("many"), [*state, "slice"])

@@ -8,6 +8,7 @@ from tallyloom.functions import text as T
 from tallyloom.functions.rng import unit_sql
 from tallyloom.operators import pipeline as P
 from tallyloom.tables import table
+from tallyloom.workspace import Workspace
 
 ONCE = """once AS (SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY rec_key ORDER BY loaded_at ASC NULLS LAST, id ASC NULLS LAST) AS _n
   FROM records WHERE rec_key IS NOT NULL) WHERE _n = 1)"""
@@ -72,6 +73,12 @@ def kept(spark, d):
     return reasoned(spark, d).where("reason is null")
 
 
+def kept_table(spark, d):
+    """Kept records as a table, for operators that read them more than once."""
+    cols = ("rec_key", "id", "source", "split", "license", "lang", "grid_id", "cluster", "coco_id", "flip_group", "flip_kind", "state_json", "questions")
+    return Workspace(spark).put(kept(spark, d).select(*cols), "kept")
+
+
 def record_validate(spark, d):
     """Messages of the validator with the number of records they hit."""
     messages = P.record_errors(once(spark, d)).select("source", F.explode(F.array_distinct("errors")).alias("error"))
@@ -127,12 +134,13 @@ def grid_groups(spark, d):
 
 def grid_chunks(spark, d):
     """Questions of the kept records by the chunk they go to, named by the first record of their state."""
-    c, g = P.chunked(kept(spark, d)), P.grid_groups(kept(spark, d)).select("source", "grid_id", "state_key", "first")
+    k = kept_table(spark, d)
+    c, g = P.chunked(k), P.grid_groups(k).select("source", "grid_id", "state_key", "first")
     return c.join(g, ["source", "grid_id", "state_key"]).select("first", "rec_key", "name", "derived", "chunk", "new_name")
 
 
 def grid_records(spark, d):
-    return P.grid_records(kept(spark, d))
+    return P.grid_records(kept_table(spark, d))
 
 
 def dedup_jaccard(spark, d):
