@@ -182,7 +182,7 @@ def schema_tables(nodes: DataFrame) -> DataFrame:
         .agg(
             F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
             F.count("*").alias("n_rows"),
-            F.approx_count_distinct("line_key", 0.01).alias("n_lines_about"),
+            F.count_distinct("line_key").alias("n_lines"),
             F.max("pos").alias("last_pos"),
         )
     )

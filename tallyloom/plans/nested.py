@@ -54,6 +54,8 @@ ORACLE_SQL: dict[str, str] = {
     "p3_found": f"WITH {_WALK} SELECT DISTINCT line_key, path, parent_path, CAST(pos AS INT) AS pos FROM w",
     "p3_nodes": f"""WITH {_WALK} SELECT line_key, dewey, parent_dewey, path, parent_path, step, schema_path, kind, CAST(pos AS INT) AS pos,
   CASE WHEN kind = 'string' THEN atom ->> '$' WHEN kind IN ('number', 'boolean') THEN CAST(atom AS VARCHAR) END AS value FROM n""",
+    "p3_tables": f"""WITH {_WALK} SELECT schema_path, parent_schema, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, count(*) AS n_rows, count(DISTINCT line_key) AS n_lines, CAST(max(pos) AS INT) AS last_pos
+  FROM n GROUP BY 1, 2""",
     "p3_messages": f"""WITH {_WALK}, m AS (SELECT * FROM w WHERE schema_path = 'state.ticket.messages[*]'),
   c AS (SELECT line_key, parent_dewey, step, arg_min(CASE WHEN type = 'VARCHAR' THEN atom ->> '$' ELSE CAST(atom AS VARCHAR) END, pos) AS v FROM w WHERE parent_schema = 'state.ticket.messages[*]' GROUP BY 1, 2, 3)
   SELECT m.line_key, m.dewey, m.parent_dewey, CAST(m.pos AS INT) AS pos, f.v AS "from", t.v AS text, a.v AS at FROM m
