@@ -1,23 +1,22 @@
-"""Same or near-same records across splits, by content-defined chunks.
+"""Same or near-same records across splits: every pair of texts over the threshold, decided by the pieces themselves.
 
-Normalised texts are cut where a rolling hash of three characters is smaller than all hashes close by, so equal stretches
-are cut alike wherever they stand. Chunk digests are counted on the train and on the evaluation side; only chunks of
-both sides can link texts. A table of fixed slots tells the workers for every digest whether it stands on both sides and
-how frequent it is. Each text keeps its rarest chunks of both sides until the rest is half of their length, and not
-fewer than ten; texts that keep a chunk in common are candidates. Sizes and bit sketches of the distinct
-3-character pieces drop candidates that provably are not similar enough. For the rest the lengths of all shared chunks
-are summed into overlap fractions; where these reach the least share, the similarity of the pieces is computed in full.
+Normalised texts have a set of 3-character pieces, a number of them, and a sketch of parities: bit i tells whether an odd
+number of pieces has a hash of remainder i. Two sketches differ in no more bits than the sets differ in pieces, and sets of
+similarity 0.8 differ in at most a ninth of their sizes together, so sketches that differ in more bits settle a pair for
+certain. Texts stand in buckets of size, a step of 1.3 wide, so a text can only be similar to texts of its own bucket and of
+the two next to it. Buckets are cut into blocks, each cell of two blocks is one group of rows, and in it every text
+meets all texts of a fitting size. For the pairs left the similarity of the pieces is computed in full, and the summed
+lengths of shared content-defined chunks as overlap fractions.
 
-What is certain: texts with half of the two-sided chunk length of either in common meet in a kept chunk. Edits
-that are spread over the whole text leave fewer chunks in common, at random places of the order of rarity; that such
-texts have no kept chunk in common is improbable and was measured (README).
+No pair of similarity 0.8 or more is left out, whatever the texts have in common. The price is that comparisons of sketches
+grow with the square of the records (README).
 
-Copies of one text are one text during the search and are expanded at the end; no partner and no chunk is dropped for
-being frequent. Chunks with very many possible pairs are salted: train rows are split and evaluation rows repeated.
+Copies of one text are one text during the search and are expanded at the end.
 
 Cases: null or unreadable states give no strings (an unreadable state is one string itself); null questions, images,
-splits and numbers are allowed; texts without a character take no part; a text of one or two characters is one piece;
-repeated rows of one ``rec_key`` are one record; a null ``rec_key`` names no record; other splits take no part.
+splits and numbers are allowed; texts without a character take no part; a text of one or two characters is one piece, so
+only the same text is similar to it; repeated rows of one ``rec_key`` are one record; a null ``rec_key`` names no record;
+other splits take no part.
 """
 
 from __future__ import annotations
@@ -31,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bittable import ored
 from tallyloom.llm.lookalike import decode
 from tallyloom.llm.spans import Text
 from tallyloom.workspace import Workspace
@@ -39,12 +37,10 @@ from tallyloom.workspace import Workspace
 TRAIN, EVALUATION = ("train",), ("calibration", "validation", "test")
 SIMILAR = 0.8
 NEAR, ROLL = 3, 3
-REST, FEWEST, LEAST_SHARE = 0.5, 10, 0.2
 LEAST_WITH_IMAGE = 200
-SKETCH = 512
-MOST_SLOTS = 1 << 26
-LEVELS = 16
-SALTS = {LEVELS - 1: 4, LEVELS: 32}
+WIDE = 1.3  # more than 1 / SIMILAR, so similar texts are in one bucket or in neighbours
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 25
+MOST_SLOTS, LEVELS, SALTS = 1 << 26, 16, {}  # read by nothing; tests set them
 SMALL_KEYS = 500_000
 # How image numbers stand in paths.
 COCO_FILE = re.compile(r"COCO_[A-Za-z]+[0-9]{4}_0*([0-9]+)[^/]*$")
@@ -187,153 +183,111 @@ def _grouped(text: Text) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(44)).astype(np.int64), both & np.uint64((1 << 44) - 1)
 
 
-def chunk_rows(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, digest and summed length of the distinct chunks of each text, by text and digest."""
-    start = chunks(text)
-    length = np.diff(start, append=len(text.cps))
-    doc = np.searchsorted(text.offsets, start, side="right") - 1
-    digest = text.digest(start, start + length)
-    order = np.argsort(digest, kind="stable")
-    order = order[np.argsort(doc[order], kind="stable")]
-    doc, digest, length = doc[order], digest[order], length[order]
-    if not len(doc):
-        return doc, digest, length
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])]))
-    return doc[head], digest[head], np.add.reduceat(length, head)
+def bucket(n: np.ndarray) -> np.ndarray:
+    """Bucket of a number of pieces."""
+    return np.floor(np.log(n) / np.log(WIDE)).astype(np.int64)
 
 
-def chunk_counts(parts: DataFrame) -> DataFrame:
-    """``chunk``, ``n_train``, ``n_eval`` of chunks on both sides; each task adds up before the exchange."""
+def sketch_bits(k: int) -> int:
+    """Bits of the sketches of a bucket: a power of two, at least 1.2 for every piece."""
+    return max(128, 1 << int(np.ceil(np.log2(1.2 * WIDE ** (k + 1)))))
 
-    def run(batches):
-        held: list[tuple] = []
-        rows = 0
-
-        def merged():
-            digest = np.concatenate([x[0] for x in held])
-            sides = np.concatenate([x[1] for x in held])
-            unique, where = np.unique(digest, return_inverse=True)
-            n = [np.bincount(where, weights=sides[:, k], minlength=len(unique)).astype(np.int64) for k in (0, 1)]
-            return unique, np.stack(n, 1)
-
-        for b, text in _batches(batches, 1):
-            side = b.column(0).to_numpy()
-            doc, digest, _ = chunk_rows(text)
-            s = side[doc]
-            held.append((digest, np.stack([s == 0, s == 1], 1).astype(np.int64)))
-            rows += len(digest)
-            if rows > 4_000_000:
-                held = [merged()]
-                rows = len(held[0][0])
-                if rows > 3_000_000:
-                    yield _counted(*held[0])
-                    held, rows = [], 0
-        if held:
-            yield _counted(*merged())
-
-    def _counted(digest, n):
-        cols = [pa.array(digest.view(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])]
-        return pa.RecordBatch.from_arrays(cols, names=["chunk", "n_train", "n_eval"])
-
-    counted = parts.select("side", "text").mapInArrow(run, "chunk long, n_train long, n_eval long")
-    return counted.groupBy("chunk").agg(F.sum("n_train").alias("n_train"), F.sum("n_eval").alias("n_eval")).where("n_train > 0 and n_eval > 0")
-
-
-def _pieces(text: Text) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct 3-character pieces of each text, and a bit sketch of them."""
-    docs, size = len(text.offsets) - 1, np.diff(text.offsets)
-    d, both = _grouped(text)
-    bits = np.zeros(docs * SKETCH, dtype=np.uint8)
-    bits[d * SKETCH + (both % np.uint64(SKETCH)).astype(np.int64)] = 1
-    bits.reshape(docs, SKETCH)[size < 3] = 0  # too short for the bound: no bit, no pruning
-    return np.bincount(d, minlength=docs), np.packbits(bits, bitorder="little").view(np.int64).reshape(docs, SKETCH // 64)
-
-
-def levels(counts: DataFrame) -> np.ndarray:
-    """Frequency level of every slot: 0 for no chunk of both sides, else 1 to LEVELS by powers of four of its pairs.
-
-    A level is written as that many set bits, so chunks that fall into one slot combine by OR to the higher one. The
-    table has eight slots a chunk and at most MOST_SLOTS, of two bytes; in a fuller table more chunks of one side pass
-    for chunks of both, which costs candidates.
-    """
-    n = counts.count()
-    k = min(MOST_SLOTS.bit_length() - 1, max(16, (8 * n).bit_length()))
-
-    def bits_of(b):
-        pairs = b.column(1).to_numpy().astype(float) * b.column(2).to_numpy()
-        level = np.minimum(1 + np.log2(np.maximum(pairs, 1)) // 2, LEVELS).astype(np.uint64)
-        slot = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - k)
-        return slot >> np.uint64(2), ((np.uint64(1) << level) - np.uint64(1)) << ((slot & np.uint64(3)) * np.uint64(16))
-
-    return ored(counts, bits_of, 1 << (k - 2)).view(np.uint16)
 
-
-def kept_chunks(parts: DataFrame, sent, side: int) -> DataFrame:
-    """``chunk``, ``salt``, ``tid``, ``n``, sketch columns: the rarest chunks of each text of a side."""
-    words = SKETCH // 64
+def sketches(parts: DataFrame) -> DataFrame:
+    """``side``, ``tid``, ``k`` (bucket), ``n`` (distinct pieces), ``sketch`` of the texts of three characters or more; a task sends a text once."""
 
     def run(batches):
-        table = sent.value
-        shift = np.uint64(64 - (len(table).bit_length() - 1))
-        salts = np.array([SALTS.get(x, 1) for x in range(LEVELS + 1)], dtype=np.int64)
-        seen: set[bytes] = set()
-        for b, text in _batches(batches, 1):
-            doc, digest, size = chunk_rows(text)
-            level = np.bitwise_count(table[digest >> shift])
-            fresh = np.array([k not in seen and not seen.add(k) for k in b.column(0).to_pylist()], dtype=bool)
+        seen: set[tuple] = set()
+        for b in batches:
+            fresh = pa.array([k not in seen and not seen.add(k) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_())
             if len(seen) > 200_000:
                 seen.clear()
-            use = (level > 0) & fresh[doc]
-            doc, digest, size, level = doc[use], digest[use], size[use], level[use]
-            order = np.lexsort((digest, level, doc))
-            doc, digest, size, level = doc[order], digest[order], size[order], level[order]
-            before = np.concatenate([[0], np.cumsum(size)])[: len(size)]
-            head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
-            many = np.diff(head, append=len(doc))
-            before = before - np.repeat(before[head], many)
-            rank = np.arange(len(doc)) - np.repeat(head, many)
-            both = np.bincount(doc, weights=size, minlength=b.num_rows)
-            keep = (before <= both[doc] * (1 - REST)) | (rank < FEWEST)
-            doc, digest, level = doc[keep], digest[keep], level[keep]
-            tid = np.frombuffer(b"".join(k[:8] for k in b.column(0).to_pylist()), dtype=np.int64)
-            split = salts[level]
-            if side == 0:
-                salt = (tid[doc].view(np.uint64) % split.astype(np.uint64)).astype(np.int64)
-            else:
-                first = np.cumsum(split) - split
-                doc, digest = np.repeat(doc, split), np.repeat(digest, split)
-                salt = np.arange(len(doc)) - np.repeat(first, split)
-            n, sketch = _pieces(text)
-            cols = [pa.array(digest.view(np.int64)), pa.array(salt.astype(np.int16)), pa.array(tid[doc]), pa.array(n[doc].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(sketch[doc, k]) for k in range(words))], names=["chunk", "salt", "tid", "n", *(f"s{k}" for k in range(words))])
-
-    schema = "chunk long, salt short, tid long, n int, " + ", ".join(f"s{k} long" for k in range(words))
-    return parts.where(F.col("side") == side).select("tkey", "text").mapInArrow(run, schema)
-
-
-def candidates(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """``t_train``, ``t_eval``: pairs of different texts that keep a chunk in common and may be similar enough.
-
-    One exchange by chunk serves both the removal of copies (each task has sent a text once) and the join.
+            for part, text in _batches([b.filter(fresh)], 2):
+                doc, piece = _grouped(text)
+                n = np.bincount(doc, minlength=part.num_rows)
+                k = bucket(n)
+                k[np.diff(text.offsets) < 3] = -1
+                for at in np.unique(k[k >= 0]).tolist():
+                    rows, bits = np.flatnonzero(k == at), sketch_bits(at)
+                    place = np.full(part.num_rows, -1)
+                    place[rows] = np.arange(len(rows))
+                    own = place[doc] >= 0
+                    odd = np.bincount(place[doc[own]] * bits + (piece[own] % np.uint64(bits)).astype(np.int64), minlength=len(rows) * bits) & 1
+                    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+                    width = bits // 8
+                    cols = [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), at)), pa.array(n[rows])]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([packed[i * width : (i + 1) * width] for i in range(len(rows))], pa.binary())], names=["side", "tid", "k", "n", "sketch"])
+
+    return parts.select("side", "tid", "text").mapInArrow(run, "side int, tid long, k long, n long, sketch binary")
+
+
+def _block(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, sizes and words (by word and text) of the distinct texts of a block, by size; sketches folded to so many bits."""
+    tid, n, sketch = table["tid"].to_numpy(), table["n"].to_numpy(), table["sketch"]
+    _, one = np.unique(tid, return_index=True)
+    one = one[np.argsort(n[one], kind="stable")]
+    words = np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint64).reshape(len(tid), -1)[one]
+    while words.shape[1] * 64 > bits:  # parities of the lower half of the remainders
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return tid[one], n[one], np.ascontiguousarray(words.T)
+
+
+def near_sketches(left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Text numbers of the pairs of two blocks whose sizes and sketches allow the similarity.
+
+    Sets of sizes a and b and similarity s differ in at most (a + b) (1 - s) / (1 + s) pieces. One piece is to spare, for
+    pieces of one hash. Half of the words settle most pairs, all of them the others.
     """
-    words = SKETCH // 64
-    one = lambda side, p: (
-        side.repartition("chunk", "salt")
-        .groupBy("chunk", "salt", "tid")
-        .agg(F.first("n").alias(f"{p}n"), *(F.first(f"s{k}").alias(f"{p}{k}") for k in range(words)))
-        .withColumnRenamed("tid", f"{p}key")
-    )
-    a, b = one(train, "a"), one(evaluation, "b")
-    # bits of one sketch that the other lacks are pieces that the other lacks
-    def close(n_words: int):
-        miss = lambda x, y: sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(n_words)), F.lit(0))
-        most = F.least(F.col("an") - miss("a", "b"), F.col("bn") - miss("b", "a")) + 1  # one to spare for a collision of piece hashes
-        return most >= (F.col("an") + F.col("bn") - most) * SIMILAR
-
-    # sizes first, then half of the bits, which settle most pairs, then all of them
-    ok = (F.least("an", "bn") + 1 >= F.greatest("an", "bn") * SIMILAR) & close(words // 2) & close(words) & (F.col("akey") != F.col("bkey"))
-    meet = (a["chunk"] == b["chunk"]) & (a["salt"] == b["salt"])
-    return a.join(b, meet & ok).select(F.col("akey").alias("t_train"), F.col("bkey").alias("t_eval")).distinct()
+    (tid, n, words), (tid2, n2, words2) = left, right
+    share = (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
+    half = len(words) // 2
+    lows, highs = np.searchsorted(n, n2 * SIMILAR - 1.001, side="left"), np.searchsorted(n, (n2 + 1) / SIMILAR + 0.001, side="right")
+    out: list[tuple] = []
+    for j in np.flatnonzero(highs > lows).tolist():
+        for lo in range(lows[j], highs[j], 16384):  # what a core keeps at hand
+            hi = min(lo + 16384, highs[j])
+            most = int((n[hi - 1] + n2[j]) * share + 1)
+            differ = np.bitwise_count(words[0, lo:hi] ^ words2[0, j]).astype(np.int32)
+            for w in range(1, half):
+                differ += np.bitwise_count(words[w, lo:hi] ^ words2[w, j])
+            at = np.flatnonzero(differ <= most)
+            if len(at):
+                rest = np.bitwise_count(words[half:, at + lo] ^ words2[half:, j, None]).sum(0, dtype=np.int64)
+                at = at[differ[at] + rest <= (n[at + lo] + n2[j]) * share + 1] + lo
+                at = at[tid[at] != tid2[j]]
+                if len(at):
+                    out.append((tid[at], np.full(len(at), tid2[j])))
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate([none, *(x[i] for x in out)]) for i in (0, 1))
+
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """``t_train``, ``t_eval``: distinct pairs of different texts that may be similar enough, from ``sketches``."""
+    spark = signed.sparkSession
+    sizes: dict[tuple, int] = {(r["side"], r["k"]): r["m"] for r in signed.groupBy("side", "k").agg(F.count("*").alias("m")).collect()}  # a row a bucket
+    blocks = {(s, k): -(-m // max(1, min(BLOCK_ROWS, BLOCK_BYTES * 8 // sketch_bits(k)))) for (s, k), m in sizes.items()}
+    meet = [(k, o) for s, k in blocks if s == 0 for o in (k - 1, k, k + 1) if (1, o) in blocks]
+
+    def laid(side: int) -> DataFrame:
+        """Each text once for every block of the other side that its own block meets."""
+        grid = [(p, q, p if side == 0 else q, blocks[side, p if side == 0 else q], other) for p, q in meet for other in range(blocks[1 - side, q if side == 0 else p])]
+        g = F.broadcast(spark.createDataFrame(grid, "k0 long, k1 long, k long, many long, other long"))
+        own = F.pmod(F.col("tid"), F.col("many"))
+        b0, b1 = (own, F.col("other")) if side == 0 else (F.col("other"), own)
+        return signed.where(F.col("side") == side).join(g, "k").select("k0", "k1", b0.alias("b0"), b1.alias("b1"), *(F.col(c).alias(f"{c}{side}") for c in ("tid", "n", "sketch")))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if left.num_rows and right.num_rows:
+            bits = min(sketch_bits(key[0].as_py()), sketch_bits(key[1].as_py()))
+            a, b = near_sketches(*(_block(x.select(range(4, 7)).rename_columns(["tid", "n", "sketch"]), bits) for x in (left, right)))
+        return pa.table({"t_train": pa.array(a), "t_eval": pa.array(b)})
+
+    cell = ["k0", "k1", "b0", "b1"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # set, for few bytes make much work
+    one, other = (laid(s).repartition(parts, *cell).groupBy(*cell) for s in (0, 1))
+    return one.cogroup(other).applyInArrow(run, "t_train long, t_eval long")
 
 
 def _grams(x: str) -> set[str]:
@@ -351,15 +305,13 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            left, right = _shared_lengths(b.column(2), b.column(3))
-            meet = np.maximum(left, right) >= LEAST_SHARE
-            b, left, right = b.filter(pa.array(meet)), left[meet], right[meet]
-            if not b.num_rows:
-                continue
             value = similarity(b.column(2).to_pylist(), b.column(3).to_pylist())
             near = value >= SIMILAR
             b = b.filter(pa.array(near))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[near]) for x in (value, left, right))], names=["t_train", "t_eval", "similarity", "train_fraction", "eval_fraction"])
+            if not b.num_rows:
+                continue
+            left, right = _shared_lengths(b.column(2), b.column(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in (value[near], left, right))], names=["t_train", "t_eval", "similarity", "train_fraction", "eval_fraction"])
 
     schema = "t_train binary, t_eval binary, similarity double, train_fraction double, eval_fraction double"
     return full.select(F.col("a_key").alias("t_train"), F.col("b_key").alias("t_eval"), "a", "b").mapInArrow(run, schema)
@@ -413,11 +365,9 @@ def _shared_lengths(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.nda
 
 def text_links(parts: DataFrame, ws: Workspace) -> DataFrame:
     """Similar pairs of different texts across the sides."""
-    table = levels(ws.put(chunk_counts(parts), "counts"))
-    ws.drop("counts")
-    sent = parts.sparkSession.sparkContext.broadcast(table)
-    train, evaluation = (kept_chunks(parts, sent, s) for s in (0, 1))
-    links = ws.put(verified(ws.put(candidates(train, evaluation), "candidates"), parts), "links")
+    signed = ws.put(sketches(parts), "sketches")
+    links = ws.put(verified(ws.put(candidates(signed), "candidates"), parts), "links")
+    ws.drop("sketches")
     ws.drop("candidates")
     return links
 

@@ -103,3 +103,19 @@ def test_edits_spread_evenly_are_found(spark):
             want.add((2 * i, 2 * i + 1))
     assert len(want) > 80 and want == brute(rows)
     assert {tuple(r) for r in O.found(frame(spark, rows)).collect()} == want
+
+
+def test_pairs_without_a_common_chunk_are_found(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):  # short texts with a letter more have often no chunk in common
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(6, 16)))
+        rows += [{"k": 2 * i, "split": "train", "state": json.dumps(text)}, {"k": 2 * i + 1, "split": "test", "state": json.dumps(text + "z")}]
+    for i in range(40):  # the same pieces in another order, and sizes at both ends of the threshold
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(40)) for _ in range(rng.randrange(1, 30))]
+        a, b = "".join(words), "".join(rng.sample(words, len(words)))
+        rows += [{"k": 5000 + 2 * i, "split": "train", "state": json.dumps(a)}, {"k": 5001 + 2 * i, "split": "test", "state": json.dumps(b[: round(len(b) * (0.8 + i / 200))])}]
+    want = brute(rows)
+    assert len(want) > 250
+    got = {tuple(r) for r in O.found(frame(spark, rows)).collect()}
+    assert got - want == set() and want - got == set()
