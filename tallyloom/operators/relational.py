@@ -80,14 +80,20 @@ def both_kinds(rows: DataFrame, group: str, kind: str, one: str, other: str, ord
 def boxes_at(points: DataFrame, boxes: DataFrame, screen: str, cell: int = 256) -> DataFrame:
     """The smallest box around each point of the same screen.
 
-    Boxes are laid on a grid of cells and joined by cell, so the range condition has an equality to run on.
+    Equal places and equal rectangles are one during the search; rectangles are laid on a grid of cells and joined by
+    cell, so the range condition has an equality to run on.
     """
+    edges = ["x0", "y0", "x1", "y1"]
+    kinds = boxes.where("x0 <= x1 and y0 <= y1").groupBy(screen, *edges).agg(F.min("box_id").alias("box_id"), F.count("*").alias("n"))
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    laid = boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
-    p = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    laid = kinds.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    p = points.select(screen, "x", "y").distinct().withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
     inside = p.join(laid, [screen, "cx", "cy"]).where("x between x0 and x1 and y between y0 and y1")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return inside.groupBy(screen, "point_id").agg(F.min_by("box_id", F.struct(area.alias("area"), F.col("box_id"))).alias("box_id"), F.count("*").alias("around"))
+    least = lambda c: F.min(c).alias("least")
+    at = inside.groupBy(screen, "x", "y").agg(least(F.struct(area.alias("area"), F.col("box_id"))), F.sum("n").alias("n"))
+    each = points.select(screen, "point_id", "x", "y").join(at, [screen, "x", "y"])
+    return each.groupBy(screen, "point_id").agg(least("least"), F.sum("n").alias("around")).select(screen, "point_id", F.col("least.box_id").alias("box_id"), "around")
 
 
 def occluded(boxes: DataFrame, screen: str, share: float = 0.5, cell: int = 256) -> DataFrame:

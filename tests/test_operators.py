@@ -2,6 +2,7 @@
 
 import collections
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,23 @@ def test_occlusion_equals_all_pairs(spark):
         assert {tuple(r) for r in R.occluded(df, "screen", share, 128).collect()} == want and want
 
 
+@pytest.fixture
+def within(spark):
+    """Jobs are cancelled after a minute, which fails the test."""
+    t = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    t.start()
+    yield
+    t.cancel()
+
+
+def test_many_equal_boxes_and_points_meet_once(spark, within):
+    n = 300_000  # nine times ten to the tenth pairs
+    boxes = spark.range(n).selectExpr("1 AS screen", "id AS box_id", "10 AS x0", "10 AS y0", "20 + CAST(id % 3 AS INT) AS x1", "20 AS y1")
+    points = spark.range(n).selectExpr("1 AS screen", "id AS point_id", "15 + CAST(id % 2 AS INT) * 6 AS x", "15 AS y")
+    got = R.boxes_at(points, boxes, "screen").groupBy("box_id", "around").count().collect()
+    assert {tuple(r) for r in got} == {(0, n, n // 2), (1, n // 3 * 2, n // 2)}
+
+
 def test_common_prefix(spark):
     df = spark.createDataFrame([([1, 2, 3], [1, 2, 4]), ([1], [1, 2]), ([], [1]), ([2], [1])], "a array<int>, b array<int>")
     assert [r.n for r in df.select(K.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 1, 0, 0]
