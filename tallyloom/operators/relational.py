@@ -99,21 +99,25 @@ def boxes_at(points: DataFrame, boxes: DataFrame, screen: str, cell: int = 256)
 def occluded(boxes: DataFrame, screen: str, share: float = 0.5, cell: int = 256) -> DataFrame:
     """Boxes that a later box of their screen covers by at least the share of their area.
 
-    A box that covers half of another holds its centre, so centres are looked up in the later boxes, by grid cell.
-    A smaller share than one half needs no centre; then every cell of the box is looked up.
+    Equal rectangles are one during the search, with their latest box. A box that covers half of another holds its
+    centre, so centres are looked up in the other rectangles, by grid cell. A smaller share than one half needs no centre;
+    then every cell of the box is looked up.
     """
+    edges = ["x0", "y0", "x1", "y1"]
     spans = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    sound = boxes.where("x1 > x0 and y1 > y0")
-    later = sound.select(screen, *(F.col(c).alias(f"l_{c}") for c in ("box_id", "x0", "y0", "x1", "y1")))
+    sound = boxes.where("x1 > x0 and y1 > y0").select(screen, "box_id", *edges)
+    kinds = sound.groupBy(screen, *edges).agg(F.min("box_id").alias("first"), F.max("box_id").alias("last"))
+    later = kinds.select(screen, F.col("last").alias("l_last"), *(F.col(c).alias(f"l_{c}") for c in edges))
     later = later.withColumn("cx", F.explode(spans("l_x0", "l_x1"))).withColumn("cy", F.explode(spans("l_y0", "l_y1")))
     if share >= 0.5:  # the middle of each axis lies in the overlap, whose width and height are half or more
-        at = sound.withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2 / cell), "cy": F.floor((F.col("y0") + F.col("y1")) / 2 / cell)})
+        at = kinds.withColumns({"cx": F.floor((F.col("x0") + F.col("x1")) / 2 / cell), "cy": F.floor((F.col("y0") + F.col("y1")) / 2 / cell)})
     else:
-        at = sound.withColumn("cx", F.explode(spans("x0", "x1"))).withColumn("cy", F.explode(spans("y0", "y1")))
+        at = kinds.withColumn("cx", F.explode(spans("x0", "x1"))).withColumn("cy", F.explode(spans("y0", "y1")))
     w = F.greatest(F.least("x1", "l_x1") - F.greatest("x0", "l_x0"), F.lit(0))
     h = F.greatest(F.least("y1", "l_y1") - F.greatest("y0", "l_y0"), F.lit(0))
     cover = w * h >= share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return at.join(later, [screen, "cx", "cy"]).where((F.col("l_box_id") > F.col("box_id")) & cover).select(screen, "box_id").distinct()
+    last = at.join(later, [screen, "cx", "cy"]).where((F.col("l_last") > F.col("first")) & cover).groupBy(screen, *edges).agg(F.max("l_last").alias("l_last"))
+    return sound.join(last, [screen, *edges]).where(F.col("box_id") < F.col("l_last")).select(screen, "box_id").distinct()
 
 
 def reservoir(rows: DataFrame, group: str, key: str, k: int, seed: int = 0) -> DataFrame:

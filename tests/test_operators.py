@@ -117,6 +117,13 @@ def test_many_equal_boxes_and_points_meet_once(spark, within):
     assert {tuple(r) for r in got} == {(0, n, n // 2), (1, n // 3 * 2, n // 2)}
 
 
+def test_many_equal_boxes_are_occluded_once(spark, within):
+    n = 300_000
+    boxes = spark.range(n).selectExpr("1 AS screen", "id AS box_id", "10 AS x0", "10 AS y0", "20 + CAST(id % 3 AS INT) AS x1", "20 AS y1")
+    got = R.occluded(boxes, "screen").selectExpr("count(*) AS n", "max(box_id) AS last").first()
+    assert tuple(got) == (n - 1, n - 2)
+
+
 def test_common_prefix(spark):
     df = spark.createDataFrame([([1, 2, 3], [1, 2, 4]), ([1], [1, 2]), ([], [1]), ([2], [1])], "a array<int>, b array<int>")
     assert [r.n for r in df.select(K.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 1, 0, 0]
