@@ -163,16 +163,16 @@ def chart_options(rows: DataFrame, n: int = 4, none: str = "Not Applicable", see
     """Options for answers about charts (qid, chart, template, answer): the answer, then answers of its kind on the chart,
     changed values, answers to the same template, and none of it; at most n, in a hashed order.
 
-    Answers to one template are drawn as in the pools of open questions, so no question meets all of them.
+    Answers of a chart and answers to a template are drawn as in the pools of open questions, so no question meets all of them.
     """
     from tallyloom.operators.openqa import changed_numbers, pool_draws
 
     size = r"^([0-9]+) by ([0-9]+)$"
     kind = F.when(T.is_number(F.col("answer")), "num").when(F.col("answer").rlike(size), "layout").when(F.col("answer").isin("Yes", "No"), "bool").otherwise("text")
     q = rows.where("answer is not null and trim(answer) <> ''").select("qid", "chart", "template", F.trim("answer").alias("answer")).withColumn("kind", kind)
-    other = q.select("chart", "kind", F.col("qid").alias("o"), F.col("answer").alias("text"), F.col("template").alias("ot"))
-    met = q.join(other, ["chart", "kind"]).where((F.col("ot") != F.col("template")) & (F.col("text") != none))
-    same = met.select("qid", F.lit(0).alias("step"), rng.unit(seed, F.col("qid"), F.col("o")).alias("order"), "text")
+    q = q.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")  # set, for few bytes make many draws
+    on_chart = q.where("chart is not null and template is not null").select("qid", F.concat_ws("|", "kind", F.col("chart").cast("string")).alias("pool"), "answer", "template")
+    same = pool_draws(on_chart, on_chart.where(F.col("answer") != none), n - 1, f"chart.{seed}", "template").select("qid", F.lit(0).alias("step"), F.col("place").cast("double").alias("order"), "text")
     numbers = changed_numbers(q.where("kind = 'num'").select("qid", F.lit("").alias("question"), "answer"), n).select("qid", F.lit(1).alias("step"), F.col("place").cast("double").alias("order"), "text")
     a, b = (F.regexp_extract("answer", size, k).cast("int") for k in (1, 2))
     least = lambda x: F.greatest(x - 1, F.lit(1))

@@ -32,33 +32,32 @@ def changed_numbers(rows: DataFrame, n: int = 3) -> DataFrame:
     whole = ~F.trim("answer").rlike(r"[.eE]")
     known = known.withColumns({"whole": whole, "year": whole & F.col("v").between(1800, 2100) & F.lower("question").contains("year")})
 
-    def tries(df: DataFrame, lo: int, hi: int) -> DataFrame:
-        k, v, sign, size, moved = (F.col(c) for c in ("k", "v", "sign", "size", "moved"))
-        each = df.withColumn("k", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
-        each = each.withColumns({"sign": F.when(rng.unit("number.sign", F.col("qid"), k) < 0.5, -1.0).otherwise(1.0), "size": rng.unit("number.size", F.col("qid"), k)})
-        each = each.withColumn("moved", v * (1 + sign * (0.1 + 0.4 * size)))
-        value = (
-            F.when(F.col("year"), v + sign * (1 + F.floor(size * 10)))
-            .when(v == 0, F.when(F.col("whole"), 1 + F.floor(size * 5).cast("double")).otherwise(F.round(0.1 + 4.9 * size, 2)))
-            .when(F.col("whole") & (F.bround(moved, 0) == v), v + sign * (1 + F.floor(k / 10)))
-            .otherwise(moved)
+    v, own, whole = F.col("v"), F.col("answer"), F.col("whole")
+
+    def texts(upto: int) -> Column:
+        """The first n texts of so many tries, within the row: each step is an array, so no try is written or computed twice."""
+        sign = lambda k: F.when(rng.unit("number.sign", F.col("qid"), k) < 0.5, -1.0).otherwise(1.0)
+        tries = F.transform(F.sequence(F.lit(0), F.lit(upto - 1)), lambda k: F.struct(k.alias("k"), sign(k).alias("sign"), rng.unit("number.size", F.col("qid"), k).alias("size")))
+        tries = F.transform(tries, lambda t: F.struct(t["k"].alias("k"), t["sign"].alias("sign"), t["size"].alias("size"), (v * (1 + t["sign"] * (0.1 + 0.4 * t["size"]))).alias("moved")))
+        values = F.transform(
+            tries,
+            lambda t: F.when(F.col("year"), v + t["sign"] * (1 + F.floor(t["size"] * 10)))
+            .when(v == 0, F.when(whole, 1 + F.floor(t["size"] * 5).cast("double")).otherwise(F.round(0.1 + 4.9 * t["size"], 2)))
+            .when(whole & (F.bround(t["moved"], 0) == v), v + t["sign"] * (1 + F.floor(t["k"] / 10)))
+            .otherwise(t["moved"]),
         )
-        each = each.withColumn("c", value)
-        made = each.where(~(F.col("whole") & (F.col("v") >= 0) & (F.col("c") < 0))).withColumn("text", T.format_like(F.col("c"), F.col("answer")))
-        return made.where(T.number(F.col("text")) != F.col("v")).groupBy("qid", "text").agg(F.min("k").alias("k"))
+        made = F.transform(F.filter(values, lambda c: ~(whole & (v >= 0) & (c < 0))), lambda c: T.format_like(c, own))
+        return F.slice(F.array_distinct(F.filter(made, lambda x: T.number(x) != v)), 1, n)
 
-    def first(df: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("qid").orderBy("k", "text"))
-        return df.withColumn("place", place).where(F.col("place") <= n).select("qid", "place", "text")
+    found = known.withColumn("texts", texts(FIRST_TRIES // 3))  # the first tries of more tries are the same
+    for upto in (FIRST_TRIES, ALL_TRIES):
+        found = found.withColumn("texts", F.when(F.size("texts") >= n, F.col("texts")).otherwise(texts(upto)))
+    return found.select("qid", F.posexplode("texts").alias("place", "text")).select("qid", (F.col("place") + 1).alias("place"), "text")
 
-    early = tries(known, 0, FIRST_TRIES)
-    done = early.groupBy("qid").agg(F.count("*").alias("made")).where(F.col("made") >= n).select("qid")
-    late = tries(known.join(done, "qid", "left_anti"), 0, ALL_TRIES)
-    return first(early.join(done, "qid", "left_semi")).unionByName(first(late))
 
-
-def pool_draws(rows: DataFrame, pools: DataFrame, n: int = 3, seed: str = "draw") -> DataFrame:
-    """``qid``, ``pool``, ``place``, ``text``: n answers of a pool for each (qid, pool, answer), by weight, without the own one.
+def pool_draws(rows: DataFrame, pools: DataFrame, n: int = 3, seed: str = "draw", apart: str | None = None) -> DataFrame:
+    """``qid``, ``pool``, ``place``, ``text``: n answers of a pool for each (qid, pool, answer), by weight, without the own one
+    and, where a column ``apart`` of both sides is named, only of rows that differ in it.
 
     ``pools`` (pool, qid, answer) are all answers. Weights are counts, so a draw is the answer of a hashed member of the
     pool: an equality on its number, and no question meets the whole pool. Who lacks some after DRAWS draws, because
@@ -66,19 +65,23 @@ def pool_draws(rows: DataFrame, pools: DataFrame, n: int = 3, seed: str = "draw"
     log(u) / weight, which goes on with the same distribution.
     """
     ranked = hash_ranks(pools, "pool", "qid", seed).join(pools, ["pool", "qid"])
-    numbered = ranked.select("pool", F.col("i").alias("at"), F.col("answer").alias("text"))
+    more = [apart] if apart else []
+    other = F.col("_apart") != F.col(apart) if apart else F.lit(True)
+    numbered = ranked.select("pool", F.col("i").alias("at"), F.col("answer").alias("text"), *(F.col(c).alias("_apart") for c in more))
     sizes = pools.groupBy("pool").agg(F.count("*").alias("total"))
-    asked = rows.select("qid", "pool", F.lower("answer").alias("own")).join(sizes, "pool")
+    asked = rows.select("qid", "pool", F.lower("answer").alias("own"), *more).join(sizes, "pool")
     tries = asked.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
     tries = tries.withColumn("at", F.floor(rng.unit(seed, F.col("qid"), F.col("pool"), F.col("k")) * F.col("total")))
-    hit = tries.join(numbered, ["pool", "at"]).where(F.lower("text") != F.col("own"))
+    hit = tries.join(numbered, ["pool", "at"]).where((F.lower("text") != F.col("own")) & other)
     one = hit.groupBy("qid", "pool", F.lower("text").alias("low")).agg(F.min("k").alias("k"), F.min_by("text", "k").alias("text"))
     place = F.row_number().over(Window.partitionBy("qid", "pool").orderBy("k"))
     drawn = one.withColumn("place", place).where(F.col("place") <= n)
     have = drawn.groupBy("qid", "pool").agg(F.count("*").alias("have"), F.collect_list("low").alias("got"))  # n at most
     short = asked.join(have, ["qid", "pool"], "left").where(F.coalesce("have", F.lit(0)) < n)
-    listed = pools.groupBy("pool", F.lower("answer").alias("low")).agg(F.count("*").alias("w"), F.min("answer").alias("text"))
-    left = short.join(listed, "pool").where((F.col("low") != F.col("own")) & ~F.coalesce(F.array_contains("got", F.col("low")), F.lit(False)))
+    listed = pools.groupBy("pool", F.lower("answer").alias("low"), *(F.col(c).alias("_apart") for c in more)).agg(F.count("*").alias("w"), F.min("answer").alias("text"))
+    left = short.join(listed, "pool").where((F.col("low") != F.col("own")) & ~F.coalesce(F.array_contains("got", F.col("low")), F.lit(False)) & other)
+    if apart:
+        left = left.groupBy("qid", "pool", "have", "low").agg(F.sum("w").alias("w"), F.min("text").alias("text"))
     key = F.ln(F.greatest(rng.unit(seed, F.col("qid"), F.col("pool"), F.col("low")), F.lit(1e-300))) / F.col("w")
     after = F.row_number().over(Window.partitionBy("qid", "pool").orderBy(F.desc(key), "low")) + F.coalesce("have", F.lit(0)).cast("int")
     rest = left.withColumn("place", after).where(F.col("place") <= n)

@@ -1,5 +1,7 @@
 """Converters of evaluation collections on small upstream rows."""
 
+import threading
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import benchmarks as B
@@ -77,3 +79,13 @@ def test_chart_options(spark):
     assert set(got) == set(own) and all(sum(t) == 1.0 and x[t.index(1.0)] == own[k] and len({y.lower() for y in x}) == len(x) for k, (x, t) in got.items())
     assert {"3 by 2", "3 by 3", "2 by 4"} <= set(got[1][0]) and "12" in got[2][0] and len(got[2][0]) == 4 and set(got[4][0]) == {"Yes", "No", "Not Applicable"}
     assert set(got[5][0]) == {"alone", "Not Applicable"} and set(got[6][0]) == {"x", "y", "Not Applicable"}
+
+
+def test_a_chart_of_very_many_questions(spark):
+    t = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # fails the test
+    t.start()
+    n = 100_000  # ten to the tenth pairs
+    up = spark.range(n).selectExpr("id AS qid", "'c' AS chart", "CAST(id % 7 AS STRING) AS template", "concat('text ', CAST(id % 5 AS STRING)) AS answer")
+    got = B.chart_options(up).selectExpr("size(texts) AS k", "aggregate(target, 0D, (a, x) -> a + x) AS p", "array_contains(texts, 'Not Applicable') AS na").groupBy("k", "p", "na").count().collect()
+    t.cancel()
+    assert [tuple(r) for r in got] == [(4, 1.0, False, n)]
