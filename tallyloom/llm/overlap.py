@@ -39,7 +39,8 @@ SIMILAR = 0.8
 NEAR, ROLL = 3, 3
 LEAST_WITH_IMAGE = 200
 WIDE = 1.3  # more than 1 / SIMILAR, so similar texts are in one bucket or in neighbours
-BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 25
+BLOCK_ROWS, BLOCK_BYTES = 1 << 17, 1 << 25
+STRIP = 1 << 14  # sketches that a core keeps at hand
 MOST_SLOTS, LEVELS, SALTS = 1 << 26, 16, {}  # read by nothing; tests set them
 SMALL_KEYS = 500_000
 # How image numbers stand in paths.
@@ -237,24 +238,37 @@ def near_sketches(left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Text numbers of the pairs of two blocks whose sizes and sketches allow the similarity.
 
     Sets of sizes a and b and similarity s differ in at most (a + b) (1 - s) / (1 + s) pieces. One piece is to spare, for
-    pieces of one hash. Half of the words settle most pairs, all of them the others.
+    pieces of one hash. Some words settle most pairs, all of them the others; how many words come first follows the share
+    of pairs that they leave. Their differing bits are counted in a byte, which can only be too low after 255.
     """
     (tid, n, words), (tid2, n2, words2) = left, right
     share = (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
-    half = len(words) // 2
+    first, least = max(1, len(words) // 2), 1
     lows, highs = np.searchsorted(n, n2 * SIMILAR - 1.001, side="left"), np.searchsorted(n, (n2 + 1) / SIMILAR + 0.001, side="right")
+    buffers = np.empty(STRIP, dtype=np.uint64), np.empty(STRIP, dtype=np.uint8), np.empty(STRIP, dtype=np.uint8), np.empty(STRIP, dtype=bool)
     out: list[tuple] = []
     for j in np.flatnonzero(highs > lows).tolist():
-        for lo in range(lows[j], highs[j], 16384):  # what a core keeps at hand
-            hi = min(lo + 16384, highs[j])
+        for lo in range(lows[j], highs[j], STRIP):
+            hi = min(lo + STRIP, highs[j])
             most = int((n[hi - 1] + n2[j]) * share + 1)
-            differ = np.bitwise_count(words[0, lo:hi] ^ words2[0, j]).astype(np.int32)
-            for w in range(1, half):
-                differ += np.bitwise_count(words[w, lo:hi] ^ words2[w, j])
-            at = np.flatnonzero(differ <= most)
+            if most >= 64 * len(words):
+                at = np.arange(hi - lo)
+            else:
+                bits, more, differ, near = (x[: hi - lo] for x in buffers)
+                for w in range(first):
+                    np.bitwise_xor(words[w, lo:hi], words2[w, j], out=bits)
+                    np.bitwise_count(bits, out=more if w else differ)
+                    if w:
+                        np.add(differ, more, out=differ)
+                at = np.flatnonzero(np.less_equal(differ, most, out=near))
+            if len(at) > (hi - lo) // 128 and first < len(words):
+                first = least = first + 1
+            elif first > least and len(at) <= (hi - lo) // 4096:
+                first -= 1
             if len(at):
-                rest = np.bitwise_count(words[half:, at + lo] ^ words2[half:, j, None]).sum(0, dtype=np.int64)
-                at = at[differ[at] + rest <= (n[at + lo] + n2[j]) * share + 1] + lo
+                at += lo
+                rest = np.bitwise_count(words[:, at] ^ words2[:, j, None]).sum(0, dtype=np.int64)
+                at = at[rest <= (n[at] + n2[j]) * share + 1]
                 at = at[tid[at] != tid2[j]]
                 if len(at):
                     out.append((tid[at], np.full(len(at), tid2[j])))
@@ -365,7 +379,7 @@ def _shared_lengths(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.nda
 
 def text_links(parts: DataFrame, ws: Workspace) -> DataFrame:
     """Similar pairs of different texts across the sides."""
-    signed = ws.put(sketches(parts), "sketches")
+    signed = ws.put(sketches(parts).dropDuplicates(["side", "tid"]), "sketches")  # else copies make blocks, and cells by the square of them
     links = ws.put(verified(ws.put(candidates(signed), "candidates"), parts), "links")
     ws.drop("sketches")
     ws.drop("candidates")

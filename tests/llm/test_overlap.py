@@ -119,3 +119,19 @@ def test_pairs_without_a_common_chunk_are_found(spark):
     assert len(want) > 250
     got = {tuple(r) for r in O.found(frame(spark, rows)).collect()}
     assert got - want == set() and want - got == set()
+
+
+def test_copies_make_no_more_comparisons(spark, monkeypatch):
+    rows = [{"k": 100 * c + i, "split": ["train", "test"][i % 2], "state": json.dumps(f"text {i // 2} of some words that are copied")} for c in range(40) for i in range(20)]
+    met, candidates = [], O.candidates
+    monkeypatch.setattr(O, "candidates", lambda signed: met.append(signed.count()) or candidates(signed))
+    want = brute(rows)
+    assert len(want) >= 16_000
+    assert {tuple(r) for r in O.found(frame(spark, rows).repartition(40, "rec_key")).collect()} == want
+    assert met == [20]  # a text of a side once, whatever the tasks
+
+
+def test_strips_of_sketches_lose_no_pair(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(O, "STRIP", 8)
+    assert {tuple(r) for r in O.found(frame(spark, rows)).collect()} == brute(rows)
