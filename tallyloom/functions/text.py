@@ -64,10 +64,14 @@ def notation(c: Column) -> Column:
     return F.when(is_number(c), F.concat(part(1), part(3), part(4), part(5)))
 
 
-def format_like(v: Column, like: Column) -> Column:
-    """A number written like another: decimals, exponent, thousands, leading zeros, percent."""
-    t = F.trim(like)
-    whole, frac, exp, pct = (F.regexp_extract(t, NUMBER, k) for k in (2, 3, 4, 5))
+def number_parts(like: Column) -> tuple[Column, Column, Column, Column]:
+    """Whole digits, fraction, exponent and percent of a number as it is written."""
+    return tuple(F.regexp_extract(F.trim(like), NUMBER, k) for k in (2, 3, 4, 5))
+
+
+def format_like(v: Column, like: tuple[Column, Column, Column, Column]) -> Column:
+    """A number written like another, given by its parts: decimals, exponent, thousands, leading zeros, percent."""
+    whole, frac, exp, pct = like
     rounded = F.bround(v, 0).cast("long")
     places = F.greatest(F.length(frac) - 1, F.lit(0)).cast("string")  # a format may be a column
     written = lambda kind: F.call_function("format_string", F.concat(F.lit("%."), places, F.lit(kind)), v)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tallyloom.functions import options as G
 from tallyloom.functions import rng
 from tallyloom.functions import text as T
+from tallyloom.workspace import Workspace
 
 ROTATED = 1_000_000
 BLANK = ("", "-", "nan", "none")
@@ -164,26 +165,29 @@ def chart_options(rows: DataFrame, n: int = 4, none: str = "Not Applicable", see
     changed values, answers to the same template, and none of it; at most n, in a hashed order.
 
     Answers of a chart and answers to a template are drawn as in the pools of open questions, so no question meets all of them.
+    Questions, draws and changed values are written once; joins with a row for each question are merges, so the driver holds none.
     """
     from tallyloom.operators.openqa import changed_numbers, pool_draws
 
     size = r"^([0-9]+) by ([0-9]+)$"
     kind = F.when(T.is_number(F.col("answer")), "num").when(F.col("answer").rlike(size), "layout").when(F.col("answer").isin("Yes", "No"), "bool").otherwise("text")
     q = rows.where("answer is not null and trim(answer) <> ''").select("qid", "chart", "template", F.trim("answer").alias("answer")).withColumn("kind", kind)
-    q = q.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")  # set, for few bytes make many draws
+    ws = Workspace(rows.sparkSession)
+    q = ws.put(q.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid"), "questions")  # set, for few bytes make many draws
     on_chart = q.where("chart is not null and template is not null").select("qid", F.concat_ws("|", "kind", F.col("chart").cast("string")).alias("pool"), "answer", "template")
-    same = pool_draws(on_chart, on_chart.where(F.col("answer") != none), n - 1, f"chart.{seed}", "template").select("qid", F.lit(0).alias("step"), F.col("place").cast("double").alias("order"), "text")
-    numbers = changed_numbers(q.where("kind = 'num'").select("qid", F.lit("").alias("question"), "answer"), n).select("qid", F.lit(1).alias("step"), F.col("place").cast("double").alias("order"), "text")
+    same = pool_draws(on_chart, on_chart.where(F.col("answer") != none), n - 1, f"chart.{seed}", "template", ws).select("qid", F.lit(0).alias("step"), F.col("place").cast("double").alias("order"), "text")
+    numbers = changed_numbers(q.where("kind = 'num'").select("qid", F.lit("").alias("question"), "answer"), n, ws).select("qid", F.lit(1).alias("step"), F.col("place").cast("double").alias("order"), "text")
     a, b = (F.regexp_extract("answer", size, k).cast("int") for k in (1, 2))
     least = lambda x: F.greatest(x - 1, F.lit(1))
     moves = F.array(*(F.concat_ws(" by ", x.cast("string"), y.cast("string")) for x, y in ((b, a), (a + 1, b), (a, b + 1), (least(a), b), (a, least(b)))))
     layouts = q.where("kind = 'layout'").select("qid", F.lit(1).alias("step"), F.posexplode(moves).alias("p", "text")).select("qid", "step", F.col("p").cast("double").alias("order"), "text")
     bools = q.where("kind = 'bool'").select("qid", F.lit(1).alias("step"), F.lit(0.0).alias("order"), F.when(F.col("answer") == "Yes", "No").otherwise("Yes").alias("text"))
     pool = q.select("qid", F.col("template").alias("pool"), "answer")
-    drawn = pool_draws(pool, pool, n).select("qid", F.lit(2).alias("step"), F.col("place").cast("double").alias("order"), "text")
+    drawn = pool_draws(pool, pool, n, ws=ws).select("qid", F.lit(2).alias("step"), F.col("place").cast("double").alias("order"), "text")
     last = q.select("qid", F.lit(3).alias("step"), F.lit(0.0).alias("order"), F.lit(none).alias("text"))
+    same, drawn = ws.put(same, "same"), ws.put(drawn, "drawn")
     every = same.unionByName(numbers).unionByName(layouts).unionByName(bools).unionByName(drawn).unionByName(last)
-    wrong = every.join(q.select("qid", "answer"), "qid").where(F.lower("text") != F.lower("answer"))
+    wrong = every.join(q.select("qid", "answer").hint("merge"), "qid").where(F.lower("text") != F.lower("answer"))
     first = F.row_number().over(Window.partitionBy("qid", F.lower("text")).orderBy("step", "order", "text"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("step", "order", "text"))
     kept = wrong.withColumn("f", first).where("f = 1").withColumn("rank", rank).where(F.col("rank") < n).select("qid", "text", F.lit(0.0).alias("p"))

@@ -15,24 +15,28 @@ from pyspark.sql.window import Window
 from tallyloom.functions import rng
 from tallyloom.functions import text as T
 from tallyloom.operators.relational import hash_ranks
+from tallyloom.workspace import Workspace
 
 NEAR = 5.0
 FIRST_TRIES, ALL_TRIES = 24, 200
-DRAWS = 16
+FIRST_DRAWS, DRAWS = 6, 16
 
 
-def changed_numbers(rows: DataFrame, n: int = 3) -> DataFrame:
+def changed_numbers(rows: DataFrame, n: int = 3, ws: Workspace | None = None) -> DataFrame:
     """``qid``, ``place``, ``text``: n other values of each number, written alike.
 
     Values lie 10 to 50 % away; years move by 1 to 10; zero gets small values; whole numbers that would stay move by a
-    step that grows with the tries, and do not change their sign. All rows make a few tries, those in need all 200.
+    step that grows with the tries, and do not change their sign. All rows make a few tries, those in need all 200. With a
+    workspace the rows of each number of tries are written, so no try is made again by a filter that the planner moves.
     """
     known = rows.where(T.is_number(F.col("answer"))).select("qid", "answer", F.coalesce("question", F.lit("")).alias("question"), T.number(F.col("answer")).alias("v"))
     # a whole number has neither a fraction nor an exponent; the percent sign may stand
     whole = ~F.trim("answer").rlike(r"[.eE]")
     known = known.withColumns({"whole": whole, "year": whole & F.col("v").between(1800, 2100) & F.lower("question").contains("year")})
+    known = known.withColumns({f"part{k}": c for k, c in enumerate(T.number_parts(F.col("answer")))})
 
-    v, own, whole = F.col("v"), F.col("answer"), F.col("whole")
+    v, whole = F.col("v"), F.col("whole")
+    own = tuple(F.col(f"part{k}") for k in range(4))
 
     def texts(upto: int) -> Column:
         """The first n texts of so many tries, within the row: each step is an array, so no try is written or computed twice."""
@@ -47,37 +51,59 @@ def changed_numbers(rows: DataFrame, n: int = 3) -> DataFrame:
             .otherwise(t["moved"]),
         )
         made = F.transform(F.filter(values, lambda c: ~(whole & (v >= 0) & (c < 0))), lambda c: T.format_like(c, own))
-        return F.slice(F.array_distinct(F.filter(made, lambda x: T.number(x) != v)), 1, n)
-
+        return F.slice(F.filter(F.array_distinct(made), lambda x: T.number(x) != v), 1, n)
+
+    if ws:
+        found, known = None, ws.put(known, "numbers")
+        for upto in (FIRST_TRIES // 3, FIRST_TRIES, 2 * FIRST_TRIES, ALL_TRIES):
+            tried = ws.put(known.withColumn("texts", texts(upto)), f"numbers{upto}")
+            done = tried.where(F.size("texts") >= n) if upto < ALL_TRIES else tried
+            found, known = done if found is None else found.unionByName(done), tried.where(F.size("texts") < n).drop("texts")
+        return found.select("qid", F.posexplode("texts").alias("place", "text")).select("qid", (F.col("place") + 1).alias("place"), "text")
     found = known.withColumn("texts", texts(FIRST_TRIES // 3))  # the first tries of more tries are the same
     for upto in (FIRST_TRIES, ALL_TRIES):
         found = found.withColumn("texts", F.when(F.size("texts") >= n, F.col("texts")).otherwise(texts(upto)))
     return found.select("qid", F.posexplode("texts").alias("place", "text")).select("qid", (F.col("place") + 1).alias("place"), "text")
 
 
-def pool_draws(rows: DataFrame, pools: DataFrame, n: int = 3, seed: str = "draw", apart: str | None = None) -> DataFrame:
+def pool_draws(rows: DataFrame, pools: DataFrame, n: int = 3, seed: str = "draw", apart: str | None = None, ws: Workspace | None = None) -> DataFrame:
     """``qid``, ``pool``, ``place``, ``text``: n answers of a pool for each (qid, pool, answer), by weight, without the own one
     and, where a column ``apart`` of both sides is named, only of rows that differ in it.
 
     ``pools`` (pool, qid, answer) are all answers. Weights are counts, so a draw is the answer of a hashed member of the
     pool: an equality on its number, and no question meets the whole pool. Who lacks some after DRAWS draws, because
     the pool is small or one answer outweighs it, takes the rest from the list of answers by the largest
-    log(u) / weight, which goes on with the same distribution.
+    log(u) / weight, which goes on with the same distribution. With a workspace draws are
+    written, and only who lacks some after a few makes all of them.
+
+    Sides with a row for each question are merged and never broadcast, whatever size the planner expects of them.
     """
-    ranked = hash_ranks(pools, "pool", "qid", seed).join(pools, ["pool", "qid"])
+    ranked = hash_ranks(pools, "pool", "qid", seed).join(pools.hint("merge"), ["pool", "qid"])
     more = [apart] if apart else []
     other = F.col("_apart") != F.col(apart) if apart else F.lit(True)
     numbered = ranked.select("pool", F.col("i").alias("at"), F.col("answer").alias("text"), *(F.col(c).alias("_apart") for c in more))
+    numbered = ws.put(numbered, f"pool.{seed}") if ws else numbered
     sizes = pools.groupBy("pool").agg(F.count("*").alias("total"))
     asked = rows.select("qid", "pool", F.lower("answer").alias("own"), *more).join(sizes, "pool")
-    tries = asked.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
-    tries = tries.withColumn("at", F.floor(rng.unit(seed, F.col("qid"), F.col("pool"), F.col("k")) * F.col("total")))
-    hit = tries.join(numbered, ["pool", "at"]).where((F.lower("text") != F.col("own")) & other)
-    one = hit.groupBy("qid", "pool", F.lower("text").alias("low")).agg(F.min("k").alias("k"), F.min_by("text", "k").alias("text"))
-    place = F.row_number().over(Window.partitionBy("qid", "pool").orderBy("k"))
-    drawn = one.withColumn("place", place).where(F.col("place") <= n)
+
+    def draws(asked: DataFrame, upto: int) -> DataFrame:
+        """The first n different answers of so many draws, and how many there are."""
+        tries = asked.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(upto))))
+        tries = tries.withColumn("at", F.floor(rng.unit(seed, F.col("qid"), F.col("pool"), F.col("k")) * F.col("total")))
+        hit = tries.join(numbered.hint("merge"), ["pool", "at"]).where((F.lower("text") != F.col("own")) & other)
+        one = hit.groupBy("qid", "pool", F.lower("text").alias("low")).agg(F.min("k").alias("k"), F.min_by("text", "k").alias("text"))
+        w = Window.partitionBy("qid", "pool")
+        return one.withColumns({"place": F.row_number().over(w.orderBy("k")), "some": F.count("*").over(w)}).where(F.col("place") <= n)
+
+    if ws:  # the first draws of more draws are the same
+        first = ws.put(draws(asked, FIRST_DRAWS), f"draws.{seed}.{FIRST_DRAWS}")
+        whole = first.where(F.col("some") >= n)
+        lacking = asked.join(whole.where("place = 1").select("qid", "pool").hint("merge"), ["qid", "pool"], "left_anti")
+        drawn = whole.unionByName(ws.put(draws(lacking, DRAWS), f"draws.{seed}.{DRAWS}"))
+    else:
+        drawn = draws(asked, DRAWS)
     have = drawn.groupBy("qid", "pool").agg(F.count("*").alias("have"), F.collect_list("low").alias("got"))  # n at most
-    short = asked.join(have, ["qid", "pool"], "left").where(F.coalesce("have", F.lit(0)) < n)
+    short = asked.join(have.hint("merge"), ["qid", "pool"], "left").where(F.coalesce("have", F.lit(0)) < n)
     listed = pools.groupBy("pool", F.lower("answer").alias("low"), *(F.col(c).alias("_apart") for c in more)).agg(F.count("*").alias("w"), F.min("answer").alias("text"))
     left = short.join(listed, "pool").where((F.col("low") != F.col("own")) & ~F.coalesce(F.array_contains("got", F.col("low")), F.lit(False)) & other)
     if apart:

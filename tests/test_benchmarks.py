@@ -89,3 +89,19 @@ def test_a_chart_of_very_many_questions(spark):
     got = B.chart_options(up).selectExpr("size(texts) AS k", "aggregate(target, 0D, (a, x) -> a + x) AS p", "array_contains(texts, 'Not Applicable') AS na").groupBy("k", "p", "na").count().collect()
     t.cancel()
     assert [tuple(r) for r in got] == [(4, 1.0, False, n)]
+
+
+def test_the_driver_holds_no_side_of_questions(spark):
+    up = spark.range(500).selectExpr("id AS qid", "CAST(id % 9 AS STRING) AS chart", "CAST(id % 7 AS STRING) AS template", "CASE WHEN id % 2 = 0 THEN CAST(id % 40 AS STRING) ELSE concat('text ', CAST(id % 5 AS STRING)) END AS answer")
+    plan = B.chart_options(up)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("FileScan") < 12
+
+
+def test_written_draws_and_numbers_equal_the_others(spark):
+    from tallyloom.operators import openqa as O
+    from tallyloom.workspace import Workspace
+
+    q = spark.range(400).selectExpr("id AS qid", "CAST(id % 9 AS STRING) AS pool", "CASE WHEN id % 9 = 0 THEN 'x' WHEN id % 3 = 0 THEN concat(id % 40, '.5%') ELSE CAST(id % 13 AS STRING) END AS answer", "CAST(id % 4 AS STRING) AS t", "'?' AS question")
+    ws = Workspace(spark)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() > 300
+    assert same(O.changed_numbers(q, 4), O.changed_numbers(q, 4, ws)) and same(O.pool_draws(q, q, 3, "s", "t"), O.pool_draws(q, q, 3, "s", "t", ws))
